@@ -1,0 +1,6 @@
+"""Registered queries of the graph and table operators, with their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict = {}
