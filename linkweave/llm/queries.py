@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import language_id, mixing, packing, quality_knn, secret_scan, url_filter
+from linkweave.llm import language_id, media, mixing, packing, quality_knn, secret_scan, spotsigs, url_filter
 from linkweave.llm.common import table
 
 
@@ -34,6 +34,14 @@ def op6_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_media_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
@@ -44,6 +52,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op5_language_id": op5_language_id,
     "op6_harmonic_pack": op6_harmonic_pack,
+    "op7_spotsigs": op7_spotsigs,
+    "op8_media_source": op8_media_source,
     "op10_url_filter": op10_url_filter,
 }
 
