@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import language_id, media, mixing, packing, quality_knn, secret_scan, spotsigs, url_filter
+from linkweave.llm import language_id, media, mixing, ngram_join, packing, quality_knn, secret_scan, spotsigs, url_filter
 from linkweave.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_media_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_harmonic_pack": op6_harmonic_pack,
     "op7_spotsigs": op7_spotsigs,
     "op8_media_source": op8_media_source,
+    "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
 }
 
