@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import language_id, media, mixing, ngram_join, packing, quality_knn, secret_scan, spotsigs, url_filter
+from linkweave.llm import language_id, media, mixing, ngram_join, packing, quality_knn, secret_scan, spotsigs, suffix_dedup, url_filter
 from linkweave.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language_id.identify(documents, language_id.train(documents))
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_knn": op2_quality_knn,
     "op3_secret_scan": op3_secret_scan,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op6_harmonic_pack": op6_harmonic_pack,
     "op7_spotsigs": op7_spotsigs,
