@@ -7,7 +7,7 @@ partition. Bins that are still open at a partition's end hold a multiple of thei
 one, two, four, ... pieces, whose lengths are powers of two and need no padding either.
 
 Tokens: the tokenizer file is a parameter. Its result for a text is the concatenation of its results for the text's words,
-so each worker keeps the ids of words that it has met (``CACHE_WORDS`` at most, then it starts anew); texts that hold
+so each worker process keeps the ids of words that it has met (``CACHE_WORDS`` at most, then it starts anew); texts that hold
 anything but printable Latin characters, or may hold a special token, go through the tokenizer whole.
 
 Null text is an empty document: its end id alone. Repeated rows are packed each; extra columns are ignored. Sequence ids are
@@ -34,12 +34,21 @@ ROWS = 64
 
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _N = "0-9²³¹¼-¾"
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
+WORDS = re.compile(f"[{_L}]+|'(?:s|t|re|ve|m|ll|d)|[{_N}]|[^\\s{_L}{_N}]+")
 UNUSUAL = re.compile("[^\\n\\t\\r\\x20-\\x7e\\xa1-\\xac\\xae-\\u012f\\u0132-\\u024f]|<\\|")
+_USUAL = b"\n\t\r" + bytes(range(0x20, 0x7F)) + bytes(range(0xA1, 0xAD)) + bytes(range(0xAE, 0x100))
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def is_plain(text: str) -> bool:
+    """Whether a text's ids are the concatenation of its words' ids by WORDS."""
+    try:
+        return not text.encode("latin-1").translate(None, _USUAL) and "<|" not in text
+    except UnicodeEncodeError:
+        return UNUSUAL.search(text) is None and unicodedata.is_normalized("NFC", text)
+
+
 class Tokens:
     """Ids of texts as little-endian unsigned 32-bit bytes, for the tokenizer file at ``path``."""
 
@@ -67,13 +76,23 @@ class Tokens:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [UNUSUAL.search(t) is None and unicodedata.is_normalized("NFC", t) for t in texts]
+        plain = [is_plain(t) for t in texts]
         words = [WORDS.findall(t.lower()) if ok else [] for t, ok in zip(texts, plain)]
         if len(self.seen) > CACHE_WORDS:
             self.seen = {}
-        seen = self.seen
-        self.learn(list({w for found in words for w in found if w not in seen}))
-        return [b"".join([seen[w] for w in found]) if ok else self.whole(t) for t, ok, found in zip(texts, plain, words)]
+        self.learn(sorted(set().union(*words).difference(self.seen)))
+        ids = self.seen.__getitem__
+        return [b"".join(map(ids, found)) if ok else self.whole(t) for t, ok, found in zip(texts, plain, words)]
+
+
+_kept: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """The Tokens of this worker process for a file: word ids that earlier tasks met are kept."""
+    if path not in _kept:
+        _kept[path] = Tokens(path)
+    return _kept[path]
 
 
 def cuts(n: int) -> list[tuple[int, int]]:
@@ -121,7 +140,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (see SCHEMA)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(tokenizer_path)
+        tokens = tokens_of(tokenizer_path)
         bins = Bins(TaskContext.get().partitionId() << 40)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         end = np.array([END_ID], "<u4").tobytes()
