@@ -11,12 +11,14 @@ bucket expands intervals over a transform of its own:
    anchors at equal offsets, hence may only meet under the same anchor.
 2. Runs are packed by anchor bucket, with hashes of anchor and run. A run that stands equal in a smaller document is
    removed as a whole. Runs whose anchor recurs in another document in another run are open.
-3. The bytes of open runs meet in buckets by anchor; a bucket's transform gives all strings that start more than once, and
-   with them the smallest document of each. An anchor with more than ``HOT`` different runs is not gathered: its strings
+3. The bytes of open runs meet in buckets by anchor. A string holds its anchor and ``REACH`` more bytes to the left or right of
+   it, so runs that no other document's run equals on either side are left out; the transform of the others gives all strings
+   that start more than once, and with them the smallest document of each. An anchor with more than ``HOT`` different runs is not gathered: its strings
    are hashed (128 bits), aggregated to the smallest document, and joined back.
 
 Rows with a null doc_id are kept whole and remove nothing. Rows that repeat a doc_id count as one document; each keeps its
-own text. Equal runs are told by 128 bits of hashes. Extra columns are ignored.
+own text. Equal runs are told by hashes of
+88 bits and more. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +35,17 @@ from linkweave.llm.common import cut, shared_dir
 from linkweave.llm.shingles import mixed, powers
 
 LEAST, GRAM = 50, 16
-#: A scan works on so many bytes of text at a time; longer texts are taken in pieces.
-CHUNK_BYTES = 1 << 20
-RUNS_PER_BUCKET = 2_000_000
-BUCKET_BYTES = 2 << 20
+REACH = (LEAST - GRAM) // 2
+#: A scan works on about so many bytes of text at a time (arrays that fit a core's cache); longer texts go in pieces.
+CHUNK_BYTES, PIECE_BYTES = 1 << 17, 1 << 20
+RUNS_PER_BUCKET = 1_000_000
+BUCKET_BYTES = 1 << 20
 #: Different runs of one anchor in a batch, and in all, above which it is not gathered in a bucket.
-HOT_IN_BATCH, HOT = 64, 2_000
+HOT_IN_BATCH, HOT = 300, 5_000
+#: Rows whose runs a task holds together: a batch.
+SLICE = 5_000
+#: Anchor hashes keep 40 bits besides their bucket, run hashes 48.
+ANCHOR_BYTES, BODY_BYTES = 5, 6
 #: Cuts go to the last scan by broadcast up to so many (16 bytes each), else by a shuffle join.
 BROADCAST_CUTS = 1_000_000
 WHOLE, OPEN, SPREAD = 0, 1, 2
@@ -46,14 +53,15 @@ WHOLE, OPEN, SPREAD = 0, 1, 2
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def runs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, stop, anchor hash, run hash): strings of LEAST bytes that start in [start, stop) share an anchor."""
-    found = [piece_runs(raw, low, min(low + CHUNK_BYTES, len(raw) - LEAST + 1)) for low in range(0, len(raw) - LEAST + 1, CHUNK_BYTES)]
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else _none()
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _none() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def runs(raw: bytes) -> Runs:
+    """(start, size, offset, anchor hash, run hash): strings of LEAST bytes that start in [start, start + size) share an
+    anchor, which lies ``offset`` bytes after the start."""
+    total = len(raw) - LEAST + 1
+    found = [piece_runs(raw, low, min(low + PIECE_BYTES, total)) for low in range(0, total, PIECE_BYTES)]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.zeros(0, t) for t in ("i8", "i8", "i8", "u8", "u8"))
 
 
 def least_keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +69,12 @@ def least_keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data) - GRAM + 1
     eight = np.lib.stride_tricks.sliding_window_view(data, 8)
     words = np.ascontiguousarray(eight).view(np.uint64).ravel()
-    hashes = mixed(words[:n] ^ (mixed(words[GRAM - 8 : GRAM - 8 + n]) + np.uint64(0x632BE59BD9B4E019)))
+    hashes = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    hashes ^= hashes >> np.uint64(32)
+    hashes += words[GRAM - 8 : GRAM - 8 + n]
+    hashes *= np.uint64(0xC2B2AE3D27D4EB4F)
+    hashes ^= hashes >> np.uint64(29)
+    hashes *= np.uint64(0x165667B19E3779F9)
     keys = (hashes & ~_LOW) | np.arange(n, dtype=np.uint64)
     width, span = LEAST - GRAM + 1, 1
     while 2 * span <= width:
@@ -80,37 +93,42 @@ def run_bounds(keys: np.ndarray, edges: np.ndarray | None = None) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def described(data: np.ndarray, hashes: np.ndarray, keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor hash and run hash of each run; the latter covers the run's bytes, its length and its anchor's offset."""
-    anchor = (keys[start] & _LOW).astype(np.int64)
+def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of byte ranges."""
     p, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=sums[1:])
+    return (sums[stop] - sums[start]) * inverse[start]
+
+
+def described(data: np.ndarray, hashes: np.ndarray, keys: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Runs:
+    """The run hash covers the run's bytes, its length and its anchor's offset."""
+    anchor = (keys[start] & _LOW).astype(np.int64)
     end = stop + LEAST - 1
-    body = (sums[end] - sums[start]) * inverse[start]
-    return hashes[anchor], mixed(body + mixed((end - start).astype(np.uint64) * np.uint64(1 << 20) + (anchor - start).astype(np.uint64)))
+    shape = mixed((end - start).astype(np.uint64) * np.uint64(1 << 20) + (anchor - start).astype(np.uint64))
+    return start, stop - start, anchor - start, mixed(hashes[anchor]), mixed(range_hashes(data, start, end) + shape)
 
 
-def piece_runs(raw: bytes, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def piece_runs(raw: bytes, low: int, high: int) -> Runs:
     data = np.frombuffer(raw, np.uint8, high - low + LEAST - 1, low)
     hashes, keys = least_keys(data)
     start = run_bounds(keys)
-    stop = np.append(start[1:], len(keys))
-    return start + low, stop + low, *described(data, hashes, keys, start, stop)
+    start, *rest = described(data, hashes, keys, start, np.append(start[1:], len(keys)))
+    return start + low, *rest
 
 
-def all_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """``runs`` of each text; short texts are worked on together."""
+def all_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """``runs`` of all texts, some texts at a time, each with its text's number (``owner``) in front."""
     at = 0
     while at < len(texts):
         stop, size = at, 0
         while stop < len(texts) and (stop == at or size + len(texts[stop]) <= CHUNK_BYTES):
             size += len(texts[stop])
             stop += 1
-        if stop == at + 1 or size < LEAST:
-            for raw in texts[at:stop]:
-                yield runs(raw)
-        else:
+        if stop == at + 1:
+            found = runs(texts[at])
+            yield np.full(len(found[0]), at), *found
+        elif size >= LEAST:
             lengths = np.array([len(x) for x in texts[at:stop]])
             base = np.cumsum(lengths) - lengths
             data = np.frombuffer(b"".join(texts[at:stop]), np.uint8)
@@ -120,11 +138,8 @@ def all_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
             end = np.minimum(np.append(start[1:], len(keys)), base[owner] + lengths[owner] - LEAST + 1)
             good = end > start
             start, end, owner = start[good], end[good], owner[good]
-            anchor, body = described(data, hashes, keys, start, end)
-            cuts = np.searchsorted(owner, np.arange(stop - at + 1))
-            for i in range(stop - at):
-                s = slice(cuts[i], cuts[i + 1])
-                yield start[s] - base[i], end[s] - base[i], anchor[s], body[s]
+            start, *rest = described(data, hashes, keys, start, end)
+            yield owner + at, start - base[owner], *rest
         at = stop
 
 
@@ -132,83 +147,122 @@ def utf8(texts: pd.Series) -> list[bytes]:
     return [(t or "").encode("utf-8", "replace") for t in texts]
 
 
-def _rows(doc: np.ndarray, tag: np.ndarray, kind: int, start: np.ndarray) -> dict:
-    """One row per document: its run starts of a kind."""
-    if not len(doc):
-        return {"doc_id": [], "tag": [], "kind": [], "starts": []}
-    order = np.lexsort((start, tag, doc))
-    doc, tag, start = doc[order], tag[order], start[order].astype(np.uint32)
-    first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
-    at = np.flatnonzero(first)
-    return {"doc_id": doc[at], "tag": tag[at], "kind": np.full(len(at), kind, np.int32), "starts": [x.tobytes() for x in np.split(start, at[1:])]}
+#: What is told of a run, by kind: its document and place, and for runs still to be compared its anchor.
+_PLACE = [("doc", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("size", "u1")]
+TOLD = {WHOLE: np.dtype(_PLACE), OPEN: np.dtype([*_PLACE, ("offset", "u1"), ("anchor", "<u8")]), SPREAD: np.dtype(_PLACE)}
+
+
+def told(kind: int, groups: int, **columns: np.ndarray) -> dict:
+    """One row per group of documents (doc_id modulo ``groups``): its runs of a kind, by document and place."""
+    group = np.mod(columns["doc"], groups)
+    order = np.lexsort((columns["start"], columns["tag"], columns["doc"], group))
+    group = group[order]
+    rows = np.empty(len(group), TOLD[kind])
+    for name in TOLD[kind].names:
+        rows[name] = columns[name][order]
+    at = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    ends = np.append(at[1:], len(group))
+    return {"g": group[at].astype(np.int32), "kind": np.full(len(at), kind, np.int32), "runs": [rows[a:b].tobytes() for a, b in zip(at, ends)]}
 
 
-FOUND = "doc_id long, tag long, kind int, starts binary"
+FOUND = "g int, kind int, runs binary"
 
 
-def packed_runs(documents: DataFrame, buckets: int) -> DataFrame:
+def grouped(anchor: np.ndarray, body: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Order by anchor, then body and doc; only anchors that occur again need the finer sort."""
+    order = np.argsort(anchor)
+    a = anchor[order]
+    same = np.zeros(len(a), bool)
+    same[1:] = a[1:] == a[:-1]
+    same[:-1] |= same[1:]
+    some = order[same]
+    order[same] = some[np.lexsort((doc[some], body[some], anchor[some]))]
+    return order
+
+
+def packed_runs(documents: DataFrame, buckets: int, groups: int) -> DataFrame:
     """Runs of each batch, packed by bucket; rows with bucket null in ``blob`` are decided within the batch (see FOUND)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            ids, tags = p["doc_id"].to_numpy(np.int64), p["tag"].to_numpy(np.int64)
+        for p in (q.iloc[at : at + SLICE] for q in parts for at in range(0, len(q), SLICE)):
             found = list(all_runs(utf8(p["text"])))
-            own = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            if not found:
+                continue
+            own, start, size, offset, anchor, body = (np.concatenate(x) for x in zip(*found))
+            del found
             if not len(own):
                 continue
-            start, anchor, body = (np.concatenate([x[i] for x in found]) for i in (0, 2, 3))
-            doc, tag = ids[own], tags[own]
-            order = np.lexsort((doc, body, anchor))
-            start, anchor, body, doc, tag = start[order], anchor[order], body[order], doc[order], tag[order]
+            doc, tag = p["doc_id"].to_numpy(np.int64)[own], p["tag"].to_numpy(np.int64)[own]
+            order = grouped(anchor, body, doc)
+            start, size, offset, anchor, body, doc, tag = (x[order] for x in (start.astype(np.uint32), size.astype(np.uint8), offset.astype(np.uint8), anchor, body, doc, tag))
             new_anchor = np.append(True, anchor[1:] != anchor[:-1])
             new_run = new_anchor | np.append(True, body[1:] != body[:-1])
-            group = np.cumsum(new_run) - 1
-            later = doc != doc[np.flatnonzero(new_run)][group]
-            yield pd.DataFrame({"bucket": 0, "blob": None} | _rows(doc[later], tag[later], WHOLE, start[later]))
+            later = doc != doc[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
             number = np.cumsum(new_anchor) - 1
             hot = (np.bincount(number, weights=new_run) > HOT_IN_BATCH)[number]
-            spread = hot & ~later
-            if spread.any():
-                yield pd.DataFrame({"bucket": 0, "blob": None} | _rows(doc[spread], tag[spread], SPREAD, start[spread]))
+            for kind, chosen in ((WHOLE, later), (SPREAD, hot & ~later)):
+                if chosen.any():
+                    yield pd.DataFrame({"bucket": 0, "blob": None} | told(kind, groups, doc=doc[chosen], tag=tag[chosen], start=start[chosen], size=size[chosen]))
             ship = ~later & (~hot | new_anchor)  # of a hot anchor one run stands for all, marked
-            start, anchor, body, doc, tag, hot = (x[ship] for x in (start, anchor, body, doc, tag, hot))
-            bucket = ((anchor >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            bucket = ((anchor[ship] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            columns = [x[ship] for x in (start, size, offset, anchor, body, doc, tag, hot)]
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))  # anchors are in order, so buckets are
             held = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
-            blobs = [packed(start[s], anchor[s], body[s], doc[s], tag[s], hot[s]) for b in held for s in [slice(cuts[b], cuts[b + 1])]]
-            yield pd.DataFrame({"bucket": held, "blob": blobs, "doc_id": 0, "tag": 0, "kind": 0, "starts": None})
+            blobs = [packed(*[x[cuts[b] : cuts[b + 1]] for x in columns]) for b in held]
+            yield pd.DataFrame({"bucket": held, "blob": blobs, "g": 0, "kind": 0, "runs": None})
 
     return documents.mapInPandas(run, f"bucket int, blob binary, {FOUND}")
 
 
-def packed(start: np.ndarray, anchor: np.ndarray, body: np.ndarray, doc: np.ndarray, tag: np.ndarray, hot: np.ndarray) -> bytes:
-    pair, owner = np.unique(np.stack([doc, tag], axis=1), axis=0, return_inverse=True)
-    order = np.lexsort((start, owner.ravel()))
-    head = np.array([len(pair), len(start)], np.int64)
-    return b"".join(x.tobytes() for x in (head, pair, owner.ravel()[order].astype(np.uint32), start[order].astype(np.uint32), hot[order].astype(np.uint8), anchor[order], body[order]))
+def low_bytes(x: np.ndarray, n: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def from_low_bytes(raw: memoryview, m: int, n: int) -> np.ndarray:
+    out = np.zeros((m, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8, m * n).reshape(m, n)
+    return out.view("<u8").ravel()
+
+
+def packed(start: np.ndarray, size: np.ndarray, offset: np.ndarray, anchor: np.ndarray, body: np.ndarray, doc: np.ndarray, tag: np.ndarray, hot: np.ndarray) -> bytes:
+    """Runs sorted by document, so that owners are told by counts."""
+    order = np.lexsort((start, tag, doc))
+    start, size, offset, anchor, body, doc, tag, hot = (x[order] for x in (start, size, offset, anchor, body, doc, tag, hot))
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))
+    counts = np.diff(np.append(first, len(doc))).astype(np.uint32)
+    head = np.array([len(first), len(doc)], np.int64)
+    small = [x.tobytes() for x in (head, doc[first], tag[first], counts, start, size, offset, hot.astype(np.uint8))]
+    return b"".join([*small, low_bytes(anchor, ANCHOR_BYTES), low_bytes(body, BODY_BYTES)])
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
     k, m = np.frombuffer(raw, np.int64, 2).tolist()
-    at = 16 + 16 * k
-    pair = np.frombuffer(raw, np.int64, 2 * k, 16).reshape(k, 2)
-    owner = np.frombuffer(raw, np.uint32, m, at)
-    start = np.frombuffer(raw, np.uint32, m, at + 4 * m)
-    hot = np.frombuffer(raw, np.uint8, m, at + 8 * m).astype(bool)
-    rest = np.frombuffer(raw[at + 9 * m :], np.uint64)
-    return pair[owner, 0], pair[owner, 1], start, hot, rest[:m], rest[m:]
+    view, at = memoryview(raw), 16
+
+    def take(kind: type, n: int) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(view[at : at + n * np.dtype(kind).itemsize], kind)
+        at += out.nbytes
+        return out
 
+    doc, tag, counts = take(np.int64, k), take(np.int64, k), take(np.uint32, k)
+    start, size, offset, hot = take(np.uint32, m), take(np.uint8, m), take(np.uint8, m), take(np.uint8, m)
+    anchor = from_low_bytes(view[at:], m, ANCHOR_BYTES)
+    body = from_low_bytes(view[at + m * ANCHOR_BYTES :], m, BODY_BYTES)
+    return np.repeat(doc, counts), np.repeat(tag, counts), start, size, offset, hot.astype(bool), anchor, body
 
-def decided(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
+
+def decided(blobs: list[bytes], groups: int) -> Iterator[pd.DataFrame]:
     """FOUND rows of one bucket."""
-    doc, tag, start, hot, anchor, body = (np.concatenate(x) for x in zip(*map(unpacked, blobs)))
-    order = np.lexsort((doc, body, anchor))
-    doc, tag, start, hot, anchor, body = (x[order] for x in (doc, tag, start, hot, anchor, body))
+    columns = [np.concatenate(x) for x in zip(*map(unpacked, blobs))]
+    blobs.clear()
+    order = grouped(columns[6], columns[7], columns[0])
+    doc, tag, start, size, offset, hot, anchor, body = (x[order] for x in columns)
+    del columns
     new_anchor = np.append(True, anchor[1:] != anchor[:-1])
     new_run = new_anchor | np.append(True, body[1:] != body[:-1])
-    group, number = np.cumsum(new_run) - 1, np.cumsum(new_anchor) - 1
-    later = doc != doc[np.flatnonzero(new_run)][group]
+    number = np.cumsum(new_anchor) - 1
+    later = doc != doc[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
     at = np.flatnonzero(new_anchor)
     several = np.bincount(number, weights=new_run)
     mixed_docs = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)
@@ -217,66 +271,96 @@ def decided(blobs: list[bytes]) -> Iterator[pd.DataFrame]:
     spread = open_ & (marked | (several > HOT))[number]
     for kind, chosen in ((WHOLE, later), (OPEN, open_ & ~spread), (SPREAD, spread & ~hot)):  # marked runs were told by their batch
         if chosen.any():
-            yield pd.DataFrame(_rows(doc[chosen], tag[chosen], kind, start[chosen]))
+            yield pd.DataFrame(told(kind, groups, doc=doc[chosen], tag=tag[chosen], start=start[chosen], size=size[chosen], offset=offset[chosen], anchor=anchor[chosen]))
 
 
-def decided_runs(packed_: DataFrame, buckets: int) -> DataFrame:
-    """Per document and kind: the starts of its runs that are removed whole, open, or spread (see FOUND)."""
+def decided_runs(packed_: DataFrame, buckets: int, groups: int) -> DataFrame:
+    """By groups of documents and kind: the runs that are removed whole, open, or spread (see FOUND)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, blobs = None, []
         for p in parts:
             direct = p[p["blob"].isna()]
             if len(direct):
-                yield direct[["doc_id", "tag", "kind", "starts"]]
+                yield direct[["g", "kind", "runs"]]
             for b, raw in zip(p["bucket"].tolist(), p["blob"]):
                 if raw is None:
                     continue
                 if b != now and blobs:
-                    yield from decided(blobs)
+                    yield from decided(blobs, groups)
                     blobs = []
                 now = b
                 blobs.append(raw)
         if blobs:
-            yield from decided(blobs)
+            yield from decided(blobs, groups)
 
     # rows without a blob stay in the task that made them or go anywhere: the bucket they carry only deals them out
-    dealt = packed_.withColumn("bucket", F.when(F.col("blob").isNull(), F.pmod(F.col("doc_id"), F.lit(buckets)).cast("int")).otherwise(F.col("bucket")))
+    dealt = packed_.withColumn("bucket", F.when(F.col("blob").isNull(), F.pmod(F.col("g"), F.lit(buckets))).otherwise(F.col("bucket")))
     return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(run, FOUND)
 
 
 PARTS = "kind int, key1 long, key2 long, doc_id long, tag long, start long, stop long, piece binary"
 
 
-def parts_of(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """Cuts (kind WHOLE: start, stop), open runs (OPEN: key1 anchor, piece) and hashed strings (SPREAD: key1, key2)."""
-    places = found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("kind", "starts")).alias("places"))
+def parts_of(documents: DataFrame, found: DataFrame, groups: int) -> DataFrame:
+    """Cuts (kind WHOLE: start, stop), open runs (OPEN: key1 anchor, key2 its offset, piece), hashed strings (SPREAD: key1, key2).
+
+    What is told of a group of documents meets their texts in one task: first all of the former, then text by text.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in PARTS.split(", ")]
+        now, sorted_, by, out = None, False, {}, []
         for p in parts:
-            out = []
-            texts = utf8(p["text"])
-            for doc_id, tag, raw, told, (start, stop, anchor, _) in zip(p["doc_id"].tolist(), p["tag"].tolist(), texts, p["places"], all_runs(texts)):
-                kinds = {k: np.unique(np.concatenate([np.frombuffer(w["starts"], np.uint32) for w in told if w["kind"] == k]).astype(np.int64)) for k in {w["kind"] for w in told}}
-                at = {k: np.searchsorted(start, v) for k, v in kinds.items()}
-                if WHOLE in at:
-                    i = at[WHOLE]
-                    for a, b in merged(start[i], stop[i] + LEAST - 1):
-                        out.append((WHOLE, 0, 0, doc_id, tag, a, b, None))
-                if OPEN in at:
-                    for i in at[OPEN].tolist():
-                        out.append((OPEN, int(anchor[i].astype(np.int64)), 0, doc_id, tag, int(start[i]), int(stop[i]), raw[start[i] : stop[i] + LEAST - 1]))
-                if SPREAD in at:
-                    for i in at[SPREAD].tolist():
-                        for s in range(int(start[i]), int(stop[i])):
-                            one, two = np.frombuffer(hashlib.blake2b(raw[s : s + LEAST], digest_size=16).digest(), np.int64).tolist()
-                            out.append((SPREAD, one, two, doc_id, tag, s, s + LEAST, None))
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-    texts = documents.join(places, ["doc_id", "tag"])
-    return texts.select("doc_id", "tag", "text", "places").mapInPandas(run, PARTS)
+            for g, kind, raw, doc_id, tag, text in zip(p["g"].tolist(), p["kind"].tolist(), p["runs"], p["doc_id"].tolist(), p["tag"].tolist(), p["text"]):
+                if g != now:
+                    now, sorted_, by = g, False, {}
+                if raw is not None:
+                    by.setdefault(int(kind), []).append(raw)
+                    continue
+                if not sorted_:
+                    by = {k: by_document(np.frombuffer(b"".join(v), TOLD[k])) for k, v in by.items()}
+                    sorted_ = True
+                tag, data = int(tag), None
+                for k, (rows, docs) in by.items():
+                    low, high = np.searchsorted(docs, doc_id, "left"), np.searchsorted(docs, doc_id, "right")
+                    own = rows[low:high]
+                    own = own[own["tag"] == tag]
+                    if len(own):
+                        data = (text or "").encode("utf-8", "replace") if data is None else data
+                        out += parts_of_text(k, np.unique(own), int(doc_id), tag, data)
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    # nulls would turn whole numbers into floating ones on the way to pandas
+    nothing = {"kind": F.lit(-1).cast("int"), "runs": F.lit(None).cast("binary"), "doc_id": F.lit(0).cast("long"), "tag": F.lit(0).cast("long"), "text": F.lit(None).cast("string")}
+    texts = documents.select(F.pmod(F.col("doc_id"), F.lit(groups)).cast("int").alias("g"), F.lit(1).alias("turn"), nothing["kind"].alias("kind"), nothing["runs"].alias("runs"), "doc_id", "tag", "text")
+    runs_ = found.select("g", F.lit(0).alias("turn"), "kind", "runs", *[nothing[c].alias(c) for c in ("doc_id", "tag", "text")])
+    return texts.unionByName(runs_).repartition("g").sortWithinPartitions("g", "turn").mapInPandas(run, PARTS)
+
+
+def by_document(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    rows = rows[np.argsort(rows["doc"], kind="stable")]
+    return rows, np.ascontiguousarray(rows["doc"])
+
+
+def parts_of_text(kind: int, rows: np.ndarray, doc_id: int, tag: int, data: bytes) -> list[tuple]:
+    """PARTS rows of one document and kind."""
+    start = rows["start"].astype(np.int64)
+    if kind == WHOLE:
+        return [(WHOLE, 0, 0, doc_id, tag, a, b, None) for a, b in merged(start, start + rows["size"] + (LEAST - 1))]
+    if kind == OPEN:
+        found = zip(start.tolist(), rows["size"].tolist(), rows["offset"].tolist(), rows["anchor"].astype(np.int64).tolist())
+        return [(OPEN, anchor, offset, doc_id, tag, a, a + n, data[a : a + n + LEAST - 1]) for a, n, offset, anchor in found]
+    out = []
+    for a, n in zip(start.tolist(), rows["size"].tolist()):
+        for s in range(a, a + n):
+            one, two = np.frombuffer(hashlib.blake2b(data[s : s + LEAST], digest_size=16).digest(), np.int64).tolist()
+            out.append((SPREAD, one, two, doc_id, tag, s, s + LEAST, None))
+    return out
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
@@ -292,10 +376,34 @@ def merged(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
 CUTS = "doc_id long, tag long, start long, stop long"
 
 
-def bucket_cuts(held: list[tuple]) -> pd.DataFrame | None:
-    """Cuts among the open runs (doc_id, tag, start, piece) of a bucket: strings with a smaller document in their group."""
-    doc = np.array([x[0] for x in held], np.int64)
-    group, piece, offset = bwt.repeats([x[3] for x in held], LEAST)
+def partnered(pieces: list[bytes], anchor: np.ndarray, offset: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether another document's piece has the same anchor and the same REACH bytes to the left or right of it."""
+    lengths = np.array([len(x) for x in pieces])
+    base = np.cumsum(lengths) - lengths
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    at = base + offset
+    keep = np.zeros(len(pieces), bool)
+    for has, low in ((offset >= REACH, at - REACH), (offset + GRAM + REACH <= lengths, at)):
+        i = np.flatnonzero(has)
+        if len(i):
+            key = mixed(range_hashes(data, low[i], low[i] + GRAM + REACH) + mixed(anchor[i]))
+            order = np.argsort(key)
+            first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+            d = doc[i][order]
+            several = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+            keep[i[order]] |= np.repeat(several, np.diff(np.append(first, len(i))))
+    return keep
+
+
+def bucket_cuts(p: pd.DataFrame) -> pd.DataFrame | None:
+    """Cuts among the open runs of a bucket: strings with a smaller document in their group."""
+    doc, tag, base = (p[c].to_numpy(np.int64) for c in ("doc_id", "tag", "start"))
+    pieces = p["piece"].tolist()
+    keep = np.flatnonzero(partnered(pieces, p["key1"].to_numpy(np.int64).view(np.uint64), p["key2"].to_numpy(np.int64), doc))
+    doc, tag, base = doc[keep], tag[keep], base[keep]
+    if not len(keep):
+        return None
+    group, piece, offset = bwt.repeats([pieces[i] for i in keep], LEAST)
     if not len(group):
         return None
     order = np.argsort(group, kind="stable")
@@ -306,14 +414,12 @@ def bucket_cuts(held: list[tuple]) -> pd.DataFrame | None:
     piece, offset = piece[late], offset[late]
     order = np.lexsort((offset, piece))
     piece, offset = piece[order], offset[order]
-    new = np.append(True, (piece[1:] != piece[:-1]) | (offset[1:] > offset[:-1] + LEAST))
     if not len(piece):
         return None
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (offset[1:] > offset[:-1] + LEAST)))
     last = np.append(first[1:] - 1, len(piece) - 1)
     rows = piece[first]
-    base = np.array([held[i][2] for i in rows], np.int64)
-    return pd.DataFrame({"doc_id": doc[rows], "tag": [held[i][1] for i in rows], "start": base + offset[first], "stop": base + offset[last] + LEAST})
+    return pd.DataFrame({"doc_id": doc[rows], "tag": tag[rows], "start": base[rows] + offset[first], "stop": base[rows] + offset[last] + LEAST})
 
 
 def open_cuts(open_: DataFrame) -> DataFrame:
@@ -322,19 +428,18 @@ def open_cuts(open_: DataFrame) -> DataFrame:
     buckets = max(12, size // BUCKET_BYTES)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
+        held: list[pd.DataFrame] = []
         for p in parts:
-            for b, *row in zip(p["bucket"].tolist(), p["doc_id"].tolist(), p["tag"].tolist(), p["start"].tolist(), p["piece"]):
-                if b != now and held:
-                    if (out := bucket_cuts(held)) is not None:
+            for number, q in p.groupby("bucket", sort=True):
+                if held and held[0]["bucket"].iat[0] != number:
+                    if (out := bucket_cuts(pd.concat(held))) is not None:
                         yield out
                     held = []
-                now = b
-                held.append(tuple(row))
-        if held and (out := bucket_cuts(held)) is not None:
+                held.append(q)
+        if held and (out := bucket_cuts(pd.concat(held))) is not None:
             yield out
 
-    rows = open_.select(F.pmod(F.xxhash64("key1"), F.lit(buckets)).cast("int").alias("bucket"), "doc_id", "tag", "start", "piece")
+    rows = open_.select(F.pmod(F.xxhash64("key1"), F.lit(buckets)).cast("int").alias("bucket"), "key1", "key2", "doc_id", "tag", "start", "piece")
     return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(run, CUTS)
 
 
@@ -345,18 +450,27 @@ def spread_cuts(spread: DataFrame) -> DataFrame:
 
 
 def find_cuts(documents: DataFrame) -> DataFrame:
-    """Per document (doc_id, tag = xxhash64 of its text): ``cuts``, an array of (start, stop) byte ranges to remove."""
+    """Per document (doc_id, tag = xxhash64 of its text): ``cuts``, the (start, stop) of its maximal byte ranges to remove,
+    as packed 64-bit integers."""
     spark = documents.sparkSession
     texts = documents.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tag"), "text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(12, size // 17 // RUNS_PER_BUCKET)  # a run has 17 strings or so
-    found = decided_runs(packed_runs(texts, buckets), buckets)
+    groups = 2 * buckets
+    found = decided_runs(packed_runs(texts, buckets, groups), buckets, groups)
     folder = shared_dir(spark, "suffix-parts")
-    parts_of(texts, found).write.parquet(folder)
+    parts_of(texts, found, groups).write.parquet(folder)
     parts = spark.read.schema(PARTS).parquet(folder)
     whole = parts.filter(F.col("kind") == WHOLE).select("doc_id", "tag", "start", "stop")
     every = whole.unionByName(open_cuts(parts.filter(F.col("kind") == OPEN))).unionByName(spread_cuts(parts.filter(F.col("kind") == SPREAD)))
-    return every.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"))
+    cuts = every.groupBy("doc_id", "tag").agg(F.collect_list("start").alias("start"), F.collect_list("stop").alias("stop"))
+
+    def union(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts_:
+            spans = [np.array(merged(np.asarray(a, np.int64), np.asarray(b, np.int64)), np.int64).tobytes() for a, b in zip(p["start"], p["stop"])]
+            yield pd.DataFrame({"doc_id": p["doc_id"], "tag": p["tag"], "cuts": spans})
+
+    return cuts.mapInPandas(union, "doc_id long, tag long, cuts binary")
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -365,16 +479,16 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def with_cuts(documents: DataFrame, columns: list[str]) -> DataFrame:
     """The documents with ``cuts`` (null without any), by broadcast where a count shows that they are few."""
     cuts = cut(find_cuts(documents))
-    few = cuts.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_CUTS
+    few = cuts.agg(F.coalesce(F.sum(F.length("cuts")), F.lit(0)).alias("n")).first()["n"] <= 16 * BROADCAST_CUTS
     texts = documents.select(*columns, F.xxhash64("text").alias("tag"))
     return texts.join(F.broadcast(cuts) if few else cuts, ["doc_id", "tag"], "left")
 
 
-def kept(raw: bytes, cuts) -> tuple[bytes, int, int]:
+def kept(raw: bytes, cuts: bytes | None) -> tuple[bytes, int, int]:
     """What is left of a text, how many bytes went and in how many maximal runs."""
-    if cuts is None or not len(cuts):
+    if not cuts:
         return raw, 0, 0
-    gone = merged(np.array([c["start"] for c in cuts], np.int64), np.array([c["stop"] for c in cuts], np.int64))
+    gone = np.frombuffer(cuts, np.int64).reshape(-1, 2).tolist()
     left = b"".join(raw[a:b] for a, b in zip([0, *[b for _, b in gone]], [*[a for a, _ in gone], len(raw)]))
     return left, len(raw) - len(left), len(gone)
 
