@@ -27,6 +27,8 @@ from linkweave.llm.common import fold
 TRAIN_DOCS = 2_000
 BITS, SIZES, DIM = 12, (2, 3, 4), 16
 EPOCHS, BATCH, RATE = 30, 16, 8.0
+#: Rows whose subword counts a task holds at once.
+ROWS = 256
 LETTER = re.compile(r"[^\W\d_]")
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -126,8 +128,8 @@ def identify(documents: DataFrame, model: Model | None, folds: int = 4, held_out
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            for at in range(0, len(p), 256):
-                q = p.iloc[at : at + 256]
+            for at in range(0, len(p), ROWS):
+                q = p.iloc[at : at + ROWS]
                 names, score, rejected = predict(list(q["text"]), model)
                 yield pd.DataFrame({"doc_id": q["doc_id"], "held_out": q["held_out"], "lang_pred": names, "score": score, "rejected": rejected})
 
@@ -140,6 +142,8 @@ def keep_identified(documents: DataFrame, model: Model | None) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            yield p[~predict(list(p["text"]), model)[2]]
+            for at in range(0, len(p), ROWS):
+                q = p.iloc[at : at + ROWS]
+                yield q[~predict(list(q["text"]), model)[2]]
 
     return documents.mapInPandas(run, documents.schema)
