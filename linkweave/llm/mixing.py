@@ -152,19 +152,20 @@ def mixed_corpus(docs: DataFrame, plan: MixPlan | None = None) -> DataFrame:
     A document at which a leaf's prefix ends keeps its first tokens only (its n_chars follows, where there is one).
     """
     plan = plan or MixPlan()
-    names = docs.columns
     tokens = cut(token_table(docs))
     leaf = {"domain": "mix_domain", "lang": "mix_lang", "source": "mix_source"}
     ends = cut(cuts(tokens, plan)).withColumnsRenamed(leaf)
-    out = with_small(with_leaf(docs), ends, list(leaf.values())).withColumns(taken("mix_tokens", "doc_id", plan))
+    whole = with_leaf(docs).select(F.struct(*docs.columns).alias("row"), "doc_id", "mix_domain", "mix_lang", "mix_source", "mix_tokens")
+    out = with_small(whole, ends, list(leaf.values())).withColumns(taken("mix_tokens", "doc_id", plan))
     out = out.filter((F.col("mix_tokens") > 0) & ((F.col("epochs") > 0) | (F.col("part_tokens") > 0)))
-    out = out.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("epochs") - F.when(F.col("part_tokens") > 0, 0).otherwise(1))))
-    short = (F.col("mix_copy") == F.col("epochs")) & (F.col("part_tokens") < F.col("mix_tokens"))
-    head = F.array_join(F.slice(F.split("text", "(?<=[^ \\t\\n\\x0B\\f\\r])(?=[ \\t\\n\\x0B\\f\\r])"), F.lit(1), F.col("part_tokens").cast("int")), "")
-    out = out.withColumn("text", F.when(short, head).otherwise(F.col("text")))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("epochs") - F.when(F.col("part_tokens") > 0, 0).otherwise(1))))
+    short = (F.col("copy") == F.col("epochs")) & (F.col("part_tokens") < F.col("mix_tokens"))
+    head = F.array_join(F.slice(F.split("row.text", "(?<=[^ \\t\\n\\x0B\\f\\r])(?=[ \\t\\n\\x0B\\f\\r])"), F.lit(1), F.col("part_tokens").cast("int")), "")
+    out = out.withColumn("text", F.when(short, head).otherwise(F.col("row.text")))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(short, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -117,8 +117,8 @@ def scan_secrets(documents: DataFrame) -> DataFrame:
 
 def redact_secrets(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with each run of overlapping spans replaced by ``mark``; n_chars follows, where there is one."""
-    names = documents.columns
-    found = find_spans(documents, train_markov(documents))
+    whole = documents.select(F.struct(*documents.columns).alias("row"), "text")
+    found = find_spans(whole, train_markov(documents))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -129,6 +129,7 @@ def redact_secrets(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
     clean = F.aggregate("secret_all", zero, step, lambda acc: F.concat(acc["text"], F.substr(F.col("text"), acc["at"] + 1)))
     hit = F.size("secret_all") > 0
     found = found.withColumn("text", F.when(hit, clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        found = found.withColumn("n_chars", F.when(hit, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*names)
+    new = {"text": F.col("text")}
+    if "n_chars" in documents.columns:
+        new["n_chars"] = F.when(hit, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
