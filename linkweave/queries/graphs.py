@@ -202,3 +202,45 @@ def culled_intervals(spark, sf):
     pos = (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp"))).cast("long")
     i = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("contig"), pos.alias("start"), (pos + F.floor("value") * 300).alias("stop"), F.col("value").alias("score"))
     return S.culled(i, 1, 5_000)
+
+
+@query("star_cover")
+def star_cover(spark, sf):
+    from linkweave.operators import local
+
+    return local.by_component(cells(spark, sf), local.star_cover, "cluster long, node long")
+
+
+@query("louvain_communities")
+def louvain_communities(spark, sf):
+    from linkweave.operators import local
+
+    return local.by_component(T.mirrored(edges(spark, sf)), local.louvain, "cluster long, node long")
+
+
+@query("max_flows")
+def max_flows(spark, sf):
+    from linkweave.operators import local
+
+    return local.by_component(cells(spark, sf), local.pair_flows, "u long, v long, flow double")
+
+
+@query("spanning_order")
+def spanning_order(spark, sf):
+    from linkweave.operators import local
+
+    return local.by_component(cells(spark, sf), local.spanning_order, "node long, place long")
+
+
+@query("noisy_graph")
+def noisy_graph(spark, sf):
+    from linkweave.operators.generators import noise_edges
+
+    return noise_edges(M.nodes(spark, sf), heavy(spark, sf), 0.2, 7)
+
+
+@query("mutated_truth")
+def mutated_truth(spark, sf):
+    from linkweave.operators.generators import mutated
+
+    return mutated(M.hard_truth(spark, sf), 0.1, 0.05, 7)
