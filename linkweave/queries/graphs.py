@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkweave import model as M
-from linkweave.operators import cover, linkage as L, mcl as K, paths as P, similarity as S, transforms as T, variants as V
+from linkweave.operators import cover, linkage as L, markov as K, paths as P, similarity as S, transforms as T, variants as V
 from linkweave.queries.linkage import edges, heavy
 from linkweave.registry import query
 
@@ -78,13 +78,13 @@ def page_rank(spark, sf):
 
 @query("markov_clusters")
 def markov_clusters(spark, sf):
-    return K.mcl(cells(spark, sf), M.nodes(spark, sf), rounds=12)
+    return K.markov_clusters(cells(spark, sf), M.nodes(spark, sf), rounds=12)
 
 
 @query("regularised_clusters")
 def regularised_clusters(spark, sf):
     c = cells(spark, sf)
-    return K.attractor_of(K.rmcl(c, L.ends(heavy(spark, sf)), rounds=6))
+    return K.attractor_of(K.regularised_flow(c, L.ends(heavy(spark, sf)), rounds=6))
 
 
 SQL_FLOW = f"{M.SQL_CELL}, g0 AS (SELECT * FROM cell UNION ALL SELECT DISTINCT col, col, CAST(1 AS DOUBLE) FROM cell), g AS (SELECT col, row, val / sum(val) OVER (PARTITION BY col) AS val FROM g0)"

@@ -62,7 +62,7 @@ matrix("matrix_product", sql("SELECT a.col, b.row, sum(a.val * b.val) AS val FRO
 matrix("matrix_step", sql("WITH p AS (SELECT a.col, b.row, sum(a.val * b.val) AS val FROM cell a JOIN cell b ON a.row = b.col GROUP BY 1, 2) SELECT a.col, b.row, sum(a.val * b.val) AS val FROM p a JOIN p b ON a.row = b.col GROUP BY 1, 2"), lambda c: T.step(c, 2))
 matrix("stochastic_columns", sql(f"SELECT col, row, val / s AS val FROM cell JOIN ({COLSUM}) USING (col)"), T.stochastic)
 matrix("inflated_columns", sql("SELECT col, row, power(val, CAST(1.7 AS DOUBLE)) / sum(power(val, CAST(1.7 AS DOUBLE))) OVER (PARTITION BY col) AS val FROM cell"), lambda c: T.inflated(c, 1.7))
-matrix("mcl_expand_inflate_step", sql("WITH m0 AS (SELECT col, row, val FROM cell UNION ALL SELECT col, col, max(val) FROM cell GROUP BY col), m AS (SELECT col, row, val / sum(val) OVER (PARTITION BY col) AS val FROM m0), p AS (SELECT a.col, b.row, sum(a.val * b.val) AS val FROM m a JOIN m b ON a.row = b.col GROUP BY 1, 2) SELECT col, row, val * val / sum(val * val) OVER (PARTITION BY col) AS val FROM p"), lambda c: T.Cells(T.max_loops(c)).stochastic().expand().inflate(2).df)
+matrix("expand_inflate_step", sql("WITH m0 AS (SELECT col, row, val FROM cell UNION ALL SELECT col, col, max(val) FROM cell GROUP BY col), m AS (SELECT col, row, val / sum(val) OVER (PARTITION BY col) AS val FROM m0), p AS (SELECT a.col, b.row, sum(a.val * b.val) AS val FROM m a JOIN m b ON a.row = b.col GROUP BY 1, 2) SELECT col, row, val * val / sum(val * val) OVER (PARTITION BY col) AS val FROM p"), lambda c: T.Cells(T.max_loops(c)).stochastic().expand().inflate(2).df)
 matrix("folded_nodes", sql("SELECT col // 2 * 2 AS col, row // 2 * 2 AS row, max(val) AS val FROM cell WHERE col // 2 <> row // 2 GROUP BY 1, 2"), lambda c: T.folded(c, c.select(F.col("col").alias("node")).distinct().withColumn("master", F.expr("node div 2 * 2"))))
 matrix("renamed_nodes", sql("SELECT col % 100 AS col, row % 100 AS row, sum(val) AS val FROM cell GROUP BY 1, 2"), lambda c: T.renamed(c, c.select(F.col("col").alias("old")).distinct().withColumn("new", F.col("old") % 100)))
 matrix("ncut_weights", sql(f"WITH d AS ({COLSUM}) SELECT c.col, c.row, val / (a.s * b.s) AS val FROM cell c JOIN d a ON a.col = c.col JOIN d b ON b.col = c.row"), lambda c: T.ncut_weights(c, "product"))
