@@ -9,10 +9,13 @@ prefix, and the positions bound the overlap.
 
 1. The order is cut into fragments, and each fragment finds the candidates among its own n-grams. An n-gram of at most
    ``LIST`` classes gives all its pairs; entries of others, and of heavy hitters, go on as rows.
-2. Those long lists are joined in rounds, so that no group emits all its pairs: first each entry with its list's leader, and
-   once these links' components are known, each entry outside its leader's component with the entries of other
-   components. Pairs within a component need no test.
-3. Candidates are verified by partial overlaps: both sets are cut at fixed points of the order, each fragment
+2. Those long lists are joined in rounds, so that no group emits all its pairs: first each entry with its list's leader (the
+   class with the largest share of its prefix in long lists), and once these links' components are known, each entry
+   outside its list's main component with some of that component, then with all entries of other components, under the
+   bounds of lengths, places and bitmaps. Pairs within a component need no test.
+3. Candidates whose sets can't overlap enough fall to an upper bound: hashed parity bitmaps, four bits per n-gram or more,
+   differ in no more places than the sets do.
+4. The others are verified by partial overlaps: both sets are cut at fixed points of the order, each fragment
    counts its common n-grams, and the counts are summed per pair. A leader of many pairs is salted.
 
 The result is exact up to collisions of 64-bit n-gram hashes. Words are runs without ASCII white space, A-Z
@@ -39,12 +42,19 @@ from linkweave.operators.components import connected_components
 LIST = 8
 #: Heavy hitters: at most so many n-grams, each in at least so many documents of one batch and in all.
 HEAVY, HEAVY_IN_BATCH, HEAVY_IN_ALL = 100_000, 4, 32
-ENTRIES_PER_FRAGMENT = 2_000_000
+ENTRIES_PER_FRAGMENT = 600_000
 #: Fragments of the order in which partial overlaps are counted, and pairs of one leader in one task.
 OVERLAP_FRAGMENTS, PAIRS_PER_SALT = 4, 512
 #: Sets needed for verification are told to the scan by broadcast up to this many, else by shuffle join.
 BROADCAST_SETS = 200_000
 ROWS = 512
+#: Rows whose n-grams a task holds together.
+SLICE = 4_096
+LEAST_BITS, MOST_BITS = 256, 1 << 20
+#: Long lists are joined under a bound from bitmaps of so many longs.
+SKETCH = 32
+#: Members of a list's main component that each other entry is first compared with.
+PROBES = 2
 
 
 @dataclass(frozen=True)
@@ -67,27 +77,56 @@ def digest(h: np.ndarray) -> bytes:
     return np.array([h.sum(), shingles.mixed(h ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64).tobytes()
 
 
+def parity(h: np.ndarray) -> bytes:
+    """A bitmap of four bits per n-gram or more: whether an odd number of hashes fall on each place."""
+    bits = min(max(LEAST_BITS, 1 << max(4 * len(h) - 1, 1).bit_length()), MOST_BITS)
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch(h: np.ndarray) -> list[int]:
+    """A parity bitmap of 64 * SKETCH places as longs."""
+    odd = (np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Places in which two bitmaps differ: at most the size of the sets' symmetric difference. Longer ones are folded."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def some_sets(p: pd.DataFrame, like: Likeness) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
     for at in range(0, len(p), ROWS):
         q = p.iloc[at : at + ROWS]
         yield q, list(shingles.sets(list(q["text"]), like.width))
 
 
+def slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for p in parts:
+        for at in range(0, len(p), SLICE):
+            yield p.iloc[at : at + SLICE]
+
+
 def summaries(documents: DataFrame, like: Likeness) -> DataFrame:
-    """Rows (doc_id, n, class) of all documents (class null for empty sets), and rows (gram, times) of frequent n-grams."""
+    """Rows (doc_id, n, class, bits, sketch) of all documents (class null for empty sets), and rows (gram, times) of frequent n-grams."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in slices(parts):
             kept = []
             for q, found in some_sets(p, like):
                 kept += found
-                yield pd.DataFrame({"doc_id": q["doc_id"].astype("Int64"), "n": [len(h) for h in found], "class": [digest(h) if len(h) else None for h in found], "gram": None, "times": 0})
+                kept_rows = {"doc_id": q["doc_id"].astype("Int64"), "n": [len(h) for h in found], "class": [digest(h) if len(h) else None for h in found]}
+                yield pd.DataFrame(kept_rows | {"bits": [parity(h) if len(h) else None for h in found], "sketch": [sketch(h) if len(h) else None for h in found], "gram": None, "times": 0})
             grams, times = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = times >= HEAVY_IN_BATCH
             if often.any():
-                yield pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "n": -1, "class": None, "gram": grams[often].view(np.int64), "times": times[often]})
+                yield pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "n": -1, "class": None, "bits": None, "sketch": None, "gram": grams[often].view(np.int64), "times": times[often]})
 
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, class binary, gram long, times long")
+    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, class binary, bits binary, sketch array<long>, gram long, times long")
 
 
 def heavy_hitters(rows: DataFrame) -> np.ndarray:
@@ -128,7 +167,7 @@ def prefix_entries(documents: DataFrame, heavy: np.ndarray, fragments: int, like
     known = heavy[by_value]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in slices(parts):
             seen: set[bytes] = set()
             classes, sizes, owner, places, grams, ranks = [], [], [], [], [], []
             for _, found in some_sets(p, like):
@@ -236,13 +275,28 @@ def candidates(entries: DataFrame, fragments: int, like: Likeness) -> DataFrame:
     return entries.repartition(fragments, "fragment").sortWithinPartitions("fragment").mapInPandas(run, CANDIDATE)
 
 
+def plausible(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow enough overlap: common <= (na + nb - differing) / 2."""
+
+    @F.pandas_udf("boolean")
+    def allowed(x: pd.Series, nx: pd.Series, y: pd.Series, ny: pd.Series) -> pd.Series:
+        total = nx.to_numpy() + ny.to_numpy()
+        apart = np.array([differing(a, b) for a, b in zip(x, y)], np.int64)
+        return pd.Series((100 + like.percent) * ((total - apart) // 2) >= like.percent * total)
+
+    one = classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    two = classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    return pairs.join(one, "a").join(two, "b").filter(allowed("xa", "na", "xb", "nb")).select("a", "b")
+
+
 def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs of classes (a, b) that link, by partial overlaps; ``classes``: (class, rep), one row each."""
+    """The pairs of classes (a, b) that link, by partial overlaps; ``classes``: (class, rep, n, bits), one row each."""
+    pairs = cut(plausible(pairs, classes, like))
     load = pairs.groupBy("a").agg((F.floor(F.count("*") / PAIRS_PER_SALT) + 1).cast("int").alias("salts"))
     members = pairs.join(load, "a").select(F.col("b").alias("class"), F.col("a").alias("leader"), F.pmod(F.crc32("b"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("leads"))
     leaders = load.select(F.col("a").alias("class"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("leads"))
     need = members.unionByName(leaders).groupBy("class").agg(F.collect_list(F.struct("leader", "salt", "leads")).alias("places"))
-    need = cut(need.join(classes, "class").select(F.col("rep").alias("doc_id"), "class", "places"))
+    need = cut(need.join(classes.select("class", "rep"), "class").select(F.col("rep").alias("doc_id"), "class", "places"))
     if need.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
         need = F.broadcast(need)
     texts = documents.select("doc_id", "text").join(need, "doc_id")
@@ -295,7 +349,7 @@ def link_components(documents: DataFrame, like: Likeness | None = None) -> DataF
     like = like or Likeness()
     seen = cut(summaries(documents, like))
     rows = seen.filter("n >= 0").select("doc_id", "n", "class")
-    classes = cut(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
+    classes = cut(seen.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")).filter("rep is not null"))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     fragments = max(12, -(-total * (100 - like.percent) // 100 // ENTRIES_PER_FRAGMENT))
     found = cut(candidates(prefix_entries(documents, heavy_hitters(seen), fragments, like), fragments, like))
@@ -303,31 +357,48 @@ def link_components(documents: DataFrame, like: Likeness | None = None) -> DataF
     # short lists in full, long ones with their leaders: sets of like size under one n-gram
     entries = found.filter("b is null").select("a", "gram", "n", "place").distinct()
     entries = cut(entries.withColumn("step", F.floor(F.ln("n") / F.ln(F.lit(100 / like.percent))).cast("int")))
-    leaders = entries.groupBy("gram", "step").agg(F.min("a").alias("b"))
+    central = entries.groupBy("a").agg((F.count("*") / F.max("n")).alias("share"))
+    entries = cut(entries.join(central, "a"))
+    leaders = entries.groupBy("gram", "step").agg(F.max(F.struct("share", "a")).alias("best")).select("gram", "step", F.col("best.a").alias("b"))
     star = entries.join(leaders, ["gram", "step"]).select("a", "b")
     pairs = cut(ordered(found.filter("b is not null").select("a", "b").unionByName(star)))
     links = cut(verified(documents, classes, pairs, like))
     labels = class_components(links, classes)
 
-    # what is left of long lists: entries outside their leader's component with all of other components
-    part = entries.join(labels, F.col("a") == F.col("class"), "left").select("a", "gram", "n", "place", F.coalesce("label", "a").alias("label"))
-    part = cut(part)
-    mixed = part.groupBy("gram").agg(F.min("label").alias("main"), F.max("label").alias("other")).filter("main <> other").select("gram", "main")
-    open_ = part.join(mixed, "gram")
-    one = open_.filter("label <> main").select("gram", *[F.col(c).alias(f"{c}1") for c in ("a", "n", "place", "label")])
-    two = open_.select("gram", *[F.col(c).alias(f"{c}2") for c in ("a", "n", "place", "label")])
-    p, w = like.percent, 100 + like.percent
-    fits = F.expr(f"label1 <> label2 and {p} * greatest(n1, n2) <= 100 * least(n1, n2) and {w} * least(n1 - place1, n2 - place2) >= {p} * (n1 + n2)")
-    rest = one.join(two, (one["gram"] == two["gram"]) & fits).select(F.col("a1").alias("a"), F.col("a2").alias("b"))
-    rest = cut(ordered(rest).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.unionByName(verified(documents, classes, rest, like))
-        labels = class_components(cut(links), classes)
+    # what is left of long lists: entries outside their list's main component, first with some members of it, then with all
+    # entries of other components
+    for sampled in (True, False):
+        rest = cut(ordered(list_pairs(entries, labels, classes, like, sampled)).join(pairs, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            links = cut(links.unionByName(verified(documents, classes, rest, like)))
+            labels = class_components(links, classes)
+            pairs = pairs.unionByName(rest)
+    classes = classes.select("class", "rep")
     names = labels.join(classes, "class").groupBy("label").agg(F.min("rep").alias("component_id"))
     named = classes.join(labels, "class", "left").join(names, "label", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def list_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, like: Likeness, sampled: bool) -> DataFrame:
+    """Pairs (a, b) of one long list in different components: each entry outside the list's main component with PROBES members
+    of that component (drawn by hash), or with all entries of other components that the bounds of lengths, places and bitmaps allow."""
+    part = cut(entries.join(labels, F.col("a") == F.col("class"), "left").select("a", "gram", "n", "place", F.coalesce("label", "a").alias("label")))
+    held = part.groupBy("gram", "label").agg(F.count("*").alias("k"))
+    mixed = held.groupBy("gram").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("gram", F.col("most.label").alias("main"))
+    open_ = cut(part.join(mixed, "gram"))
+    if sampled:
+        drawn = [F.min(F.struct(F.xxhash64("a", F.lit(i)).alias("h"), "a")).alias(f"m{i}") for i in range(PROBES)]
+        probes = open_.filter("label = main").groupBy("gram").agg(*drawn).select("gram", F.explode(F.array(*[F.col(f"m{i}.a") for i in range(PROBES)])).alias("b"))
+        return open_.filter("label <> main").select("gram", "a").join(probes, "gram").select("a", "b")
+    open_ = open_.join(classes.select(F.col("class").alias("a"), *[F.col("sketch")[i].alias(f"x{i}") for i in range(SKETCH)]), "a")
+    named = lambda i: [F.col(c).alias(f"{c}_{i}") for c in ("a", "n", "place", "label", *[f"x{k}" for k in range(SKETCH)])]
+    one, two = open_.filter("label <> main").select("gram", *named(1)), open_.select("gram", *named(2))
+    p, w = like.percent, 100 + like.percent
+    apart = " + ".join(f"bit_count(x{k}_1 ^ x{k}_2)" for k in range(SKETCH))
+    fits = F.expr(f"label_1 <> label_2 and {p} * greatest(n_1, n_2) <= 100 * least(n_1, n_2) and {w} * least(n_1 - place_1, n_2 - place_2) >= {p} * (n_1 + n_2) and {w} * ((n_1 + n_2 - ({apart})) div 2) >= {p} * (n_1 + n_2)")
+    return one.join(two, (one["gram"] == two["gram"]) & fits).select(F.col("a_1").alias("a"), F.col("a_2").alias("b"))
+
+
 def class_components(links: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, label) of the classes that have a link; a label is a class."""
     return connected_components(links, "a", "b").select(F.col("node").alias("class"), F.col("component").alias("label"))

@@ -12,7 +12,7 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES)] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _Q = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93], np.uint64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -63,7 +63,7 @@ def sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray]:
         bound = np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
         h = np.zeros(max(len(words) - width + 1, 0), np.uint64)
         for i in range(width):
-            h += words[i : len(words) - width + 1 + i] * _Q[i]
+            h += words[i : i + len(h)] * _Q[i]
         h = mixed(h)
         for i in range(stop - at):
             low, high = bound[i], bound[i + 1]
