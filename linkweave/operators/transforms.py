@@ -250,10 +250,13 @@ def ncut_weights(cells: DataFrame, how: str = "product") -> DataFrame:
 
 
 def threshold_pruned(cells: DataFrame, least: float = 1e-7) -> DataFrame:
-    """Cells of a column not under 0.9 * mean * (1 - 2 (max - mean)), a bar held between ``least`` and the maximum."""
+    """Cells of a column not under 0.9 * mean * (1 - 2 (max - mean)), a bar held between ``least`` and the maximum.
+
+    Cells at the bar stay, whichever way it is rounded.
+    """
     s = cells.groupBy("col").agg(F.avg("val").alias("a"), F.max("val").alias("m"))
     bar = F.least(F.col("m"), F.greatest(F.lit(least), 0.9 * F.col("a") * (1 - 2 * (F.col("m") - F.col("a")))))
-    return cells.join(s, "col").filter(F.col("val") >= bar).select("col", "row", "val")
+    return cells.join(s, "col").filter(F.col("val") >= bar - 1e-12).select("col", "row", "val")
 
 
 def co_citation(cells: DataFrame, least: float) -> DataFrame:

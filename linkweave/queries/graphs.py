@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from linkweave import model as M
 from linkweave.operators import cover, linkage as L, markov as K, paths as P, similarity as S, transforms as T, variants as V
-from linkweave.queries.linkage import edges, heavy
+from linkweave.queries.linkage import edges, graph_query, heavy
 from linkweave.registry import query
 
 
-def cells(spark, sf):
-    return T.mirrored(heavy(spark, sf))
+def cells(spark, sf, graph=heavy):
+    return T.mirrored(graph(spark, sf))
 
 
 def six(df, *names):
@@ -23,14 +23,14 @@ SQL_FULL = f"{M.SQL_EDGE}, cell AS (SELECT u AS col, v AS row, weight AS val FRO
 SQL_REACH = f"WITH RECURSIVE {M.SQL_CELL}, reach(node, root) AS (SELECT DISTINCT col, col FROM cell UNION SELECT c.row, r.root FROM reach r JOIN cell c ON c.col = r.node)"
 
 
-@query("connected_components", f"{SQL_REACH} SELECT p_partkey AS node, coalesce(m, p_partkey) AS component FROM part LEFT JOIN (SELECT node, min(root) AS m FROM reach GROUP BY 1) ON node = p_partkey")
-def connected_components(spark, sf):
-    return P.components(M.nodes(spark, sf), cells(spark, sf))
+@graph_query("connected_components", f"{SQL_REACH} SELECT p_partkey AS node, coalesce(m, p_partkey) AS component FROM part LEFT JOIN (SELECT node, min(root) AS m FROM reach GROUP BY 1) ON node = p_partkey", whole_sql=False)
+def connected_components(spark, sf, graph=heavy):
+    return P.components(M.nodes(spark, sf), cells(spark, sf, graph))
 
 
-@query("component_sizes", f"{SQL_REACH}, k AS (SELECT node, min(root) AS m FROM reach GROUP BY 1), n AS (SELECT m, count(*) AS size FROM k GROUP BY 1) SELECT size, count(*) AS components FROM n GROUP BY 1")
-def component_sizes(spark, sf):
-    c = P.components(L.ends(heavy(spark, sf)), cells(spark, sf)).groupBy("component").agg(F.count("*").alias("size"))
+@graph_query("component_sizes", f"{SQL_REACH}, k AS (SELECT node, min(root) AS m FROM reach GROUP BY 1), n AS (SELECT m, count(*) AS size FROM k GROUP BY 1) SELECT size, count(*) AS components FROM n GROUP BY 1", whole_sql=False)
+def component_sizes(spark, sf, graph=heavy):
+    c = P.components(L.ends(graph(spark, sf)), cells(spark, sf, graph)).groupBy("component").agg(F.count("*").alias("size"))
     return c.groupBy("size").agg(F.count("*").alias("components"))
 
 
@@ -53,7 +53,7 @@ def eccentricity(spark, sf):
 
 @query("betweenness")
 def betweenness(spark, sf):
-    return six(P.betweenness(cells(spark, sf), L.ends(heavy(spark, sf))), "score")
+    return six(P.betweenness(cells(spark, sf, edges), L.ends(edges(spark, sf))), "score")
 
 
 @query("clustering_coefficient", f"WITH {SQL_FULL}, t AS (SELECT a.col AS node, count(*) AS t FROM cell a JOIN cell b ON a.col = b.col AND a.row < b.row JOIN cell c ON c.col = a.row AND c.row = b.row GROUP BY 1), d AS (SELECT col AS node, count(*) AS d FROM cell GROUP BY 1) SELECT p_partkey AS node, {s6('CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END')} AS coefficient FROM part LEFT JOIN d ON d.node = p_partkey LEFT JOIN t ON t.node = p_partkey")
@@ -66,45 +66,45 @@ def ils_full_graph(spark, sf):
     return six(T.inverse_log_similarity(T.mirrored(edges(spark, sf))), "val")
 
 
-@query("neighbourhood", f"WITH {M.SQL_CELL}, s AS (SELECT p_partkey AS node FROM part WHERE p_size > 45), h AS (SELECT node FROM s UNION SELECT row FROM cell WHERE col IN (SELECT node FROM s)) SELECT node FROM h UNION SELECT row FROM cell WHERE col IN (SELECT node FROM h)")
-def neighbourhood(spark, sf):
-    return P.neighbourhood(cells(spark, sf), L.long_nodes(M.nodes(spark, sf), 45), 2)
+@graph_query("neighbourhood", f"WITH {M.SQL_CELL}, s AS (SELECT p_partkey AS node FROM part WHERE p_size > 45), h AS (SELECT node FROM s UNION SELECT row FROM cell WHERE col IN (SELECT node FROM s)) SELECT node FROM h UNION SELECT row FROM cell WHERE col IN (SELECT node FROM h)")
+def neighbourhood(spark, sf, graph=heavy):
+    return P.neighbourhood(cells(spark, sf, graph), L.long_nodes(M.nodes(spark, sf), 45), 2)
 
 
 @query("page_rank")
 def page_rank(spark, sf):
-    return six(P.page_rank(M.nodes(spark, sf), cells(spark, sf), rounds=5), "rank")
+    return six(P.page_rank(M.nodes(spark, sf), cells(spark, sf, edges), rounds=5), "rank")
 
 
 @query("markov_clusters")
 def markov_clusters(spark, sf):
-    return K.markov_clusters(cells(spark, sf), M.nodes(spark, sf), rounds=12)
+    return K.markov_clusters(cells(spark, sf, edges), M.nodes(spark, sf), rounds=12)
 
 
 @query("regularised_clusters")
 def regularised_clusters(spark, sf):
-    c = cells(spark, sf)
-    return K.attractor_of(K.regularised_flow(c, L.ends(heavy(spark, sf)), rounds=6))
+    c = cells(spark, sf, edges)
+    return K.attractor_of(K.regularised_flow(c, L.ends(edges(spark, sf)), rounds=6))
 
 
 SQL_FLOW = f"{M.SQL_CELL}, g0 AS (SELECT * FROM cell UNION ALL SELECT DISTINCT col, col, CAST(1 AS DOUBLE) FROM cell), g AS (SELECT col, row, val / sum(val) OVER (PARTITION BY col) AS val FROM g0)"
 
 
-@query("balance_penalty", f"WITH {SQL_FLOW}, k AS (SELECT row, sum(val) AS k FROM g GROUP BY 1), s AS (SELECT col, g.row, val * CASE WHEN k > 1 THEN power(k, CAST(-0.5 AS DOUBLE)) ELSE 1 END AS val FROM g JOIN k ON k.row = g.row) SELECT col, row, {s6('val / sum(val) OVER (PARTITION BY col)')} AS val FROM s")
-def balance_penalty(spark, sf):
-    g = T.stochastic(K.with_unit_loops(cells(spark, sf), L.ends(heavy(spark, sf))))
+@graph_query("balance_penalty", f"WITH {SQL_FLOW}, k AS (SELECT row, sum(val) AS k FROM g GROUP BY 1), s AS (SELECT col, g.row, val * CASE WHEN k > 1 THEN power(k, CAST(-0.5 AS DOUBLE)) ELSE 1 END AS val FROM g JOIN k ON k.row = g.row) SELECT col, row, {s6('val / sum(val) OVER (PARTITION BY col)')} AS val FROM s")
+def balance_penalty(spark, sf, graph=heavy):
+    g = T.stochastic(K.with_unit_loops(cells(spark, sf, graph), L.ends(graph(spark, sf))))
     return six(K.balanced(g, g, 0.5), "val")
 
 
-@query("regularised_step", f"WITH {SQL_FLOW}, p AS (SELECT a.col, b.row, sum(a.val * b.val) AS val FROM g a JOIN g b ON a.row = b.col GROUP BY 1, 2), i AS (SELECT col, row, val * val / sum(val * val) OVER (PARTITION BY col) AS val FROM p), s AS (SELECT *, avg(val) OVER (PARTITION BY col) AS a, max(val) OVER (PARTITION BY col) AS x FROM i), t AS (SELECT * FROM s WHERE val >= least(x, greatest(CAST(1e-7 AS DOUBLE), CAST(0.9 AS DOUBLE) * a * (1 - 2 * (x - a))))) SELECT col, row, {s6('val / sum(val) OVER (PARTITION BY col)')} AS val FROM t")
-def regularised_step(spark, sf):
-    g = T.stochastic(K.with_unit_loops(cells(spark, sf), L.ends(heavy(spark, sf))))
+@graph_query("regularised_step", f"WITH {SQL_FLOW}, p AS (SELECT a.col, b.row, sum(a.val * b.val) AS val FROM g a JOIN g b ON a.row = b.col GROUP BY 1, 2), i AS (SELECT col, row, val * val / sum(val * val) OVER (PARTITION BY col) AS val FROM p), s AS (SELECT *, avg(val) OVER (PARTITION BY col) AS a, max(val) OVER (PARTITION BY col) AS x FROM i), t AS (SELECT * FROM s WHERE val >= least(x, greatest(CAST(1e-7 AS DOUBLE), CAST(0.9 AS DOUBLE) * a * (1 - 2 * (x - a))))) SELECT col, row, {s6('val / sum(val) OVER (PARTITION BY col)')} AS val FROM t")
+def regularised_step(spark, sf, graph=heavy):
+    g = T.stochastic(K.with_unit_loops(cells(spark, sf, graph), L.ends(graph(spark, sf))))
     return six(K.regularised_step(g, g, 2.0), "val")
 
 
-@query("heavy_edge_matching", f"WITH {M.SQL_CELL}, s AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY val * 2 DESC, row) AS k FROM cell), p AS (SELECT col, row FROM s WHERE k = 1) SELECT a.col AS node, a.row AS mate FROM p a JOIN p b ON a.col = b.row AND a.row = b.col")
-def heavy_edge_matching(spark, sf):
-    return K.matching(cells(spark, sf), L.ends(heavy(spark, sf)).withColumn("weight", F.lit(1.0)), 1e9)
+@graph_query("heavy_edge_matching", f"WITH {M.SQL_CELL}, s AS (SELECT *, row_number() OVER (PARTITION BY col ORDER BY val * 2 DESC, row) AS k FROM cell), p AS (SELECT col, row FROM s WHERE k = 1) SELECT a.col AS node, a.row AS mate FROM p a JOIN p b ON a.col = b.row AND a.row = b.col")
+def heavy_edge_matching(spark, sf, graph=heavy):
+    return K.matching(cells(spark, sf, graph), L.ends(graph(spark, sf)).withColumn("weight", F.lit(1.0)), 1e9)
 
 
 @query("merged_clusters")
@@ -116,24 +116,24 @@ def merged_clusters(spark, sf):
 SQL_OWN = f"{M.SQL_CELL}, own AS (SELECT col, count(*) AS d, avg(val) AS m FROM cell GROUP BY 1)"
 
 
-@query("star_relevance", f"WITH {SQL_OWN} SELECT c.col AS node, {s6('0.5 * (count(*) FILTER (b.d <= a.d) + count(*) FILTER (a.m >= b.m)) / any_value(a.d)')} AS relevance FROM cell c JOIN own a ON a.col = c.col JOIN own b ON b.col = c.row GROUP BY 1")
-def star_relevance(spark, sf):
-    return six(cover.relevance(cells(spark, sf)), "relevance")
+@graph_query("star_relevance", f"WITH {SQL_OWN} SELECT c.col AS node, {s6('0.5 * (count(*) FILTER (b.d <= a.d) + count(*) FILTER (a.m >= b.m)) / any_value(a.d)')} AS relevance FROM cell c JOIN own a ON a.col = c.col JOIN own b ON b.col = c.row GROUP BY 1")
+def star_relevance(spark, sf, graph=heavy):
+    return six(cover.relevance(cells(spark, sf, graph)), "relevance")
 
 
 SQL_CUTS = f"{M.SQL_CELL}, c AS (SELECT col, row, val, a.p_brand AS c1, b.p_brand AS c2 FROM cell JOIN part a ON a.p_partkey = col JOIN part b ON b.p_partkey = row WHERE a.p_brand <> b.p_brand)"
 
 
-@query("soft_communities", f"WITH {SQL_CUTS} SELECT p_brand AS cluster, p_partkey AS node, CAST(1 AS DOUBLE) AS w FROM part UNION ALL SELECT DISTINCT c2, col, CAST(0.5 AS DOUBLE) FROM c")
-def soft_communities(spark, sf):
+@graph_query("soft_communities", f"WITH {SQL_CUTS} SELECT p_brand AS cluster, p_partkey AS node, CAST(1 AS DOUBLE) AS w FROM part UNION ALL SELECT DISTINCT c2, col, CAST(0.5 AS DOUBLE) FROM c")
+def soft_communities(spark, sf, graph=heavy):
     part = M.hard_clusters(spark, sf).select("cluster", F.col("obj").alias("node"))
-    return cover.soft_partition(cells(spark, sf), part)
+    return cover.soft_partition(cells(spark, sf, graph), part)
 
 
-@query("soft_communities_maxaff", f"WITH {SQL_CUTS}, m AS (SELECT *, max(val) OVER (PARTITION BY col) AS most FROM c) SELECT p_brand AS cluster, p_partkey AS node, CAST(1 AS DOUBLE) AS w FROM part UNION ALL SELECT DISTINCT c2, col, CAST(0.5 AS DOUBLE) FROM m WHERE val = most")
-def soft_communities_maxaff(spark, sf):
+@graph_query("soft_communities_maxaff", f"WITH {SQL_CUTS}, m AS (SELECT *, max(val) OVER (PARTITION BY col) AS most FROM c) SELECT p_brand AS cluster, p_partkey AS node, CAST(1 AS DOUBLE) AS w FROM part UNION ALL SELECT DISTINCT c2, col, CAST(0.5 AS DOUBLE) FROM m WHERE val = most")
+def soft_communities_maxaff(spark, sf, graph=heavy):
     part = M.hard_clusters(spark, sf).select("cluster", F.col("obj").alias("node"))
-    return cover.soft_partition(cells(spark, sf), part, "maxaff")
+    return cover.soft_partition(cells(spark, sf, graph), part, "maxaff")
 
 
 def vectors(spark, sf):
@@ -208,7 +208,7 @@ def culled_intervals(spark, sf):
 def star_cover(spark, sf):
     from linkweave.operators import local
 
-    return local.by_component(cells(spark, sf), local.star_cover, "cluster long, node long")
+    return local.by_component(cells(spark, sf, edges), local.star_cover, "cluster long, node long")
 
 
 @query("louvain_communities")
@@ -229,14 +229,14 @@ def max_flows(spark, sf):
 def spanning_order(spark, sf):
     from linkweave.operators import local
 
-    return local.by_component(cells(spark, sf), local.spanning_order, "node long, place long")
+    return local.by_component(cells(spark, sf, edges), local.spanning_order, "node long, place long")
 
 
 @query("noisy_graph")
 def noisy_graph(spark, sf):
     from linkweave.operators.generators import noise_edges
 
-    return noise_edges(M.nodes(spark, sf), heavy(spark, sf), 0.2, 7)
+    return noise_edges(M.nodes(spark, sf), edges(spark, sf), 0.2, 7)
 
 
 @query("mutated_truth")

@@ -18,6 +18,18 @@ def heavy(spark, sf):
     return edges(spark, sf).filter("weight >= 2")
 
 
+def graph_query(name, sql, whole_sql=True):
+    """Registers a function of (spark, sf, graph) twice: under ``name`` on the heavy edges, to which its SQL is bound, and as
+    ``name``_all on all edges, with the same SQL less the weight bound unless that is too slow."""
+
+    def add(f):
+        query(name, sql)(f)
+        query(f"{name}_all", sql.replace(M.SQL_HEAVY, M.SQL_HEAVY.removesuffix(" WHERE weight >= 2)") + ")") if sql and whole_sql else None)(lambda spark, sf: f(spark, sf, edges))
+        return f
+
+    return add
+
+
 @query("linkage_edges", f"WITH {M.SQL_EDGE}, {M.SQL_NODE} SELECT u, v, weight FROM edge WHERE u IN (SELECT node FROM node WHERE length > 5) AND v IN (SELECT node FROM node WHERE length > 5)")
 def linkage_edges(spark, sf):
     return L.among(edges(spark, sf), L.long_nodes(M.nodes(spark, sf), 5)).select("u", "v", "weight")
@@ -77,25 +89,25 @@ def drop_light_edges(spark, sf):
     return L.drop_light(M.nodes(spark, sf), edges(spark, sf), 1)[0]
 
 
-@query("isolates", f"WITH {M.SQL_HEAVY}, {M.SQL_NODE} SELECT node, length FROM node WHERE node NOT IN (SELECT u FROM heavy UNION SELECT v FROM heavy)")
-def isolates(spark, sf):
-    return L.isolates(M.nodes(spark, sf), heavy(spark, sf))
+@graph_query("isolates", f"WITH {M.SQL_HEAVY}, {M.SQL_NODE} SELECT node, length FROM node WHERE node NOT IN (SELECT u FROM heavy UNION SELECT v FROM heavy)")
+def isolates(spark, sf, graph=heavy):
+    return L.isolates(M.nodes(spark, sf), graph(spark, sf))
 
 
-@query("self_loops_added", f"WITH {M.SQL_HEAVY}, {M.SQL_NODE} SELECT u, v, weight FROM heavy UNION ALL SELECT node, node, CAST(1 AS DOUBLE) FROM node")
-def self_loops_added(spark, sf):
-    return L.with_loops(M.nodes(spark, sf), heavy(spark, sf))
+@graph_query("self_loops_added", f"WITH {M.SQL_HEAVY}, {M.SQL_NODE} SELECT u, v, weight FROM heavy UNION ALL SELECT node, node, CAST(1 AS DOUBLE) FROM node")
+def self_loops_added(spark, sf, graph=heavy):
+    return L.with_loops(M.nodes(spark, sf), graph(spark, sf))
 
 
-@query(
+@graph_query(
     "hub_removal",
     f"""WITH {M.SQL_HEAVY}, d AS (SELECT node, count(*) AS n FROM (SELECT u AS node FROM heavy UNION ALL SELECT v FROM heavy) GROUP BY 1),
     k AS (SELECT * FROM heavy WHERE u IN (SELECT node FROM d WHERE n <= 3) AND v IN (SELECT node FROM d WHERE n <= 3)),
     r AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM (SELECT u AS node FROM k UNION SELECT v FROM k))
     SELECT a.i AS u, b.i AS v, weight FROM k JOIN r a ON a.node = u JOIN r b ON b.node = v""",
 )
-def hub_removal(spark, sf):
-    return L.remove_hubs(heavy(spark, sf), 3)
+def hub_removal(spark, sf, graph=heavy):
+    return L.remove_hubs(graph(spark, sf), 3)
 
 
 @query("aligned_length", "SELECT l_partkey AS query, l_suppkey AS ref, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM lineitem WHERE l_discount <= CAST(0.065 AS DOUBLE) GROUP BY 1, 2")

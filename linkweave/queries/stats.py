@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from linkweave import model as M
 from linkweave.operators import bins as B, stats as A, transforms as T
-from linkweave.queries.linkage import edges, heavy
+from linkweave.queries.linkage import edges, graph_query, heavy
 from linkweave.registry import query
 
 
-def cells(spark, sf):
-    return T.mirrored(heavy(spark, sf))
+def cells(spark, sf, graph=heavy):
+    return T.mirrored(graph(spark, sf))
 
 
 def members(spark, sf):
@@ -45,9 +45,9 @@ def column_stats(spark, sf):
     return six(A.column_stats(full_cells(spark, sf)), "mean")
 
 
-@query("degree_stats", f"WITH {M.SQL_CELL}, d AS (SELECT p_partkey AS node, count(col) AS d FROM part LEFT JOIN cell ON col = p_partkey GROUP BY 1) SELECT count(*) AS n_nodes, CAST(sum(d) / 2 AS BIGINT) AS n_edges, count(*) FILTER (d = 0) AS isolates, {s6('avg(d)')} AS mean, median(d) AS median FROM d")
-def degree_stats(spark, sf):
-    return six(A.degree_stats(M.nodes(spark, sf), heavy(spark, sf)), "mean")
+@graph_query("degree_stats", f"WITH {M.SQL_CELL}, d AS (SELECT p_partkey AS node, count(col) AS d FROM part LEFT JOIN cell ON col = p_partkey GROUP BY 1) SELECT count(*) AS n_nodes, CAST(sum(d) / 2 AS BIGINT) AS n_edges, count(*) FILTER (d = 0) AS isolates, {s6('avg(d)')} AS mean, median(d) AS median FROM d")
+def degree_stats(spark, sf, graph=heavy):
+    return six(A.degree_stats(M.nodes(spark, sf), graph(spark, sf)), "mean")
 
 
 @query("edge_weight_spread", f"WITH {M.SQL_EDGE} SELECT {s6('avg(weight)')} AS mean, {s6('stddev_pop(weight)')} AS sd, quantile_cont(weight, 0.5) AS median, quantile_cont(weight, 0.75) - quantile_cont(weight, 0.25) AS iqr FROM edge")
@@ -93,16 +93,16 @@ def modularity(spark, sf):
     return six(A.modularity(full_cells(spark, sf), members(spark, sf)), "modularity")
 
 
-@query("node_cluster_scores", f"WITH {M.SQL_CELL}, {SQL_MEMBER}, e AS (SELECT col, sum(val) AS s FROM cell GROUP BY 1) SELECT c.col, cluster, count(*) AS n, sum(val) AS weight, {s6('sum(val) / any_value(s)')} AS share FROM cell c JOIN member ON node = row JOIN e ON e.col = c.col GROUP BY 1, 2")
-def node_cluster_scores(spark, sf):
-    return six(A.node_scores(cells(spark, sf), members(spark, sf)), "share")
+@graph_query("node_cluster_scores", f"WITH {M.SQL_CELL}, {SQL_MEMBER}, e AS (SELECT col, sum(val) AS s FROM cell GROUP BY 1) SELECT c.col, cluster, count(*) AS n, sum(val) AS weight, {s6('sum(val) / any_value(s)')} AS share FROM cell c JOIN member ON node = row JOIN e ON e.col = c.col GROUP BY 1, 2")
+def node_cluster_scores(spark, sf, graph=heavy):
+    return six(A.node_scores(cells(spark, sf, graph), members(spark, sf)), "share")
 
 
-@query("residue_assignment", f"WITH {M.SQL_CELL}, {SQL_MEMBER}, p AS (SELECT col, cluster, sum(val) AS weight FROM cell JOIN member ON node = row GROUP BY 1, 2) SELECT col AS node, cluster, weight FROM p QUALIFY row_number() OVER (PARTITION BY col ORDER BY weight DESC, cluster) = 1")
-def residue_assignment(spark, sf):
+@graph_query("residue_assignment", f"WITH {M.SQL_CELL}, {SQL_MEMBER}, p AS (SELECT col, cluster, sum(val) AS weight FROM cell JOIN member ON node = row GROUP BY 1, 2) SELECT col AS node, cluster, weight FROM p QUALIFY row_number() OVER (PARTITION BY col ORDER BY weight DESC, cluster) = 1")
+def residue_assignment(spark, sf, graph=heavy):
     from linkweave.operators.cover import residue
 
-    return residue(cells(spark, sf), members(spark, sf))
+    return residue(cells(spark, sf, graph), members(spark, sf))
 
 
 @query("clustering_sanity", f"WITH {M.SQL_SOFT}, k AS (SELECT node, count(cluster) AS k FROM (SELECT p_partkey AS node FROM part) LEFT JOIN (SELECT obj, cluster FROM clus WHERE cluster < 4) ON obj = node GROUP BY 1) SELECT count(*) FILTER (k = 0) AS missing, count(*) FILTER (k > 1) AS overlap, CAST(sum(greatest(k - 1, 0)) AS BIGINT) AS excess FROM k")

@@ -1,4 +1,5 @@
-"""Matrix and edge transforms. The matrix is the heavy linkage graph with both arcs of each edge, or the directed arcs."""
+"""Matrix and edge transforms. The matrix is the heavy linkage graph with both arcs of each edge (all of it in the ``_all``
+queries and in those without SQL), or the directed arcs."""
 
 from __future__ import annotations
 
@@ -6,12 +7,12 @@ from pyspark.sql import functions as F
 
 from linkweave import model as M
 from linkweave.operators import linkage as L, transforms as T
-from linkweave.queries.linkage import heavy
+from linkweave.queries.linkage import edges, graph_query, heavy
 from linkweave.registry import query
 
 
-def cells(spark, sf):
-    return T.mirrored(heavy(spark, sf))
+def cells(spark, sf, graph=heavy):
+    return T.mirrored(graph(spark, sf))
 
 
 def arcs(spark, sf):
@@ -30,8 +31,17 @@ def arc_sql(body: str) -> str:
     return sql(body, f"{M.SQL_ARC}, b AS (SELECT a.col, a.row, a.val, coalesce(r.val, 0) AS back FROM arc a LEFT JOIN arc r ON a.col = r.row AND a.row = r.col)")
 
 
+#: Dense on all edges: DuckDB takes too long there.
+NO_WHOLE_SQL = {"matrix_step"}
+
+
 def matrix(name: str, sql_text: str | None, of, source=cells):
-    query(name, sql_text)(lambda spark, sf: rounded(of(source(spark, sf))))
+    if source is not cells:
+        query(name, sql_text)(lambda spark, sf: rounded(of(source(spark, sf))))
+    elif sql_text is None:
+        query(name)(lambda spark, sf: rounded(of(cells(spark, sf, edges))))
+    else:
+        graph_query(name, sql_text, name not in NO_WHOLE_SQL)(lambda spark, sf, graph=heavy: rounded(of(cells(spark, sf, graph))))
 
 
 RANKED = "SELECT *, row_number() OVER (PARTITION BY col ORDER BY val DESC, row) AS k FROM cell"
@@ -74,29 +84,29 @@ matrix("upper_triangle", sql("SELECT * FROM cell WHERE col < row"), lambda c: c.
 matrix("perturbed_values", sql("WITH n AS (SELECT col, sqrt(sum(val * val)) AS n FROM cell GROUP BY col), d AS (SELECT e.col, e.row, sum(a.val * b.val) AS dot FROM cell e JOIN cell a ON a.col = e.col JOIN cell b ON b.col = e.row AND b.row = a.row GROUP BY 1, 2) SELECT e.col, e.row, e.val * (1 + CAST(0.01 AS DOUBLE) * coalesce(dot, 0) / (x.n * y.n)) AS val FROM cell e LEFT JOIN d ON d.col = e.col AND d.row = e.row JOIN n x ON x.col = e.col JOIN n y ON y.col = e.row"), lambda c: T.perturbed(c, 0.01))
 
 
-@query("matrix_sum", f"WITH {M.SQL_CELL} SELECT col, row, sum(val) AS val FROM (SELECT * FROM cell UNION ALL SELECT * FROM arc) GROUP BY 1, 2")
-def matrix_sum(spark, sf):
-    return T.combined(cells(spark, sf), arcs(spark, sf), "add")
+@graph_query("matrix_sum", f"WITH {M.SQL_CELL} SELECT col, row, sum(val) AS val FROM (SELECT * FROM cell UNION ALL SELECT * FROM arc) GROUP BY 1, 2")
+def matrix_sum(spark, sf, graph=heavy):
+    return T.combined(cells(spark, sf, graph), arcs(spark, sf), "add")
 
 
-@query("hadamard_product", f"WITH {M.SQL_CELL} SELECT c.col, c.row, c.val * a.val AS val FROM cell c JOIN arc a ON a.col = c.col AND a.row = c.row")
-def hadamard_product(spark, sf):
-    return T.combined(cells(spark, sf), arcs(spark, sf), "mul")
+@graph_query("hadamard_product", f"WITH {M.SQL_CELL} SELECT c.col, c.row, c.val * a.val AS val FROM cell c JOIN arc a ON a.col = c.col AND a.row = c.row")
+def hadamard_product(spark, sf, graph=heavy):
+    return T.combined(cells(spark, sf, graph), arcs(spark, sf), "mul")
 
 
-@query("frobenius_change", f"WITH {M.SQL_CELL} SELECT {M.sql6('sqrt(sum(d * d))')} AS distance FROM (SELECT sum(val) AS d FROM (SELECT * FROM cell UNION ALL SELECT col, row, -val FROM arc) GROUP BY col, row)")
-def frobenius_change(spark, sf):
-    return rounded(T.frobenius(cells(spark, sf), arcs(spark, sf)), "distance")
+@graph_query("frobenius_change", f"WITH {M.SQL_CELL} SELECT {M.sql6('sqrt(sum(d * d))')} AS distance FROM (SELECT sum(val) AS d FROM (SELECT * FROM cell UNION ALL SELECT col, row, -val FROM arc) GROUP BY col, row)")
+def frobenius_change(spark, sf, graph=heavy):
+    return rounded(T.frobenius(cells(spark, sf, graph), arcs(spark, sf)), "distance")
 
 
-@query("flow_distance", f"WITH {M.SQL_CELL}, f AS (SELECT col, row, val / sum(val) OVER (PARTITION BY col) AS val FROM cell), n AS (SELECT col, sum(val * val) AS n FROM f GROUP BY col), d AS (SELECT e.col, e.row, sum(a.val * b.val) AS dot FROM cell e JOIN f a ON a.col = e.col JOIN f b ON b.col = e.row AND b.row = a.row GROUP BY 1, 2) SELECT e.col, e.row, {M.sql6('sqrt(greatest(x.n + y.n - 2 * coalesce(dot, 0), 0))')} AS distance FROM cell e LEFT JOIN d ON d.col = e.col AND d.row = e.row JOIN n x ON x.col = e.col JOIN n y ON y.col = e.row")
-def flow_distance(spark, sf):
-    c = cells(spark, sf)
+@graph_query("flow_distance", f"WITH {M.SQL_CELL}, f AS (SELECT col, row, val / sum(val) OVER (PARTITION BY col) AS val FROM cell), n AS (SELECT col, sum(val * val) AS n FROM f GROUP BY col), d AS (SELECT e.col, e.row, sum(a.val * b.val) AS dot FROM cell e JOIN f a ON a.col = e.col JOIN f b ON b.col = e.row AND b.row = a.row GROUP BY 1, 2) SELECT e.col, e.row, {M.sql6('sqrt(greatest(x.n + y.n - 2 * coalesce(dot, 0), 0))')} AS distance FROM cell e LEFT JOIN d ON d.col = e.col AND d.row = e.row JOIN n x ON x.col = e.col JOIN n y ON y.col = e.row")
+def flow_distance(spark, sf, graph=heavy):
+    c = cells(spark, sf, graph)
     return rounded(T.flow_distance(T.stochastic(c), c), "distance")
 
 
-@query("adjacency_lines", f"WITH {M.SQL_CELL} SELECT col, string_agg(CAST(row AS VARCHAR) || ':' || CAST(CAST(val AS BIGINT) AS VARCHAR), ' ' ORDER BY row) AS line FROM cell GROUP BY col")
-def adjacency_lines(spark, sf):
+@graph_query("adjacency_lines", f"WITH {M.SQL_CELL} SELECT col, string_agg(CAST(row AS VARCHAR) || ':' || CAST(CAST(val AS BIGINT) AS VARCHAR), ' ' ORDER BY row) AS line FROM cell GROUP BY col")
+def adjacency_lines(spark, sf, graph=heavy):
     from linkweave.sources.matrices import adjacency
 
-    return adjacency(cells(spark, sf))
+    return adjacency(cells(spark, sf, graph))
