@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linkweave import model as M
 from linkweave.operators import cover, linkage as L, markov as K, paths as P, similarity as S, transforms as T, variants as V
 from linkweave.queries.linkage import edges, graph_query, heavy
-from linkweave.registry import query
+from linkweave.registry import ORACLE, query
 
 
 def cells(spark, sf, graph=heavy):
@@ -51,6 +51,21 @@ def eccentricity(spark, sf):
     return P.eccentricity(P.distances(cells(spark, sf), sources(spark, sf), 12))
 
 
+def all_distances(spark, sf):
+    c = cells(spark, sf, edges)
+    return P.distances(c, c.select(F.col("col").alias("node")).distinct())
+
+
+@query("bfs_distance_all")
+def bfs_distance_all(spark, sf):
+    return all_distances(spark, sf)
+
+
+@query("eccentricity_all")
+def eccentricity_all(spark, sf):
+    return P.eccentricity(all_distances(spark, sf))
+
+
 @query("betweenness")
 def betweenness(spark, sf):
     return six(P.betweenness(cells(spark, sf, edges), L.ends(edges(spark, sf))), "score")
@@ -167,8 +182,11 @@ def spearman_pairs(spark, sf):
 SQL_SET = "i AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS item FROM lineitem WHERE l_quantity >= 40), n AS (SELECT id, count(*) AS n FROM i GROUP BY 1), p AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM i a JOIN i b ON a.item = b.item AND a.id < b.id GROUP BY 1, 2), q AS (SELECT p.*, x.n AS na, y.n AS nb FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b)"
 
 
-def item_sets(spark, sf):
-    return M.table(spark, sf, "lineitem").filter("l_quantity >= 40").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item"))
+SQL_SET_ALL = SQL_SET.replace(" WHERE l_quantity >= 40", "")
+
+
+def item_sets(spark, sf, which="l_quantity >= 40"):
+    return M.table(spark, sf, "lineitem").filter(which).select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item"))
 
 
 @query("tanimoto_pairs", f"WITH {SQL_SET} SELECT a, b, {s6('common / (na + nb - common)')} AS tanimoto, {s6('common / sqrt(na * nb)')} AS cosine, common AS meet, {s6('common / least(na, nb)')} AS cover, na + nb - 2 * common AS hamming FROM q")
@@ -181,6 +199,19 @@ def subset_fraction(spark, sf):
     return six(S.subset_fractions(S.set_pairs(item_sets(spark, sf))), "meet", "diff")
 
 
+SQL_TANIMOTO, SQL_SUBSET = (ORACLE[n].replace(SQL_SET, SQL_SET_ALL) for n in ("tanimoto_pairs", "subset_fraction"))
+
+
+@query("tanimoto_pairs_all", SQL_TANIMOTO)
+def tanimoto_pairs_all(spark, sf):
+    return six(S.set_scores(S.set_pairs(item_sets(spark, sf, "true"))), "tanimoto", "cosine", "cover")
+
+
+@query("subset_fraction_all", SQL_SUBSET)
+def subset_fraction_all(spark, sf):
+    return six(S.subset_fractions(S.set_pairs(item_sets(spark, sf, "true"))), "meet", "diff")
+
+
 @query("snp_links", "WITH s AS (SELECT l_orderkey AS fragment, CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 2 END AS e, l_suppkey AS site FROM lineitem), p AS (SELECT least(a.site, b.site) AS s1, greatest(a.site, b.site) AS s2 FROM s a JOIN s b ON a.fragment = b.fragment AND a.e = 1 AND b.e = 2 AND a.site <> b.site) SELECT s1, s2, count(*) AS n FROM p GROUP BY 1, 2")
 def snp_links(spark, sf):
     return V.site_links(seen_sites(spark, sf))

@@ -225,6 +225,13 @@ def overlap_sets(spark, sf):
     return a.join(b, "cluster").filter("o1 < o2").groupBy("o1", "o2").agg(F.count("*").alias("shared"))
 
 
+@query("overlap_sets_all")
+def overlap_sets_all(spark, sf):
+    c = M.soft_clusters(spark, sf)
+    a, b = (c.select("cluster", F.col("obj").alias(o)) for o in ("o1", "o2"))
+    return a.join(b, "cluster").filter("o1 < o2").groupBy("o1", "o2").agg(F.count("*").alias("shared"))
+
+
 @query("parameter_grid", "SELECT a.r_name || '/' || b.n_name AS path, a.r_name AS region, b.n_name AS nation, CAST(i AS DOUBLE) AS inflation FROM region a, nation b, (VALUES (1.1), (1.4), (2.0)) t(i) WHERE b.n_regionkey = a.r_regionkey")
 def parameter_grid(spark, sf):
     from linkweave.plans.sweep import grid

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkweave import model as M
 from linkweave.operators import bins as B, stats as A, transforms as T
 from linkweave.queries.linkage import edges, graph_query, heavy
-from linkweave.registry import query
+from linkweave.registry import ORACLE, query
 
 
 def cells(spark, sf, graph=heavy):
@@ -111,6 +111,11 @@ def clustering_sanity(spark, sf):
     return A.sanity(M.nodes(spark, sf), m)
 
 
+@query("clustering_sanity_all", ORACLE["clustering_sanity"].replace(" WHERE cluster < 4", ""))
+def clustering_sanity_all(spark, sf):
+    return A.sanity(M.nodes(spark, sf), M.soft_clusters(spark, sf).select("cluster", F.col("obj").alias("node")))
+
+
 @query("weight_histogram", f"WITH {M.SQL_EDGE} SELECT CAST(floor(log2(weight)) AS BIGINT) AS bin, count(*) AS n FROM edge GROUP BY 1")
 def weight_histogram(spark, sf):
     return A.log2_histogram(edges(spark, sf), "weight")
