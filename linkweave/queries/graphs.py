@@ -88,18 +88,18 @@ def neighbourhood(spark, sf, graph=heavy):
 
 @query("page_rank")
 def page_rank(spark, sf):
-    return six(P.page_rank(M.nodes(spark, sf), cells(spark, sf, edges), rounds=5), "rank")
+    return six(P.page_rank(M.nodes(spark, sf), cells(spark, sf, edges)), "rank")
 
 
 @query("markov_clusters")
 def markov_clusters(spark, sf):
-    return K.markov_clusters(cells(spark, sf, edges), M.nodes(spark, sf), rounds=12)
+    return K.markov_clusters(cells(spark, sf, edges), M.nodes(spark, sf))
 
 
 @query("regularised_clusters")
 def regularised_clusters(spark, sf):
     c = cells(spark, sf, edges)
-    return K.attractor_of(K.regularised_flow(c, L.ends(edges(spark, sf)), rounds=6))
+    return K.attractor_of(K.regularised_flow(c, L.ends(edges(spark, sf))))
 
 
 SQL_FLOW = f"{M.SQL_CELL}, g0 AS (SELECT * FROM cell UNION ALL SELECT DISTINCT col, col, CAST(1 AS DOUBLE) FROM cell), g AS (SELECT col, row, val / sum(val) OVER (PARTITION BY col) AS val FROM g0)"
