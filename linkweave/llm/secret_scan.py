@@ -1,8 +1,10 @@
 """Secret scans: fixed patterns, and character Markov models for strings that only look random.
 
 Base kinds (``assign``, ``access``, ``hex``) are regular expressions over the whole text. The ``markov`` kind takes
-runs of 20 or more of ``A-Za-z0-9+/_=-`` that no base span touches and compares two first-order character models by
-their log-likelihood ratio: one of random strings, one of ordinary identifiers. Both are trained from labelled samples:
+runs of 20 or more of ``A-Za-z0-9+/_=-``, less what base spans cover, and compares two first-order character models by
+their log-likelihood ratio: one of random strings, one of ordinary identifiers. Each part that is left of a run is taken
+whole where its ratio is enough; elsewhere its stretches of enough ratio are found by running sums, so that ordinary
+words before or after a random string don't average it away. Both are trained from labelled samples:
 random strings are digests of row numbers in hexadecimal, base64 and upper-case base 36; ordinary identifiers are the
 words of ``ORDINARY_DOCS`` documents (those of smallest md5(doc_id); a bounded training sample). The ratio is kept in
 whole thousandths of a nat, so that scores do not depend on the order of additions.
@@ -32,6 +34,9 @@ RANDOM_STRINGS = 6_000
 SMOOTHING = 0.5
 #: A run is a secret when its ratio is this much in all and this much for each transition, in thousandths of a nat.
 LEAST_TOTAL, LEAST_MEAN = 12_000, 500
+#: Characters of the shortest run, and the first of those in ALPHABET that join words (transitions from and to them count nothing
+#: in the search for stretches).
+LEAST_RUN, JOINER = 20, ALPHABET.index("/")
 
 SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
@@ -65,6 +70,56 @@ def ratio_of(run: Column, model: list[int]) -> Column:
     return F.aggregate(codes, F.struct(F.lit(0).alias("sum"), F.lit(-1).alias("last")), step, lambda acc: acc["sum"])
 
 
+def stretches(run: Column, at: Column, model: list[int]) -> Column:
+    """Spans of the stretches of a run that starts ``at``: from where the running sum of the ratios less LEAST_MEAN last
+    left 0 to its maximum. A fall by LEAST_TOTAL from there ends a stretch."""
+    table = F.from_json(F.lit(json.dumps(model)), "array<int>")
+    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    ratio = lambda a, b: F.when((a >= JOINER) | (b >= JOINER), 0).otherwise(F.get(table, a * len(ALPHABET) + b)) - LEAST_MEAN
+    steps = F.zip_with(F.slice(codes, 1, F.length(run) - 1), F.slice(codes, 2, F.length(run) - 1), ratio)
+
+    def held(acc: Column) -> Column:
+        size = acc["stop"] - acc["start"]
+        good = (size >= LEAST_RUN) & (acc["best"] + LEAST_MEAN * (size - 1) >= LEAST_TOTAL)
+        span = F.array(F.struct((at + acc["start"]).cast("int").alias("start"), F.lit(3).alias("kind"), (at + acc["stop"]).cast("int").alias("stop")))
+        return F.when(good, F.concat(acc["out"], span)).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        now, place = acc["sum"] + x, acc["place"] + 1
+        ends, more = (now <= 0) | (now <= acc["best"] - LEAST_TOTAL), now > acc["best"]
+        return F.struct(
+            place.alias("place"), F.when(ends, place).otherwise(acc["start"]).alias("start"), F.when(ends, 0).otherwise(now).alias("sum"),
+            F.when(ends, 0).when(more, now).otherwise(acc["best"]).alias("best"), F.when(ends | more, place + 1).otherwise(acc["stop"]).alias("stop"),
+            F.when(ends, held(acc)).otherwise(acc["out"]).alias("out"),
+        )
+
+    zero = F.struct(*[F.lit(v).alias(k) for k, v in (("place", 0), ("start", 0), ("sum", 0), ("best", 0), ("stop", 1))], none().alias("out"))
+    return F.aggregate(steps, zero, step, held)
+
+
+def uncovered(text: Column, run: Column, base: Column) -> Column:
+    """The parts of a run of LEAST_RUN or more that no base span covers, without the characters that join them to one."""
+    span = lambda a, b: F.array(F.struct(a.cast("int").alias("start"), F.lit(3).alias("kind"), b.cast("int").alias("stop")))
+    left = lambda a, b: F.length(F.regexp_replace(F.substr(text, a + 1, b - a), "^[/=_-]+", ""))
+    right = lambda a, b: F.length(F.regexp_replace(F.substr(text, a + 1, b - a), "[/=_-]+$", ""))
+
+    def part(a: Column, b: Column) -> Column:
+        first, last = F.when(a > run["start"], b - left(a, b)).otherwise(a), F.when(b < run["stop"], a + right(a, b)).otherwise(b)
+        return F.when(b - a >= LEAST_RUN, F.filter(span(first, last), lambda s: s["stop"] - s["start"] >= LEAST_RUN)).otherwise(none())
+
+    step = lambda acc, b: F.struct(F.greatest(acc["at"], b["stop"]).alias("at"), F.concat(acc["out"], part(acc["at"], b["start"])).alias("out"))
+    touching = F.filter(base, lambda b: (b["start"] < run["stop"]) & (run["start"] < b["stop"]))
+    zero = F.struct(run["start"].alias("at"), none().alias("out"))
+    return F.aggregate(touching, zero, step, lambda acc: F.concat(acc["out"], part(acc["at"], run["stop"])))
+
+
+def random_spans(text: Column, part: Column, model: list[int]) -> Column:
+    """A part of a run, if its ratio is enough, or else its stretches of enough ratio."""
+    hit = F.substr(text, part["start"] + 1, part["stop"] - part["start"])
+    whole = ratio_of(hit, model) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_MEAN * (F.length(hit) - 1))
+    return F.when(whole, F.array(part)).otherwise(stretches(hit, part["start"], model))
+
+
 def located(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of all leftmost non-overlapping matches that ``keep(match, group 2)`` accepts."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -92,11 +147,11 @@ def find_spans(documents: DataFrame, model: list[int]) -> DataFrame:
     assign = F.when(text.rlike(ASSIGN_START), located(text, ASSIGN, 0, lambda hit, group: F.length(group) >= 8)).otherwise(none())
     access = F.when(F.contains(text, F.lit("AKIA")), located(text, ACCESS, 1)).otherwise(none())
     hexes = F.when(text.rlike("[0-9a-f]{32}"), located(text, HEX, 2)).otherwise(none())
-    score = lambda hit, _: (ratio_of(hit, model) >= F.greatest(F.lit(LEAST_TOTAL), LEAST_MEAN * (F.length(hit) - 1)))
-    runs = F.when(text.rlike("[A-Za-z0-9+/_=-]{20}"), located(text, RUN, 3, score)).otherwise(none())
+    runs = F.when(text.rlike("[A-Za-z0-9+/_=-]{20}"), located(text, RUN, 3)).otherwise(none())
     out = documents.withColumn("secret_base", F.array_sort(F.concat(assign, access, hexes))).withColumn("secret_runs", runs)
-    free = F.filter("secret_runs", lambda r: ~F.exists("secret_base", lambda b: (b["start"] < r["stop"]) & (r["start"] < b["stop"])))
-    return out.withColumn("secret_all", F.array_sort(F.concat("secret_base", free))).drop("secret_runs")
+    out = out.withColumn("secret_runs", F.flatten(F.transform("secret_runs", lambda r: uncovered(text, r, F.col("secret_base")))))
+    found = F.flatten(F.transform("secret_runs", lambda p: random_spans(text, p, model)))
+    return out.withColumn("secret_all", F.array_sort(F.concat("secret_base", found))).drop("secret_runs")
 
 
 def written(spans: Column) -> Column:
