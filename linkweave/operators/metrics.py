@@ -7,8 +7,10 @@ partitions. Pair counts come from the contingency table, never from pairs of obj
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from linkweave.plans.lineage import cut
@@ -221,26 +223,25 @@ def best_match(table: DataFrame, x: str, y: str, least: int = 1, most: int = 2**
     return s.withColumn("r", F.row_number().over(W.partitionBy(y).orderBy(F.desc("f"), x))).filter("r = 1").select(y, x, "size", "f", "pre", "rec")
 
 
-def ln_factorial(n: Column, most: int) -> Column:
-    """ln n! for whole n up to ``most``, from a table of running sums."""
-    logs = np.concatenate([[0.0, 0.0], np.cumsum(np.log(np.arange(2, most + 1)))])
-    return F.element_at(F.expr(f"from_json('{[float(x) for x in logs[: most + 1]]}', 'array<double>')"), n.cast("int") + 1)
+def ln_factorial(n: Column) -> Column:
+    """ln n! for whole n."""
 
+    @F.pandas_udf("double")
+    def of(n: pd.Series) -> pd.Series:
+        return pd.Series([math.lgamma(x + 1) for x in n.tolist()], dtype="float64")
 
-def hypergeometric_score(table: DataFrame, x: str, y: str) -> DataFrame:
-    """(y, x, score): for each cluster the class of largest -log10 chance of its overlap under random draws.
+    return of(n)
 
-    The factorial table goes up to the number of objects, which is asked for first and must be at most a million.
-    """
+
+def hypergeometric_score(table: DataFrame, x: str, y: str) -> DataFrame:
+    """(y, x, score): for each cluster the class of largest -log10 chance of its overlap under random draws."""
     total = int(table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()["t"])
-    if total > 1_000_000:
-        raise ValueError("too many objects for a factorial table")
     s = with_sizes(table, x, y)
-    lf = lambda c: ln_factorial(c, total)
+    lf = ln_factorial
     binom = lambda n, k: lf(n) - lf(k) - lf(n - k)
     big, n, nx, ny = F.lit(total), F.col("n"), F.col("nx"), F.col("ny")
     score = (binom(big, ny) - binom(nx, n) - binom(big - nx, ny - n)) / F.ln(F.lit(10.0))
-    return s.withColumn("score", score).withColumn("r", F.row_number().over(W.partitionBy(y).orderBy(F.desc("score"), x))).filter("r = 1").select(y, x, "score")
+    return s.withColumn("score", score).withColumn("r", F.row_number().over(W.partitionBy(y).orderBy(F.desc(F.round("score", 9)), x))).filter("r = 1").select(y, x, "score")
 
 
 #: Contingency tables up to this many labels a side are matched on the driver.
