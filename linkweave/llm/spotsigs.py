@@ -1,10 +1,12 @@
-"""Document fingerprints: SpotSigs, with pruned Jaccard likeness and classes by set length.
+"""Document fingerprints: SpotSigs, with Jaccard likeness to the edited and to the next document.
 
 Words are runs of letters and digits, lower-cased. Each common word (``ANCHORS``) that is followed by ``CHAIN`` content
 words (not common ones) forms a spot: the anchor and that chain. A text's signature set is the set of hashes of its
 spots; a text with words but no spot has one signature of all its words, a text without words one of itself when it
 is not empty. The fingerprint is the sorted set, 32 bits each in base64: a pure function of the text. The Jaccard
-coefficient of two sets stops early where the set lengths alone rule out the least likeness asked for.
+coefficient of two sets stops early where the set lengths alone rule out the least likeness asked for; the query asks for
+none, so nothing is pruned. ``length_class`` is a column of the result; sets are not partitioned or joined by it, and near
+copies elsewhere in the corpus are not looked for.
 
 ``dealt`` brings each document before its successor by descending doc_id (null ids last, equal ids by text): rows are
 dealt to ranges of doc_id with bounds from quantiles, the first row of each range also goes to the range before it
