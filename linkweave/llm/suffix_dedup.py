@@ -13,7 +13,7 @@ bucket expands intervals over a transform of its own:
    removed as a whole. Runs whose anchor recurs in another document in another run are open.
 3. The bytes of open runs meet in buckets by anchor. A string holds its anchor and ``REACH`` more bytes to the left or right of
    it, so runs that no other document's run equals on either side are left out; the transform of the others gives all strings
-   that start more than once, and with them the smallest document of each. An anchor with more than ``HOT`` different runs is not gathered: its strings
+   that start more than once, and with them the smallest document of each. An anchor with more than ``HOT_IN_BATCH`` different runs in one batch of documents, or ``HOT`` in all, is not gathered: its strings
    are hashed (128 bits), aggregated to the smallest document, and joined back.
 
 Rows with a null doc_id are kept whole and remove nothing. Rows that repeat a doc_id count as one document; each keeps its
