@@ -3,19 +3,23 @@
 A document's set holds its distinct shingles of ``width`` words. Two documents link when their Jaccard coefficient is
 ``percent``/100 or more. Documents with equal sets form a class; only one member of a class takes part.
 
-The global n-gram order is by hash, with the most frequent n-grams (a bounded list of heavy hitters) at its end. Links
-start from prefixes in that order: the shorter set shares an n-gram of its short prefix with one of the longer set's long
-prefix, and the positions bound the overlap.
-
-1. The order is cut into fragments, and each fragment finds the candidates among its own n-grams. An n-gram of at most
+The global n-gram order is by hash, and it is cut into fragments that count on their own; counts are summed per document or pair.
+
+1. Documents that can't link with any other are left out. Of each set the first ``SENT`` percent in the order go to
+   their fragments, and each fragment counts which of them another set holds too. The counts are summed per
+   document: a set that links shares (percent + SENT - 100) percent of its n-grams there. N-grams are told by 24 bits of their
+   hash in a fragment, so counts may be too high, never too low. The sets that stay are written once.
+2. Among those the order puts the most frequent n-grams (a bounded list of heavy hitters) at its end, and links
+   start from prefixes in it: the shorter set shares an n-gram of its short prefix with one of the longer set's long
+   prefix, and the positions bound the overlap. Each fragment finds the candidates among its own n-grams. An n-gram of at most
    ``LIST`` classes gives all its pairs; entries of others, and of heavy hitters, go on as rows.
-2. Those long lists are joined in rounds, so that no group emits all its pairs: first each entry with its list's leader (the
+3. Those long lists are joined in rounds, so that no group emits all its pairs: first each entry with its list's leader (the
    class with the largest share of its prefix in long lists), and once these links' components are known, each entry
    outside its list's main component with some of that component, then with all entries of other components, under the
    bounds of lengths, places and bitmaps. Pairs within a component need no test.
-3. Candidates whose sets can't overlap enough fall to an upper bound: hashed parity bitmaps, four bits per n-gram or more,
+4. Candidates whose sets can't overlap enough fall to an upper bound: hashed parity bitmaps, four bits per n-gram or more,
    differ in no more places than the sets do.
-4. The others are verified by partial overlaps: both sets are cut at fixed points of the order, each fragment
+5. The others are verified by partial overlaps: both sets are cut at fixed points of the order, each fragment
    counts its common n-grams, and the counts are summed per pair. A leader of many pairs is salted.
 
 The result is exact up to collisions of 64-bit n-gram hashes. Words are runs without ASCII white space, A-Z
@@ -27,6 +31,7 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,14 +47,20 @@ from linkweave.operators.components import connected_components
 LIST = 8
 #: Heavy hitters: at most so many n-grams, each in at least so many documents of one batch and in all.
 HEAVY, HEAVY_IN_BATCH, HEAVY_IN_ALL = 100_000, 4, 32
-ENTRIES_PER_FRAGMENT = 600_000
+ENTRIES_PER_FRAGMENT = 200_000
+#: Percent of each set that the count of shared n-grams sees; its fragments hold about SHARED_PER_FRAGMENT of 2**CODE_BITS codes.
+SENT, SHARED_PER_FRAGMENT, CODE_BITS = 40, 1_000_000, 24
+#: N-grams and sets (told by 16 bits) of a batch whose messages go out together; MANY: held by several sets of the batch.
+BATCH_ENTRIES, BATCH_SETS, MANY = 1_000_000, 20_000, 0xFFFF
+#: Bytes of text for an n-gram, about.
+GRAM_TEXT = 6
 #: Fragments of the order in which partial overlaps are counted, and pairs of one leader in one task.
 OVERLAP_FRAGMENTS, PAIRS_PER_SALT = 4, 512
-#: Sets needed for verification are told to the scan by broadcast up to this many, else by shuffle join.
-BROADCAST_SETS = 200_000
+#: Sets that are needed are told to a scan by broadcast up to this many, else by shuffle join.
+BROADCAST_SETS = 400_000
 ROWS = 512
-#: Rows whose n-grams a task holds together.
-SLICE = 4_096
+#: Sets whose n-grams a task holds together.
+SLICE = 2_048
 LEAST_BITS, MOST_BITS = 256, 1 << 20
 #: Long lists are joined under a bound from bitmaps of so many longs.
 SKETCH = 32
@@ -68,6 +79,15 @@ class Likeness:
     def index(self, n: np.ndarray) -> np.ndarray:
         return n - -(-2 * self.percent * n // (100 + self.percent)) + 1
 
+    def sent(self, n: int) -> int:
+        """How many n-grams of a set of n take part in the count of shared ones: never fewer than its long prefix."""
+        return max(-(-SENT * n // 100), n - -(-self.percent * n // 100) + 1)
+
+    def least_shared(self, n: int) -> int:
+        """So many of those are shared if the set links. A link has percent/100 * max(n, m) common n-grams or more, and the
+        sets of n and m leave out (100 - SENT)/100 * max(n, m) at most."""
+        return max(1, (self.percent + SENT - 100) * n // 100)
+
     def linked(self, common: str, a: str, b: str) -> str:
         return f"{100 + self.percent} * {common} >= {self.percent} * ({a} + {b})"
 
@@ -99,39 +119,174 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def some_sets(p: pd.DataFrame, like: Likeness) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
-    for at in range(0, len(p), ROWS):
-        q = p.iloc[at : at + ROWS]
-        yield q, list(shingles.sets(list(q["text"]), like.width))
+def all_sets(texts: pd.Series, like: Likeness) -> Iterator[np.ndarray]:
+    for at in range(0, len(texts), ROWS):
+        yield from shingles.sets(list(texts.iloc[at : at + ROWS]), like.width)
+
+
+def shapes(like: Likeness):
+    """A column function: size and class (null for the empty set) of each text."""
+
+    @F.pandas_udf("n long, class binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = [(len(h), digest(h) if len(h) else None) for h in all_sets(texts, like)]
+        return pd.DataFrame(found, columns=["n", "class"])
+
+    return of
+
+
+MESSAGE = "batch long, fragment int, classes binary, body binary"
+
+
+def batch_messages(classes: list[bytes], sizes: list[int], held: list[np.ndarray], fragments: int, like: Likeness) -> pd.DataFrame:
+    """MESSAGE rows of some sets. One row has the classes, and in ``body`` how many shared n-grams each needs from other
+    batches; the others have a fragment's codes, each once, and their owners."""
+    owner, grams = np.repeat(np.arange(len(held)), [len(h) for h in held]), np.concatenate(held)
+    key = (((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64) << CODE_BITS
+    key |= (grams & np.uint64((1 << CODE_BITS) - 1)).astype(np.int64)
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    first = np.append(True, key[1:] != key[:-1])
+    shared = ~first
+    shared[:-1] |= shared[1:]
+    needed = np.array([like.least_shared(n) for n in sizes]) - np.bincount(owner[shared], minlength=len(sizes))
+    key, owner = key[first], np.where(shared, MANY, owner)[first].astype("<u2")
+    code = np.ascontiguousarray((key & ((1 << CODE_BITS) - 1)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3])
+    all_classes = b"".join(classes)
+    batch = int.from_bytes(hashlib.blake2b(all_classes, digest_size=8).digest(), "little", signed=True)
+    cuts = np.searchsorted(key, np.arange(fragments + 1) << CODE_BITS).tolist()
+    used = [f for f in range(fragments) if cuts[f + 1] > cuts[f]]
+    bodies = [code[cuts[f] : cuts[f + 1]].tobytes() + owner[cuts[f] : cuts[f + 1]].tobytes() for f in used]
+    return pd.DataFrame({"batch": batch, "fragment": [batch % fragments, *used], "classes": [all_classes, *[None] * len(used)], "body": [needed.astype("<i4").tobytes(), *bodies]})
+
+
+def messages(documents: DataFrame, fragments: int, like: Likeness) -> DataFrame:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        classes, sizes, held, total = {}, [], [], 0
+        for p in parts:
+            for h in all_sets(p["text"], like):
+                if not len(h) or (c := digest(h)) in classes:
+                    continue
+                classes[c] = len(sizes)
+                sizes.append(len(h))
+                held.append(h[: like.sent(len(h))].copy())
+                total += len(held[-1])
+                if total >= BATCH_ENTRIES or len(sizes) >= BATCH_SETS:
+                    yield batch_messages(list(classes), sizes, held, fragments, like)
+                    classes, sizes, held, total = {}, [], [], 0
+        if sizes:
+            yield batch_messages(list(classes), sizes, held, fragments, like)
+
+    return documents.select("text").mapInPandas(run, MESSAGE)
+
+
+def opened(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m = len(body) // 5
+    code = np.zeros((m, 4), np.uint8)
+    code[:, :3] = np.frombuffer(body, np.uint8, 3 * m).reshape(m, 3)
+    return code.view("<u4").ravel(), np.frombuffer(body, "<u2", m, 3 * m)
+
+
+def shared_codes(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
+    """For each batch of a fragment the owners of codes that another batch has too, once for each code."""
+    once, twice = np.zeros(1 << CODE_BITS, bool), np.zeros(1 << CODE_BITS, bool)
+    for _, body in held:
+        code, _ = opened(body)
+        twice[code[once[code]]] = True
+        once[code] = True
+    for batch, body in held:
+        code, owner = opened(body)
+        hit = owner[twice[code] & (owner != MANY)]
+        if len(hit):
+            yield batch, hit.tobytes()
+
+
+def linkable(documents: DataFrame, like: Likeness) -> DataFrame:
+    """(class): the sets that share enough of their first n-grams with other sets to have a link."""
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+    fragments = max(12, size * SENT // 100 // GRAM_TEXT // SHARED_PER_FRAGMENT)
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = None, []
+        for p in parts:
+            whole = p[p["classes"].notna()]
+            if len(whole):
+                yield whole[["batch", "classes", "body"]]
+            for f, batch, classes, body in zip(p["fragment"].tolist(), p["batch"].tolist(), p["classes"], p["body"]):
+                if classes is not None:
+                    continue
+                if f != now and held:
+                    yield pd.DataFrame([(b, None, raw) for b, raw in shared_codes(held)], columns=["batch", "classes", "body"])
+                    held = []
+                now = f
+                held.append((batch, body))
+        if held:
+            yield pd.DataFrame([(b, None, raw) for b, raw in shared_codes(held)], columns=["batch", "classes", "body"])
+
+    def enough(classes: bytes, needed: bytes, hits: list[bytes]) -> pd.DataFrame:
+        left = np.frombuffer(needed, "<i4") - np.bincount(np.frombuffer(b"".join(hits), "<u2"), minlength=len(classes) // 16)
+        return pd.DataFrame({"class": [classes[16 * i : 16 * i + 16] for i in np.flatnonzero(left <= 0).tolist()]})
+
+    def total(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, whole, hits = None, None, []
+        for p in parts:
+            for batch, classes, body in zip(p["batch"].tolist(), p["classes"], p["body"]):
+                if batch != now and whole is not None:
+                    yield enough(*whole, hits)
+                    whole, hits = None, []
+                now = batch
+                if classes is None:
+                    hits.append(body)
+                else:
+                    whole = (classes, body)
+        if whole is not None:
+            yield enough(*whole, hits)
+
+    sent = messages(documents, fragments, like).repartition(fragments, "fragment").sortWithinPartitions("fragment")
+    counted = sent.mapInPandas(count, "batch long, classes binary, body binary").repartition("batch").sortWithinPartitions("batch")
+    return counted.mapInPandas(total, "class binary").distinct()
+
+
+SET = "class binary, n long, grams binary, bits binary, sketch array<long>"
+
+
+def sets_of(documents: DataFrame, need: DataFrame, like: Likeness) -> DataFrame:
+    """SET rows of the texts of ``need`` (doc_id, class); a doc_id that repeats with its text repeats its row."""
+    if need.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+        need = F.broadcast(need)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for at in range(0, len(p), ROWS):
+                q = p.iloc[at : at + ROWS]
+                # another text under the same doc_id is not meant
+                good = [(c, h) for c, h in zip(q["class"], all_sets(q["text"], like)) if len(h) and digest(h) == bytes(c)]
+                if good:
+                    yield pd.DataFrame({"class": [c for c, _ in good], "n": [len(h) for _, h in good], "grams": [h.tobytes() for _, h in good], "bits": [parity(h) for _, h in good], "sketch": [sketch(h) for _, h in good]})
+
+    return documents.select("doc_id", "text").join(need, "doc_id").select("class", "text").mapInPandas(run, SET)
 
 
-def slices(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def slices(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
+    """Classes and n-grams of some SET rows at a time, each class once."""
     for p in parts:
         for at in range(0, len(p), SLICE):
-            yield p.iloc[at : at + SLICE]
+            q = p.iloc[at : at + SLICE]
+            found = {bytes(c): raw for c, raw in zip(q["class"], q["grams"])}
+            yield list(found), [np.frombuffer(raw, np.uint64) for raw in found.values()]
 
 
-def summaries(documents: DataFrame, like: Likeness) -> DataFrame:
-    """Rows (doc_id, n, class, bits, sketch) of all documents (class null for empty sets), and rows (gram, times) of frequent n-grams."""
+def heavy_hitters(sets: DataFrame) -> np.ndarray:
+    """The most frequent n-grams, least frequent first; at most HEAVY, so that their list may go to all tasks."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in slices(parts):
-            kept = []
-            for q, found in some_sets(p, like):
-                kept += found
-                kept_rows = {"doc_id": q["doc_id"].astype("Int64"), "n": [len(h) for h in found], "class": [digest(h) if len(h) else None for h in found]}
-                yield pd.DataFrame(kept_rows | {"bits": [parity(h) if len(h) else None for h in found], "sketch": [sketch(h) if len(h) else None for h in found], "gram": None, "times": 0})
-            grams, times = np.unique(np.concatenate(kept), return_counts=True) if kept else (np.zeros(0, np.uint64), np.zeros(0, int))
+        for _, held in slices(parts):
+            grams, times = np.unique(np.concatenate(held), return_counts=True)
             often = times >= HEAVY_IN_BATCH
             if often.any():
-                yield pd.DataFrame({"doc_id": pd.array([None] * int(often.sum()), "Int64"), "n": -1, "class": None, "bits": None, "sketch": None, "gram": grams[often].view(np.int64), "times": times[often]})
-
-    return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, class binary, bits binary, sketch array<long>, gram long, times long")
-
+                yield pd.DataFrame({"gram": grams[often].view(np.int64), "times": times[often]})
 
-def heavy_hitters(rows: DataFrame) -> np.ndarray:
-    """The most frequent n-grams, least frequent first; at most HEAVY, so that their list may go to all tasks."""
-    found = rows.filter("n < 0").groupBy("gram").agg(F.sum("times").alias("times")).filter(F.col("times") >= HEAVY_IN_ALL)
+    found = sets.select("class", "grams").mapInPandas(run, "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times")).filter(F.col("times") >= HEAVY_IN_ALL)
     top = found.orderBy(F.desc("times"), "gram").limit(HEAVY).collect()
     return np.array([r["gram"] for r in reversed(top)], np.int64).view(np.uint64)
 
@@ -161,35 +316,27 @@ ENTRY = "fragment int, blob binary, a binary, gram long, n long, place long"
 CANDIDATE = "a binary, b binary, gram long, n long, place long"
 
 
-def prefix_entries(documents: DataFrame, heavy: np.ndarray, fragments: int, like: Likeness) -> DataFrame:
+def prefix_entries(sets: DataFrame, heavy: np.ndarray, fragments: int, like: Likeness) -> DataFrame:
     """Prefix n-grams of each class that a batch holds, packed by fragment; heavy hitters as rows, dealt at random."""
     by_value = np.argsort(heavy)
     known = heavy[by_value]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in slices(parts):
-            seen: set[bytes] = set()
-            classes, sizes, owner, places, grams, ranks = [], [], [], [], [], []
-            for _, found in some_sets(p, like):
-                for h in found:
-                    if not len(h) or (c := digest(h)) in seen:
-                        continue
-                    seen.add(c)
-                    rank = np.zeros(len(h), np.int64)
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        rank = np.where(known[at] == h, by_value[at] + 1, 0)
-                        order = np.argsort(rank, kind="stable")
-                        h, rank = h[order], rank[order]
-                    m = int(like.probe(np.int64(len(h))))
-                    owner.append(np.full(m, len(classes)))
-                    places.append(np.arange(m))
-                    grams.append(h[:m])
-                    ranks.append(rank[:m])
-                    classes.append(c)
-                    sizes.append(len(h))
-            if not classes:
-                continue
+        for classes, found in slices(parts):
+            sizes, owner, places, grams, ranks = [], [], [], [], []
+            for h in found:
+                rank = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    rank = np.where(known[at] == h, by_value[at] + 1, 0)
+                    order = np.argsort(rank, kind="stable")
+                    h, rank = h[order], rank[order]
+                m = int(like.probe(np.int64(len(h))))
+                owner.append(np.full(m, len(sizes)))
+                places.append(np.arange(m))
+                grams.append(h[:m])
+                ranks.append(rank[:m])
+                sizes.append(len(h))
             n, own, place, gram = np.array(sizes), np.concatenate(owner), np.concatenate(places), np.concatenate(grams)
             rare = np.concatenate(ranks) == 0
             if not rare.all():
@@ -202,7 +349,7 @@ def prefix_entries(documents: DataFrame, heavy: np.ndarray, fragments: int, like
             held = [(f, order[cuts[f] : cuts[f + 1]]) for f in range(fragments) if cuts[f + 1] > cuts[f]]
             yield pd.DataFrame({"fragment": [f for f, _ in held], "blob": [pack(classes, n, own[i], gram[i], place[i]) for _, i in held], "a": None, "gram": 0, "n": 0, "place": 0})
 
-    return documents.select("doc_id", "text").mapInPandas(run, ENTRY)
+    return sets.select("class", "grams").mapInPandas(run, ENTRY)
 
 
 def bounded(like: Likeness, na: np.ndarray, ia: np.ndarray, nb: np.ndarray, ib: np.ndarray) -> np.ndarray:
@@ -289,33 +436,29 @@ def plausible(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame
     return pairs.join(one, "a").join(two, "b").filter(allowed("xa", "na", "xb", "nb")).select("a", "b")
 
 
-def verified(documents: DataFrame, classes: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs of classes (a, b) that link, by partial overlaps; ``classes``: (class, rep, n, bits), one row each."""
+def verified(sets: DataFrame, classes: DataFrame, pairs: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs of classes (a, b) that link, by partial overlaps; ``classes``: (class, n, bits), one row each."""
     pairs = cut(plausible(pairs, classes, like))
     load = pairs.groupBy("a").agg((F.floor(F.count("*") / PAIRS_PER_SALT) + 1).cast("int").alias("salts"))
     members = pairs.join(load, "a").select(F.col("b").alias("class"), F.col("a").alias("leader"), F.pmod(F.crc32("b"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("leads"))
     leaders = load.select(F.col("a").alias("class"), F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("leads"))
-    need = members.unionByName(leaders).groupBy("class").agg(F.collect_list(F.struct("leader", "salt", "leads")).alias("places"))
-    need = cut(need.join(classes.select("class", "rep"), "class").select(F.col("rep").alias("doc_id"), "class", "places"))
-    if need.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS:
+    need = cut(members.unionByName(leaders).groupBy("class").agg(F.collect_list(F.struct("leader", "salt", "leads")).alias("places")))
+    if need.agg(F.coalesce(F.sum(F.size("places") + 1), F.lit(0))).first()[0] <= BROADCAST_SETS:
         need = F.broadcast(need)
-    texts = documents.select("doc_id", "text").join(need, "doc_id")
 
     def spread(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        edges = [int(i) << 62 for i in range(1, OVERLAP_FRAGMENTS)]
+        edges = np.array([i << 62 for i in range(1, OVERLAP_FRAGMENTS)], np.uint64)
         for p in parts:
-            for q, found in some_sets(p, like):
-                out = []
-                for c, places, h in zip(q["class"], q["places"], found):
-                    if not len(h) or digest(h) != bytes(c):
-                        continue  # another text under the same doc_id
-                    cuts = [0, *np.searchsorted(h, np.array(edges, np.uint64)).tolist(), len(h)]
+            for at in range(0, len(p), ROWS):
+                q, out = p.iloc[at : at + ROWS], []
+                for c, places, grams in zip(q["class"], q["places"], q["grams"]):
+                    h = np.frombuffer(grams, np.uint64)
+                    cuts = [0, *np.searchsorted(h, edges).tolist(), len(h)]
                     pieces = [h[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
                     out += [(w["leader"], f, w["salt"], not w["leads"], c, len(h), raw) for w in places for f, raw in enumerate(pieces)]
-                if out:
-                    yield pd.DataFrame(out, columns=["leader", "fragment", "salt", "follows", "class", "n", "grams"])
+                yield pd.DataFrame(out, columns=["leader", "fragment", "salt", "follows", "class", "n", "grams"])
 
-    pieces = texts.mapInPandas(spread, "leader binary, fragment int, salt int, follows boolean, class binary, n long, grams binary")
+    pieces = sets.select("class", "grams").join(need, "class").mapInPandas(spread, "leader binary, fragment int, salt int, follows boolean, class binary, n long, grams binary")
     pieces = pieces.repartition("leader", "fragment", "salt").sortWithinPartitions("leader", "fragment", "salt", "follows", "class")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -347,12 +490,14 @@ def ordered(pairs: DataFrame) -> DataFrame:
 def link_components(documents: DataFrame, like: Likeness | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     like = like or Likeness()
-    seen = cut(summaries(documents, like))
-    rows = seen.filter("n >= 0").select("doc_id", "n", "class")
-    classes = cut(seen.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")).filter("rep is not null"))
-    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    rows = cut(documents.select("doc_id", shapes(like)("text").alias("s")).select("doc_id", "s.n", "s.class"))
+    reps = cut(rows.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")).filter("rep is not null"))
+    need = cut(linkable(documents, like).join(reps, "class").select(F.col("rep").alias("doc_id"), "class"))
+    sets = cut(sets_of(documents, need, like))
+    classes = cut(sets.groupBy("class").agg(*[F.first(c).alias(c) for c in ("n", "bits", "sketch")]))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     fragments = max(12, -(-total * (100 - like.percent) // 100 // ENTRIES_PER_FRAGMENT))
-    found = cut(candidates(prefix_entries(documents, heavy_hitters(seen), fragments, like), fragments, like))
+    found = cut(candidates(prefix_entries(sets, heavy_hitters(sets), fragments, like), fragments, like))
 
     # short lists in full, long ones with their leaders: sets of like size under one n-gram
     entries = found.filter("b is null").select("a", "gram", "n", "place").distinct()
@@ -362,7 +507,7 @@ def link_components(documents: DataFrame, like: Likeness | None = None) -> DataF
     leaders = entries.groupBy("gram", "step").agg(F.max(F.struct("share", "a")).alias("best")).select("gram", "step", F.col("best.a").alias("b"))
     star = entries.join(leaders, ["gram", "step"]).select("a", "b")
     pairs = cut(ordered(found.filter("b is not null").select("a", "b").unionByName(star)))
-    links = cut(verified(documents, classes, pairs, like))
+    links = cut(verified(sets, classes, pairs, like))
     labels = class_components(links, classes)
 
     # what is left of long lists: entries outside their list's main component, first with some members of it, then with all
@@ -370,12 +515,11 @@ def link_components(documents: DataFrame, like: Likeness | None = None) -> DataF
     for sampled in (True, False):
         rest = cut(ordered(list_pairs(entries, labels, classes, like, sampled)).join(pairs, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
-            links = cut(links.unionByName(verified(documents, classes, rest, like)))
+            links = cut(links.unionByName(verified(sets, classes, rest, like)))
             labels = class_components(links, classes)
             pairs = pairs.unionByName(rest)
-    classes = classes.select("class", "rep")
-    names = labels.join(classes, "class").groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = classes.join(labels, "class", "left").join(names, "label", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
+    names = labels.join(reps, "class").groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = reps.join(labels, "class", "left").join(names, "label", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
