@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,19 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path under the shared checkpoint folder, which all executors see.
-
-    The session's ``spark.checkpoint.dir`` is used; only where it is unset (tests) a local one is made.
-    """
+    """A new folder path under the shared folder that ``spark.checkpoint.dir`` names."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _own_dir(spark)
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _own_dir(spark: SparkSession) -> str:
-    known = spark.sparkContext.getCheckpointDir()
-    return os.path.dirname(known) if known else "file://" + tempfile.mkdtemp(prefix="spark-")
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that ``shared_dir`` named, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def exact_id(name: str) -> Column:
+    """An id column as text: beside nulls pandas would turn whole numbers into floating ones."""
+    return F.col(name).cast("string").alias(name)
+
+
 def fold(key: Column, folds: int) -> Column:
     """crc32 of the key's decimal text modulo ``folds``."""
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds))

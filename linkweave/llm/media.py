@@ -17,6 +17,7 @@ import hashlib
 
 import json
 import struct
+import time
 import uuid
 import zipfile
 import zlib
@@ -27,16 +28,18 @@ import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from linkweave.llm.common import shared_dir
+from linkweave.llm.common import cut, exact_id, removed, shared_dir
 
 WIDTH = 64
-ARCHIVE_BYTES = 128 << 20
+#: A range reads its archive's directory, so archives hold few ranges.
+ARCHIVE_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
-TRIES = 3
+#: Attempts at an archive or member, and seconds before the second one (doubled each time).
+TRIES, PAUSE = 3, 0.2
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MANIFEST = "manifest.json"
 
@@ -100,14 +103,14 @@ def write_archives(documents: DataFrame, folder: str) -> None:
         store.create_dir(base)
         own, number, count, size, sink, archive, name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, 0, 0, None, None, ""
         for p in parts:
-            for doc_id, text in zip(p["doc_id"].astype("Int64"), p["text"]):
+            for doc_id, text in zip(p["doc_id"], p["text"]):
                 if archive is None:
                     name = f"{own}-{number:04d}.zip"
                     sink = store.open_output_stream(f"{base}/{name}")
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
                 n_bytes, payload = payload_of(text)
                 image = to_png(payload)
-                archive.writestr(f"{count}-{'null' if doc_id is pd.NA else doc_id}-{n_bytes}", image)
+                archive.writestr(f"{count}-{'null' if doc_id is None else doc_id}-{n_bytes}", image)
                 count, size = count + 1, size + len(image)
                 if size >= ARCHIVE_BYTES:
                     archive.close()
@@ -119,7 +122,7 @@ def write_archives(documents: DataFrame, folder: str) -> None:
             sink.close()
             yield pd.DataFrame({"name": [name], "members": [count]})
 
-    rows = documents.select("doc_id", "text").mapInPandas(run, "name string, members long").collect()  # one row per archive
+    rows = documents.select(exact_id("doc_id"), "text").mapInPandas(run, "name string, members long").collect()  # one row per archive
     store, base = _place(folder)
     store.create_dir(base)
     found = [{"name": r["name"], "members": r["members"], "bytes": store.get_file_info(f"{base}/{r['name']}").size} for r in sorted(rows)]
@@ -161,7 +164,7 @@ class ArchiveReader(DataSourceReader):
             return
         store, base = _place(self.folder)
         path, rows, size = f"{base}/{part.name}", [], 0
-        with store.open_input_file(path) as source, zipfile.ZipFile(source) as archive:
+        with opened(store, path) as source, zipfile.ZipFile(source) as archive:
             for info in archive.infolist():
                 if not part.start <= info.header_offset < part.stop:
                     continue
@@ -176,8 +179,20 @@ class ArchiveReader(DataSourceReader):
             yield batch(rows)
 
 
+def opened(store: fs.FileSystem, path: str) -> pa.NativeFile:
+    """An archive for reading; opening it is tried TRIES times."""
+    for attempt in range(TRIES):
+        try:
+            return store.open_input_file(path)
+        except OSError:
+            if attempt == TRIES - 1:
+                raise
+            time.sleep(PAUSE * 2**attempt)
+    raise AssertionError
+
+
 def member(store: fs.FileSystem, path: str, archive: zipfile.ZipFile, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
-    """A member's bytes; a failed read is repeated through a new handle at the member's own offset."""
+    """A member's bytes; a failed read is repeated after a pause, through a new handle at the member's own offset."""
     error = ""
     for attempt in range(TRIES):
         try:
@@ -186,6 +201,7 @@ def member(store: fs.FileSystem, path: str, archive: zipfile.ZipFile, info: zipf
             with store.open_input_file(path) as again, zipfile.ZipFile(again) as fresh:
                 return fresh.read(info), None
         except (OSError, zipfile.BadZipFile, zlib.error, EOFError) as e:
+            time.sleep(PAUSE * 2**attempt if attempt < TRIES - 1 else 0)
             error = f"{type(e).__name__}: {e}"
     return None, error
 
@@ -211,19 +227,22 @@ def describe(members: DataFrame) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             out = []
-            for doc_id, n_bytes, media, error in zip(p["doc_id"].astype("Int64"), p["n_bytes"].tolist(), p["media"], p["error"]):
+            for doc_id, n_bytes, media, error in zip(p["doc_id"], p["n_bytes"].tolist(), p["media"], p["error"]):
                 if media is None:
                     raise RuntimeError(f"a stored member can't be read: {error}")
                 payload = from_png(media)
-                out.append((None if doc_id is pd.NA else int(doc_id), n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
+                out.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), features(payload)))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return members.select("doc_id", "n_bytes", "media", "error").mapInPandas(run, SCHEMA)
+    rows = members.select(exact_id("doc_id"), "n_bytes", "media", "error").mapInPandas(run, SCHEMA.replace("doc_id long", "doc_id string"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def media_digests(documents: DataFrame) -> DataFrame:
-    """Stores all documents under the shared folder, reads them back and describes what was read."""
+    """Stores all documents under the shared folder, reads them back and describes what was read; then the archives go."""
     spark = documents.sparkSession
     folder = shared_dir(spark, "media")
     write_archives(documents, folder)
-    return describe(read_archives(spark, folder))
+    out = cut(describe(read_archives(spark, folder)))
+    removed(spark, folder)
+    return out

@@ -9,7 +9,7 @@ and the ``NEIGHBOURS`` most similar vote with their similarity (ties at the last
 
 The sample: labelled rows with text outside the held-out fold, by smallest md5(doc_id). Null and empty texts have no
 direction; they get the sample's mean label. Without labelled rows all scores are 0.5. Equal texts score alike; a doc_id
-labelled twice counts twice.
+labelled twice counts twice; of different texts under one labelled doc_id the smallest is learned. Ids stay out of Python.
 """
 
 from __future__ import annotations
@@ -84,7 +84,9 @@ def fit(x: np.ndarray, labels: np.ndarray, seed: int = 5) -> Space:
 def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Space | None:
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out)).select("doc_id", "quality")
     ids = known.withColumn("m", F.md5(F.col("doc_id").cast("string"))).orderBy("m", "doc_id").limit(LABELLED_DOCS).select("doc_id", "quality")
+    ids = ids.groupBy("doc_id", "quality").agg(F.count("*").alias("times"))
     sample = documents.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    sample = sample.groupBy("doc_id", "quality", "times").agg(F.min("text").alias("text")).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
 
     def featurize(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
@@ -95,7 +97,6 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = 5, held_out: int
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["x"]))
-    rows = rows[: 2 * LABELLED_DOCS]
     return fit(np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32), np.array([r["quality"] for r in rows]))
 
 
@@ -118,10 +119,9 @@ def vote(texts: list[str | None], space: Space | None) -> np.ndarray:
 def score_quality(documents: DataFrame, space: Space | None, folds: int = 5, held_out: int = 0) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            score = vote(list(p["text"]), space)
-            yield pd.DataFrame({"doc_id": p["doc_id"], "held_out": p["held_out"], "score": score, "predicted": (score >= PREDICT_AT).astype(np.int32)})
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(vote(list(texts), space))
 
-    rows = documents.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    rows = documents.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), scored("text").alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))

@@ -26,6 +26,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from linkweave.llm.common import exact_id
+
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
     "the a an of to and in is was that for on with as it be by at from this are or have not they you which "
@@ -123,12 +125,10 @@ def number(bounds: np.ndarray):
 
     @F.pandas_udf("int")
     def of(doc_id: pd.Series) -> pd.Series:
-        known = doc_id.notna().to_numpy()
-        out = np.zeros(len(doc_id), np.int32)
-        out[known] = np.searchsorted(bounds, doc_id[known].astype("int64").to_numpy(), side="left")
-        return pd.Series(out)
+        return pd.Series(np.searchsorted(bounds, doc_id.to_numpy(np.int64), side="left").astype(np.int32))
 
-    return of
+    # a null would make the whole column floating, which holds no large id
+    return lambda doc_id: F.when(doc_id.isNull(), 0).otherwise(of(F.coalesce(doc_id, F.lit(0))))
 
 
 def dealt(documents: DataFrame) -> DataFrame:
@@ -136,18 +136,19 @@ def dealt(documents: DataFrame) -> DataFrame:
     bounds, largest = ranges(documents.select("doc_id"))
     held = sorted(largest)
     if not held:
-        return documents.select("doc_id", "text", F.lit(0).alias("range"), F.lit(False).alias("tail")).coalesce(1)
+        return documents.select("doc_id", "text", F.lit(0).alias("range"), F.lit(False).alias("tail")).repartition(1).sortWithinPartitions("text")
     above = dict(zip(held, [*held[1:], held[0]]))  # descending order: what follows range r is the first row below it
     firsts = {largest[r]: above[r] for r in held}
     keys, values = np.array(sorted(firsts), np.int64), np.array([firsts[k] for k in sorted(firsts)], np.int32)
 
     @F.pandas_udf("int")
     def tail_of(doc_id: pd.Series) -> pd.Series:
-        ids = doc_id.fillna(-(2**62)).astype("int64").to_numpy()
+        ids = doc_id.to_numpy(np.int64)
         at = np.minimum(np.searchsorted(keys, ids), len(keys) - 1)
-        return pd.Series(np.where((keys[at] == ids) & doc_id.notna().to_numpy(), values[at], -1))
+        return pd.Series(np.where(keys[at] == ids, values[at], -1).astype(np.int32))
 
-    rows = documents.select("doc_id", "text", number(bounds)(F.col("doc_id")).alias("own"), tail_of(F.col("doc_id")).alias("other"))
+    other = F.when(F.col("doc_id").isNull(), -1).otherwise(tail_of(F.coalesce("doc_id", F.lit(0))))
+    rows = documents.select("doc_id", "text", number(bounds)(F.col("doc_id")).alias("own"), other.alias("other"))
     place = F.when(F.col("other") < 0, F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("tail"))))
     place = place.otherwise(F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("tail")), F.struct(F.col("other").alias("range"), F.lit(True).alias("tail"))))
     rows = rows.select("doc_id", "text", F.explode(place).alias("p")).select("doc_id", "text", "p.range", "p.tail")
@@ -180,11 +181,11 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         done = False  # the range's own rows are all compared
         for p in parts:
             out = []
-            for doc_id, text, r, tail in zip(p["doc_id"].astype("Int64"), p["text"], p["range"].tolist(), p["tail"].tolist()):
+            for doc_id, text, r, tail in zip(p["doc_id"], p["text"], p["range"].tolist(), p["tail"].tolist()):
                 if held is not None and held[0] == r and done:
                     continue
                 text = text or ""
-                row = (r, None if doc_id is pd.NA else int(doc_id), text, spots.of(text))
+                row = (r, doc_id, text, spots.of(text))
                 if held is not None and not done:
                     out.append(compared(held, row if held[0] == r else first))
                 if held is None or held[0] != r:
@@ -195,4 +196,5 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         if held is not None and not done:
             yield pd.DataFrame([compared(held, first)], columns=names)
 
-    return dealt(documents).mapInPandas(run, SCHEMA)
+    rows = dealt(documents).withColumn("doc_id", exact_id("doc_id")).mapInPandas(run, SCHEMA.replace("doc_id long", "doc_id string"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from linkweave.llm import bwt
-from linkweave.llm.common import cut, shared_dir
+from linkweave.llm.common import cut, exact_id, removed, shared_dir
 from linkweave.llm.shingles import mixed, powers
 
 LEAST, GRAM = 50, 16
@@ -470,7 +470,9 @@ def find_cuts(documents: DataFrame) -> DataFrame:
             spans = [np.array(merged(np.asarray(a, np.int64), np.asarray(b, np.int64)), np.int64).tobytes() for a, b in zip(p["start"], p["stop"])]
             yield pd.DataFrame({"doc_id": p["doc_id"], "tag": p["tag"], "cuts": spans})
 
-    return cuts.mapInPandas(union, "doc_id long, tag long, cuts binary")
+    out = cut(cuts.mapInPandas(union, "doc_id long, tag long, cuts binary"))
+    removed(spark, folder)
+    return out
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -478,7 +480,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def with_cuts(documents: DataFrame, columns: list[str]) -> DataFrame:
     """The documents with ``cuts`` (null without any), by broadcast where a count shows that they are few."""
-    cuts = cut(find_cuts(documents))
+    cuts = find_cuts(documents)
     few = cuts.agg(F.coalesce(F.sum(F.length("cuts")), F.lit(0)).alias("n")).first()["n"] <= 16 * BROADCAST_CUTS
     texts = documents.select(*columns, F.xxhash64("text").alias("tag"))
     return texts.join(F.broadcast(cuts) if few else cuts, ["doc_id", "tag"], "left")
@@ -500,9 +502,10 @@ def dedup_substrings(documents: DataFrame) -> DataFrame:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for p in parts:
             out = []
-            for doc_id, raw, cuts in zip(p["doc_id"].astype("Int64"), utf8(p["text"]), p["cuts"]):
-                left, removed, spans = kept(raw, cuts)
-                out.append((None if doc_id is pd.NA else int(doc_id), len(raw), removed, spans, hashlib.sha256(left).hexdigest()))
+            for doc_id, raw, cuts in zip(p["doc_id"], utf8(p["text"]), p["cuts"]):
+                left, gone, spans = kept(raw, cuts)
+                out.append((doc_id, len(raw), gone, spans, hashlib.sha256(left).hexdigest()))
             yield pd.DataFrame(out, columns=names)
 
-    return with_cuts(documents, ["doc_id", "text"]).select("doc_id", "text", "cuts").mapInPandas(run, SCHEMA)
+    rows = with_cuts(documents, ["doc_id", "text"]).select(exact_id("doc_id"), "text", "cuts").mapInPandas(run, SCHEMA.replace("doc_id long", "doc_id string"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -1,5 +1,7 @@
 """The pipeline's stages, each on what the one before kept."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from linkweave.llm import ngram_join
 from tests.conftest import TINY
@@ -7,6 +9,8 @@ from tests.conftest import TINY
 
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    secret = "concat(text, ' password = \\'hunter2hunter2\\' end')"  # no document of the table holds a secret
+    docs = docs.withColumn("text", F.expr(f"case when doc_id % 5 = 0 then {secret} else text end"))
     columns, counts = docs.columns, [docs.count()]
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = str(tmp_path / str(i))
