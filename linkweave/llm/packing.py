@@ -1,10 +1,13 @@
-"""Packing: harmonic classes of reciprocal capacity, each bin holding a fixed number of pieces.
+"""Packing: harmonic classes of reciprocal capacity, each bin holding a fixed number of documents.
 
-Documents become token ids, an end id closes each. A document is cut into whole sequences of ``CAPACITY`` tokens while it
-lasts, and its rest into pieces of capacity/2, capacity/4, ... tokens: the classes. A bin of class capacity/m holds
-exactly m pieces, so a full bin has no padding, and classes never wait for one another: every worker fills the bins of its own
-partition. Bins that are still open at a partition's end hold a multiple of their class; they are closed as sequences of
-one, two, four, ... pieces, whose lengths are powers of two and need no padding either.
+Documents become token ids, an end id closes each. Whole sequences of ``CAPACITY`` tokens are cut off long ones; what is left, or
+a whole shorter document, has length n and goes to class m where CAPACITY/(m+1) < n <= CAPACITY/m. A bin of class m
+takes exactly m of them, uncut, and never waits for another class, so every worker fills the bins of its own partition. The last
+class holds documents of CAPACITY/``CLASSES`` tokens or less: they are the stock from which the gap of a full bin is
+filled, the last of them cut at the bin's end; a surplus of stock makes sequences of its own. Where the stock is
+empty, the gap waits for the next document, which gives its first tokens. So a sequence costs one cut or none.
+At a partition's end the open bins are put together in the same way, and the last tokens are closed as sequences of falling
+powers of two, which need no padding.
 
 Tokens: the tokenizer file is a parameter. Its result for a text is the concatenation of its results for the text's words,
 so each worker process keeps the ids of words that it has met (``CACHE_WORDS`` at most, then it starts anew); texts that hold
@@ -20,16 +23,21 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from linkweave.llm.common import exact_id
 
 CAPACITY = 2048
 END_ID = 1
-CACHE_WORDS = 800_000
-#: Rows that a task tokenizes together, and pieces of a class that it holds (fewer than CAPACITY) are all it keeps.
+#: Classes by length, the last of which is stock; and sequences' worth of stock that a task keeps.
+CLASSES, STOCK = 16, 4
+CACHE_WORDS = 300_000
+#: Rows that a task tokenizes together; besides these it keeps open bins (a sequence's worth of each class) and stock.
 ROWS = 64
 
 _L = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -95,44 +103,96 @@ def tokens_of(path: str) -> Tokens:
     return _kept[path]
 
 
-def cuts(n: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens: whole sequences, then falling powers of two."""
-    out, at = [], 0
-    while n - at >= CAPACITY:
-        out.append((at, CAPACITY))
-        at += CAPACITY
-    while at < n:
-        size = 1 << (n - at).bit_length() - 1
-        out.append((at, size))
-        at += size
-    return out
+@dataclass
+class Piece:
+    """Ids ``raw`` (4 bytes each) of a document from its id ``start`` on; ``doc``: (doc_id, number of ids)."""
+
+    doc: tuple
+    start: int
+    raw: bytes
+
+    def __len__(self) -> int:
+        return len(self.raw) // 4
 
+    def parted(self, n: int) -> tuple[Piece, Piece]:
+        return Piece(self.doc, self.start, self.raw[: 4 * n]), Piece(self.doc, self.start + n, self.raw[4 * n :])
 
-class Bins:
-    """Open bins by class; ``take`` gives each piece its sequence and offset when its bin closes."""
+
+class Packer:
+    """Bins of one partition. Its methods return the rows of sequences that they close."""
 
     def __init__(self, first: int):
         self.next = first
-        self.open: dict[int, list[tuple]] = {}
-
-    def close(self, size: int, pieces: list[tuple]) -> list[tuple]:
-        out = [(*p, self.next, i * size) for i, p in enumerate(pieces)]
+        self.bins: dict[int, list[Piece]] = {}
+        self.waiting: list[Piece] = []  # a bin that has its documents, and a gap
+        self.stock: list[Piece] = []
+
+    def close(self, pieces: list[Piece]) -> list[tuple]:
+        out, at = [], 0
+        for p in pieces:
+            out.append((p.doc[0], p.start, len(p), zlib.crc32(p.raw), p.doc[1], self.next, at))
+            at += len(p)
         self.next += 1
         return out
 
-    def take(self, size: int, piece: tuple) -> list[tuple]:
-        held = self.open.setdefault(size, [])
-        held.append(piece)
-        return self.close(size, self.open.pop(size)) if len(held) * size == CAPACITY else []
+    def filled(self, pieces: list[Piece], stock: list[Piece]) -> list[tuple]:
+        """Closes ``pieces`` with stock in the gap, or lets them wait."""
+        gap = CAPACITY - sum(map(len, pieces))
+        while gap and stock:
+            p = stock.pop()
+            if len(p) > gap:
+                p, rest = p.parted(gap)
+                stock.append(rest)
+            pieces.append(p)
+            gap -= len(p)
+        if not gap:
+            return self.close(pieces)
+        self.waiting = pieces
+        return []
+
+    def add(self, doc_id: object, raw: bytes) -> list[tuple]:
+        rest, out = [Piece((doc_id, len(raw) // 4), 0, raw)], []
+        if self.waiting:
+            pieces, self.waiting = self.waiting, []
+            out += self.filled(pieces, rest)
+        if not rest:
+            return out
+        p = rest.pop()
+        while len(p) >= CAPACITY:
+            whole, p = p.parted(CAPACITY)
+            out += self.close([whole])
+        if not len(p):
+            return out
+        m = CAPACITY // len(p)
+        if m >= CLASSES:
+            self.stock.append(p)
+            if sum(map(len, self.stock)) >= STOCK * CAPACITY:
+                out += self.filled([], self.stock)
+            return out
+        held = self.bins.setdefault(m, [])
+        held.append(p)
+        return out + (self.filled(self.bins.pop(m), self.stock) if len(held) == m else [])
 
     def rest(self) -> list[tuple]:
-        out = []
-        for size, held in sorted(self.open.items()):
-            while held:
-                n = 1 << len(held).bit_length() - 1
-                out += self.close(size, held[:n])
-                held = held[n:]
-        self.open = {}
+        left = self.waiting + [p for _, held in sorted(self.bins.items()) for p in held] + self.stock
+        left.reverse()
+        self.bins, self.stock, self.waiting, out = {}, [], [], []
+        while left:
+            out += self.filled([], left)
+        tail, self.waiting = list(reversed(self.waiting)), []
+        size = sum(map(len, tail))
+        while size:
+            n = gap = 1 << size.bit_length() - 1
+            pieces = []
+            while gap:
+                p = tail.pop()
+                if len(p) > gap:
+                    p, more = p.parted(gap)
+                    tail.append(more)
+                pieces.append(p)
+                gap -= len(p)
+            out += self.close(pieces)
+            size -= n
         return out
 
 
@@ -141,21 +201,18 @@ def pack_documents(documents: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = tokens_of(tokenizer_path)
-        bins = Bins(TaskContext.get().partitionId() << 40)
+        packer = Packer(TaskContext.get().partitionId() << 40)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         end = np.array([END_ID], "<u4").tobytes()
         for p in parts:
             for at in range(0, len(p), ROWS):
                 q, out = p.iloc[at : at + ROWS], []
-                ids = tokens.encode([t or "" for t in q["text"]])
-                for doc_id, raw in zip(q["doc_id"].tolist(), ids):
-                    raw += end
-                    n = len(raw) // 4
-                    for start, size in cuts(n):
-                        out += bins.take(size, (doc_id, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), n))
+                for doc_id, raw in zip(q["doc_id"], tokens.encode([t or "" for t in q["text"]])):
+                    out += packer.add(doc_id, raw + end)
                 if out:
                     yield pd.DataFrame(out, columns=names)
-        if out := bins.rest():
+        if out := packer.rest():
             yield pd.DataFrame(out, columns=names)
 
-    return documents.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    rows = documents.select(exact_id("doc_id"), "text").mapInPandas(run, SCHEMA.replace("doc_id long", "doc_id string"))
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 
 from linkweave.llm import bwt, media, ngram_join, packing, spotsigs, suffix_dedup
+from tests.conftest import TINY
 from tests.llm.helpers import LONG, empty, table
 
 
@@ -152,8 +153,10 @@ def test_packing(spark):
     for d, t in texts.items():
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         times = 2 if d == 3 else 1
-        pieces = sorted((r["start"], r["length"]) for r in by[d])[::times]
-        assert [x for x, _ in pieces] == [0, *np.cumsum([n for _, n in pieces])[:-1]] and sum(n for _, n in pieces) == len(ids)
+        covered = np.zeros(len(ids), int)
+        for r in by[d]:
+            covered[r["start"] : r["start"] + r["length"]] += 1
+        assert (covered == times).all() and sum(r["length"] for r in by[d]) == times * len(ids)
         for r in by[d]:
             assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
     seqs = {}
@@ -168,6 +171,30 @@ def test_packing(spark):
     assert packing.pack_documents(empty(spark), path).count() == 0
 
 
+def test_harmonic_classes(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = packing.pack_documents(spark.read.parquet(f"{TINY.replace('sf0.001', 'sf0.01')}/documents.parquet"), path).collect()
+    documents, sequences, pieces = {}, {}, 0
+    for r in rows:
+        documents.setdefault(r["doc_id"], r["doc_tokens"])
+        sequences.setdefault(r["sequence_id"], []).append(r)
+        pieces += 1
+    assert sum(documents.values()) == sum(r["length"] for r in rows)
+    full = [s for s in sequences.values() if sum(r["length"] for r in s) == packing.CAPACITY]
+    assert all((n := sum(r["length"] for r in s)) & (n - 1) == 0 for s in sequences.values()) and len(sequences) - len(full) < 12
+    # a cut for each sequence, and no more: documents keep together
+    assert pieces <= len(documents) + len(sequences) and pieces / len(documents) < 1.6
+    # a full bin starts with a fixed number of pieces of one class; the rest of it is filler
+    packer, out = packing.Packer(0), []
+    for i in range(200):
+        out += packer.add(i, bytes(4 * (150 + 37 * i % 1500)))
+    by = {}
+    for r in out:
+        by.setdefault(r[5], []).append(r[2])
+    assert len(by) > 50 and all(m == 1 or {packing.CAPACITY // n for n in s[:m]} == {m} for s in by.values() for m in [packing.CAPACITY // s[0]])
+
+
+
 def test_tokens_equal_the_tokenizer():
     tok = packing.Tokens(public_tokenizers.path("word_bpe_49k.json"))
     for t in ["It's İstanbul ‘x’ <|endoftext|>", "ábc ﬁ", "Ñandú's ²3 don't'll 'S x y­", "ΑΣ Σ", "", "日本 12３", "a_b--c'd 'relax'ten", "é x", "tab\tand nbsp\x1fend"]:
