@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from linkweave.llm import language_id, mixing, ngram_join, packing, secret_scan
-from linkweave.llm.common import shared_dir, table
+from linkweave.llm.common import removed, shared_dir, table
 
 MIX = mixing.MixPlan(
     budget_percent=100, max_epochs=4, seed=23,
@@ -52,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written to the shared folder and read as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each one's result is written to the shared folder and read as the next one's input,
+    after which what it was made from goes."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         folder = shared_dir(spark, name)
         stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        if before:
+            removed(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return STAGES[-1][1](spark, docs, sf_dir)
