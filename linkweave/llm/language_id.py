@@ -165,10 +165,11 @@ def calibrated(texts: list[str], languages: list[str], seed: int = 11) -> Model:
 def train(documents: DataFrame, folds: int = 4, held_out: int = 2) -> Model | None:
     """Fits on documents outside the held-out fold; None where no row has text and lang."""
     known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    # the first of each language in two steps, so that no language goes to one task whole
-    ids = known.select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("m")).withColumn("salt", F.substring("m", -3, 3)).distinct()
-    for keys in (("lang", "salt"), ("lang",)):
-        ids = ids.withColumn("turn", F.row_number().over(W.partitionBy(*keys).orderBy("m", "doc_id"))).filter(F.col("turn") <= TRAIN_DOCS)
+    # of a language with many documents only those of small md5 are numbered, twice as many as are taken, so that no task gets all
+    ids = known.select("doc_id", "lang", F.md5(F.col("doc_id").cast("string")).alias("m")).distinct()
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    small = F.conv(F.substring("m", 1, 8), 16, 10).cast("double") * F.col("n") <= 2.0**32 * 2 * TRAIN_DOCS
+    ids = ids.join(counts, "lang").filter(small).withColumn("turn", F.row_number().over(W.partitionBy("lang").orderBy("m", "doc_id")))
     ids = ids.orderBy("turn", "lang").limit(TRAIN_DOCS).select("doc_id", "lang")
     sample = known.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     rows = sorted(sample.select(F.md5(F.col("doc_id").cast("string")).alias("m"), "doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect())
