@@ -13,9 +13,9 @@ The global n-gram order is by hash, and it is cut into fragments that count on t
    start from prefixes in it: the shorter set shares an n-gram of its short prefix with one of the longer set's long
    prefix, and the positions bound the overlap. Each fragment finds the candidates among its own n-grams. An n-gram of at most
    ``LIST`` classes gives all its pairs; entries of others, and of heavy hitters, go on as rows.
-3. Those long lists are joined in rounds, so that no group emits all its pairs: first each entry with its list's leader (the
-   class with the largest share of its prefix in long lists), and once these links' components are known, each entry
-   outside its list's main component with some of that component, then with all entries of other components, under the
+3. Those long lists are joined in two rounds, so that no group emits all its pairs: first each entry with its list's leader (the
+   class with the largest share of its prefix in long lists) and some members drawn by hash; once these links' components are known, each
+   entry outside its list's main component with all entries of other components, under the
    bounds of lengths, places and bitmaps. Pairs within a component need no test.
 4. Candidates whose sets can't overlap enough fall to an upper bound: hashed parity bitmaps, four bits per n-gram or more,
    differ in no more places than the sets do.
@@ -37,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from linkweave.llm import shingles
 from linkweave.llm.common import cut
@@ -64,8 +64,10 @@ SLICE = 2_048
 LEAST_BITS, MOST_BITS = 256, 1 << 20
 #: Long lists are joined under a bound from bitmaps of so many longs.
 SKETCH = 32
-#: Members of a list's main component that each other entry is first compared with.
+#: Members of a list, drawn by hash, that all its entries are first compared with besides the leader.
 PROBES = 2
+#: N-grams before each entry of a long list that tell whether two sets have met already.
+BEFORE = 8
 
 
 @dataclass(frozen=True)
@@ -504,42 +506,37 @@ def link_components(documents: DataFrame, like: Likeness | None = None) -> DataF
     entries = cut(entries.withColumn("step", F.floor(F.ln("n") / F.ln(F.lit(100 / like.percent))).cast("int")))
     central = entries.groupBy("a").agg((F.count("*") / F.max("n")).alias("share"))
     entries = cut(entries.join(central, "a"))
-    leaders = entries.groupBy("gram", "step").agg(F.max(F.struct("share", "a")).alias("best")).select("gram", "step", F.col("best.a").alias("b"))
-    star = entries.join(leaders, ["gram", "step"]).select("a", "b")
+    drawn = [F.min(F.struct(F.xxhash64("a", F.lit(i)).alias("h"), "a"))["a"] for i in range(PROBES)]
+    leaders = entries.groupBy("gram", "step").agg(F.array_distinct(F.array(F.max(F.struct("share", "a"))["a"], *drawn)).alias("b"))
+    star = entries.join(leaders, ["gram", "step"]).select("a", F.explode("b").alias("b"))
     pairs = cut(ordered(found.filter("b is not null").select("a", "b").unionByName(star)))
     links = cut(verified(sets, classes, pairs, like))
     labels = class_components(links, classes)
 
-    # what is left of long lists: entries outside their list's main component, first with some members of it, then with all
-    # entries of other components
-    for sampled in (True, False):
-        rest = cut(ordered(list_pairs(entries, labels, classes, like, sampled)).join(pairs, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            links = cut(links.unionByName(verified(sets, classes, rest, like)))
-            labels = class_components(links, classes)
-            pairs = pairs.unionByName(rest)
+    # what is left of long lists: entries outside their list's main component, with all entries of other components
+    rest = cut(ordered(list_pairs(entries, labels, classes, like)).join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        labels = class_components(cut(links.unionByName(verified(sets, classes, rest, like))), classes)
     names = labels.join(reps, "class").groupBy("label").agg(F.min("rep").alias("component_id"))
     named = reps.join(labels, "class", "left").join(names, "label", "left").select("class", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def list_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, like: Likeness, sampled: bool) -> DataFrame:
-    """Pairs (a, b) of one long list in different components: each entry outside the list's main component with PROBES members
-    of that component (drawn by hash), or with all entries of other components that the bounds of lengths, places and bitmaps allow."""
+def list_pairs(entries: DataFrame, labels: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """Pairs (a, b) of one long list in different components: each entry outside the list's main component with
+    all entries of other components that the bounds of lengths, places and bitmaps allow.
+    Two sets that share one of the BEFORE n-grams before this one have met there (their places allowed more) and are not told again."""
     part = cut(entries.join(labels, F.col("a") == F.col("class"), "left").select("a", "gram", "n", "place", F.coalesce("label", "a").alias("label")))
     held = part.groupBy("gram", "label").agg(F.count("*").alias("k"))
     mixed = held.groupBy("gram").agg(F.max(F.struct("k", "label")).alias("most"), F.count("*").alias("labels")).filter("labels > 1").select("gram", F.col("most.label").alias("main"))
     open_ = cut(part.join(mixed, "gram"))
-    if sampled:
-        drawn = [F.min(F.struct(F.xxhash64("a", F.lit(i)).alias("h"), "a")).alias(f"m{i}") for i in range(PROBES)]
-        probes = open_.filter("label = main").groupBy("gram").agg(*drawn).select("gram", F.explode(F.array(*[F.col(f"m{i}.a") for i in range(PROBES)])).alias("b"))
-        return open_.filter("label <> main").select("gram", "a").join(probes, "gram").select("a", "b")
-    open_ = open_.join(classes.select(F.col("class").alias("a"), *[F.col("sketch")[i].alias(f"x{i}") for i in range(SKETCH)]), "a")
-    named = lambda i: [F.col(c).alias(f"{c}_{i}") for c in ("a", "n", "place", "label", *[f"x{k}" for k in range(SKETCH)])]
+    earlier = W.partitionBy("a").orderBy("place").rowsBetween(-BEFORE, -1)
+    open_ = open_.withColumn("before", F.collect_list("gram").over(earlier)).join(classes.select(F.col("class").alias("a"), *[F.col("sketch")[i].alias(f"x{i}") for i in range(SKETCH)]), "a")
+    named = lambda i: [F.col(c).alias(f"{c}_{i}") for c in ("a", "n", "place", "label", "before", *[f"x{k}" for k in range(SKETCH)])]
     one, two = open_.filter("label <> main").select("gram", *named(1)), open_.select("gram", *named(2))
     p, w = like.percent, 100 + like.percent
     apart = " + ".join(f"bit_count(x{k}_1 ^ x{k}_2)" for k in range(SKETCH))
-    fits = F.expr(f"label_1 <> label_2 and {p} * greatest(n_1, n_2) <= 100 * least(n_1, n_2) and {w} * least(n_1 - place_1, n_2 - place_2) >= {p} * (n_1 + n_2) and {w} * ((n_1 + n_2 - ({apart})) div 2) >= {p} * (n_1 + n_2)")
+    fits = F.expr(f"label_1 <> label_2 and {p} * greatest(n_1, n_2) <= 100 * least(n_1, n_2) and {w} * least(n_1 - place_1, n_2 - place_2) >= {p} * (n_1 + n_2) and {w} * ((n_1 + n_2 - ({apart})) div 2) >= {p} * (n_1 + n_2) and not arrays_overlap(before_1, before_2)")
     return one.join(two, (one["gram"] == two["gram"]) & fits).select(F.col("a_1").alias("a"), F.col("a_2").alias("b"))
 
 
