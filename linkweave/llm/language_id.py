@@ -7,9 +7,10 @@ round robin over the languages by md5(doc_id); of a doc_id that repeats, one row
 
 Rejection is calibrated on text that the model was not fitted to. A fifth of the sample is held out. What should be
 rejected is made of it: the texts with the letters of each word shuffled, with letters exchanged throughout, and for each of at most
-``LEFT_OUT`` languages its texts under a model that was fitted without it. A logistic regression on the lead of the best logit, the
-length of the text and their product tells known from unknown text. The threshold lies halfway between
-the scores of both where they part, and else where ``KEPT`` of the rightly predicted held-out texts stay.
+``LEFT_OUT`` languages its texts under a model that was fitted without it. What should be kept is made of the texts and of halves of two of them, as a text may hold passages of another known language.
+A logistic regression on the lead of the best logit over the second and over the last, the
+length of the text and their products tells known from unknown text. The threshold lies halfway between
+the scores of both where they part, and else where ``KEPT`` of what should be kept stays.
 
 The prediction is a learned language, or ``und`` (score 0) where the text is null or has no letter, or where nothing could
 be learned. The score is the chance, so calibrated, that the text is of a known language, times the softmax share. ``rejected`` marks ``und``
@@ -100,8 +101,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], epochs: int, seed: int)
 def evidence(logits: np.ndarray, size: np.ndarray) -> np.ndarray:
     """What the regression sees of some texts."""
     top = np.sort(logits, axis=1)[:, ::-1]
-    lead, long = (top[:, 0] - top[:, 1]) / 10, np.log2(1 + size) / 10
-    return np.stack([np.ones(len(lead)), lead, long, lead * long], axis=1)
+    lead, spread, long = (top[:, 0] - top[:, 1]) / 10, (top[:, 0] - top[:, -1]) / 10, np.log2(1 + size) / 10
+    return np.stack([np.ones(len(lead)), lead, spread, long, lead * long, spread * long], axis=1)
 
 
 def logistic(e: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -144,7 +145,9 @@ def calibrated(texts: list[str], languages: list[str], seed: int = 11) -> Model:
     losses = {t: -np.log(np.maximum(softmax(z / t)[np.arange(len(held)), y[held]], 1e-12)).mean() for t in TEMPERATURES}
     model.temperature = min(losses, key=lambda t: (losses[t], abs(np.log(t))))
     right = z.argmax(axis=1) == y[held]
-    good = evidence(z, size[held])[right]
+    pairs = [f"{texts[i][: len(texts[i]) // 2]} {texts[j][len(texts[j]) // 2 :]}" for i, j in zip(held, rng.permutation(held))]
+    both, n = averages(pairs)
+    good = np.concatenate([evidence(z, size[held])[right], evidence(model.logits(both), n)])
     bad = []
     for change in (shuffled, exchanged):
         other, n = averages([change(texts[i][:MADE_CHARS], rng) for i in held])

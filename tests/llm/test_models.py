@@ -72,3 +72,17 @@ def test_votes_match_brute_force():
         top = np.argsort(-c)[: quality_knn.NEIGHBOURS]
         w = np.maximum(c[top], 0)
         assert abs(got - (w @ space.labels[top]) / w.sum()) < 1e-5
+
+
+def test_unknown_text_is_rejected(spark):
+    rows = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null and n_chars > 200").select("text", "lang").orderBy("doc_id").collect()
+    rng = np.random.default_rng(2)
+    some, rest = rows[::2], rows[1::2]
+    model = language_id.calibrated([r["text"][: language_id.SAMPLE_CHARS] for r in some], [r["lang"] for r in some])
+    kept = [not x for x in language_id.predict([r["text"] for r in rest], model)[2]]
+    changed = language_id.predict([language_id.exchanged(r["text"], rng) for r in rest], model)[2]
+    assert np.mean(kept) > 0.98 and np.mean(changed) > 0.8
+    for left in ("es", "fr"):  # a language that the model never saw, not even as something to reject
+        known = [r for r in some if r["lang"] != left]
+        model = language_id.calibrated([r["text"][: language_id.SAMPLE_CHARS] for r in known], [r["lang"] for r in known])
+        assert np.mean(language_id.predict([r["text"] for r in rest if r["lang"] == left], model)[2]) > 0.6
