@@ -39,7 +39,7 @@ def op6_harmonic_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+    return spotsigs.fingerprint_classes(table(spark, sf_dir, "documents"))
 
 
 def op8_media_source(spark: SparkSession, sf_dir: str) -> DataFrame:

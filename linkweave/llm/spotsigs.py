@@ -3,10 +3,22 @@
 Words are runs of letters and digits, lower-cased. Each common word (``ANCHORS``) that is followed by ``CHAIN`` content
 words (not common ones) forms a spot: the anchor and that chain. A text's signature set is the set of hashes of its
 spots; a text with words but no spot has one signature of all its words, a text without words one of itself when it
-is not empty. The fingerprint is the sorted set, 32 bits each in base64: a pure function of the text. The Jaccard
-coefficient of two sets stops early where the set lengths alone rule out the least likeness asked for; the query asks for
-none, so nothing is pruned. ``length_class`` is a column of the result; sets are not partitioned or joined by it, and near
-copies elsewhere in the corpus are not looked for.
+is not empty. The fingerprint is the sorted set, 32 bits each in base64: a pure function of the text.
+
+``near_classes`` joins the whole corpus. Documents with equal sets form a class of which one takes part. Two classes link when the
+Jaccard coefficient of their sets is ``LEAST`` or more; ``near_class`` is the smallest doc_id that a document reaches by
+links, itself included (texts without signature have equal sets; rows with a null doc_id get the class of equal sets that have one, else null).
+
+1. One pass counts signatures, so that the most frequent (a bounded list; only their place in the order depends on it)
+   come last in the global order, and notes the class of each document.
+2. A set sends the rarest signatures of its order, as many as any set that links must share one of, to inverted lists,
+   which are partitioned by set length: only sets of the same or of neighbouring length classes are compared. Lists
+   of at most ``LIST`` sets give their pairs; entries of longer lists, and of frequent signatures, go on as rows.
+3. Those long lists first compare each member with the leader of its length class. Once the components of all links so
+   far are known, members outside a list's main component meet the members of other components; pairs within a component need no test.
+4. Pairs are compared exactly, pruned by their lengths before the sets are brought together.
+
+The join is exact up to collisions of the 64-bit hashes that tell spots and classes.
 
 ``dealt`` brings each document before its successor by descending doc_id (null ids last, equal ids by text): rows are
 dealt to ranges of doc_id with bounds from quantiles, the first row of each range also goes to the range before it
@@ -26,7 +38,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from linkweave.llm.common import exact_id
+from linkweave.llm.common import cut, exact_id
+from linkweave.operators.components import connected_components
 
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -41,6 +54,14 @@ CACHE_WORDS = 300_000
 #: Documents in a range of doc_id, about.
 RANGE_DOCS = 1_000
 MAX_RANGES = 65_536
+#: Least Jaccard coefficient of a link, and the longest inverted list of which all pairs are taken at once.
+LEAST, LIST = 0.75, 8
+#: Frequent signatures: at most so many, each so often in one batch of documents and in all.
+FREQUENT, OFTEN_IN_BATCH, OFTEN_IN_ALL = 100_000, 4, 32
+#: Entries of inverted lists in one fragment and code points for an entry, about; entries of a batch.
+FRAGMENT_ENTRIES, ENTRY_CHARS, BATCH_ENTRIES = 250_000, 80, 1_000_000
+#: Classes that are told by broadcast up to this many, else by shuffle join.
+BROADCAST_CLASSES = 400_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -59,6 +80,10 @@ class Spots:
 
     def of(self, text: str) -> np.ndarray:
         """The sorted distinct 32-bit signatures of a text."""
+        return (self.wide(text) >> np.uint64(32)).astype(np.uint32)
+
+    def wide(self, text: str) -> np.ndarray:
+        """The same as 64-bit hashes, whose upper halves are the signatures."""
         words = WORD.findall(text.lower())
         seen = self.seen
         if len(seen) > CACHE_WORDS:
@@ -85,7 +110,9 @@ class Spots:
         if not len(h):
             whole = " ".join(words) or text
             h = np.array([zlib.crc32(whole.encode("utf-8", "replace")) << 32] if whole else [], np.uint64)
-        return np.unique((h >> np.uint64(32)).astype(np.uint32))
+        h = np.unique(h)
+        upper = h >> np.uint64(32)
+        return h[np.flatnonzero(np.diff(upper, prepend=~upper[:1]))]
 
 
 def fingerprint(sigs: np.ndarray) -> str:
@@ -155,14 +182,19 @@ def dealt(documents: DataFrame) -> DataFrame:
     return rows.repartition(max(1, min(len(held), 2_000)), "range").sortWithinPartitions("range", "tail", F.col("doc_id").desc_nulls_last(), "text")
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_class int"
+SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, length_class int, class long"
 
 
-def length_class(n: int, least: float = 0.75) -> int:
+def length_class(n: int, least: float = LEAST) -> int:
     """The partition of a set by its length: sets as like as ``least`` lie in the same or in neighbouring ones."""
     return int(math.log(n) / -math.log(least)) if n else -1
 
 
+def set_class(sigs: np.ndarray) -> int:
+    """A 64-bit hash of a set, the same for equal sets."""
+    return int.from_bytes(hashlib.blake2b(sigs.astype("<u4").tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def fingerprints(documents: DataFrame) -> DataFrame:
     """Per row: see SCHEMA. ``near_next`` compares with the next document by descending doc_id, the last with the first."""
 
@@ -176,7 +208,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             new = edited(text, following[2])
             other = spots.of(new)
             digest = hashlib.sha256(new.encode("utf-8", "replace")).hexdigest()
-            return doc_id, len(text), digest, fingerprint(sigs), fingerprint(other), likeness(sigs, other), likeness(sigs, following[3]), length_class(len(sigs))
+            return doc_id, len(text), digest, fingerprint(sigs), fingerprint(other), likeness(sigs, other), likeness(sigs, following[3]), length_class(len(sigs)), set_class(sigs)
 
         done = False  # the range's own rows are all compared
         for p in parts:
@@ -198,3 +230,170 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
     rows = dealt(documents).withColumn("doc_id", exact_id("doc_id")).mapInPandas(run, SCHEMA.replace("doc_id long", "doc_id string"))
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def counted(documents: DataFrame) -> DataFrame:
+    """Rows (kind, key, value): 0, signature, count in a batch when it is high; 1, class, doc_id (null too)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spots = Spots()
+        for p in parts:
+            sets = [spots.of(t or "") for t in p["text"]]
+            yield pd.DataFrame({"kind": 1, "key": [set_class(x) for x in sets], "value": p["doc_id"].to_numpy()})
+            sig, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            often = n >= OFTEN_IN_BATCH
+            yield pd.DataFrame({"kind": 0, "key": sig[often].astype(np.int64), "value": n[often].astype(str)})
+
+    rows = documents.select(exact_id("doc_id"), "text").mapInPandas(run, "kind int, key long, value string")
+    return cut(rows.withColumn("value", F.col("value").cast("long")))
+
+
+def prefix(wide: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first signatures of a set in the global order (frequent ones last): every set at least ``LEAST`` like it
+    holds one of them among its own first ones. Also tells which of them are frequent."""
+    sigs = (wide >> np.uint64(32)).astype(np.uint32)
+    at = np.minimum(np.searchsorted(frequent, sigs), max(len(frequent) - 1, 0))
+    late = frequent[at] == sigs if len(frequent) else np.zeros(len(sigs), bool)
+    first = np.argsort(late, kind="stable")[: len(wide) - math.ceil(LEAST * len(wide) - 1e-9) + 1]
+    return wide[first], late[first]
+
+
+ENTRY = "fragment int, body binary, key long, class long, length int"
+FOUND = "a long, b long, key long, length int"
+
+
+def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataFrame:
+    """Inverted lists as ENTRY: a body packs the keys, classes and length classes of a batch in one fragment; entries of
+    frequent signatures are rows of their own, in any fragment."""
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray, int, int]]) -> pd.DataFrame:
+        sizes = [len(x[0]) for x in held]
+        keys, late = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        cls, lengths = np.repeat(np.array([x[2] for x in held], np.int64), sizes), np.repeat(np.array([x[3] for x in held], np.int32), sizes)
+        rows = pd.DataFrame({"fragment": (cls[late] % fragments).astype(np.int32), "body": None, "key": keys[late].view(np.int64), "class": cls[late], "length": lengths[late]})
+        keys, cls, lengths = keys[~late], cls[~late], lengths[~late].astype(np.uint8)
+        where = (_mixed(keys) % np.uint64(fragments)).astype(np.int32)
+        by = np.lexsort((keys & np.uint64(0xFFFFFFFF), where))
+        keys, cls, lengths, where = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)[by], cls[by], lengths[by], where[by]
+        cuts = np.flatnonzero(np.diff(where, prepend=-1))
+        bodies = [keys[i:j].tobytes() + cls[i:j].tobytes() + lengths[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(keys)])]
+        bodies = pd.DataFrame({"fragment": where[cuts], "body": bodies, "key": 0, "class": 0, "length": 0})
+        return pd.concat([rows, bodies]) if len(rows) else bodies
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spots, held, total = Spots(), {}, 0
+        for p in parts:
+            for text in p["text"]:
+                wide = spots.wide(text or "")
+                if not len(wide):
+                    continue
+                cls = set_class((wide >> np.uint64(32)).astype(np.uint32))
+                if cls not in held:
+                    held[cls] = (*prefix(wide, frequent), cls, length_class(len(wide)))
+                    total += len(held[cls][0])
+                if total >= BATCH_ENTRIES:
+                    yield packed(list(held.values()))
+                    held, total = {}, 0
+        if held:
+            yield packed(list(held.values()))
+
+    return documents.select("text").mapInPandas(run, ENTRY)
+
+
+def list_members(g: pd.DataFrame) -> pd.DataFrame:
+    """Of one fragment: pairs (a, b) of short lists, and the entries (key, a, length; b null) of long ones."""
+    bodies = [x for x in g["body"] if x is not None]
+    passed = g[g["body"].isnull()]
+    fragment, out = int(g["fragment"].iloc[0]), [pd.DataFrame({"a": passed["class"], "b": None, "key": passed["key"], "length": passed["length"]})]
+    if bodies:
+        sizes = [len(x) // 13 for x in bodies]
+        keys = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(bodies, sizes)])
+        cls = np.concatenate([np.frombuffer(x, np.int64, n, 4 * n) for x, n in zip(bodies, sizes)])
+        lengths = np.concatenate([np.frombuffer(x, np.uint8, n, 12 * n) for x, n in zip(bodies, sizes)]).astype(np.int16)
+        by = np.lexsort((cls, lengths, keys))
+        keys, cls, lengths = keys[by], cls[by], lengths[by]
+        new = (np.diff(keys, prepend=~keys[:1]) != 0) | (np.diff(cls, prepend=~cls[:1]) != 0)
+        keys, cls, lengths = keys[new], cls[new], lengths[new]
+        _, nth, n = np.unique(keys, return_inverse=True, return_counts=True)
+        size = n[nth]
+        pairs = []
+        for d in range(1, LIST):
+            i = np.flatnonzero((keys[:-d] == keys[d:]) & (size[:-d] <= LIST) & (lengths[d:] - lengths[:-d] <= 1)) if len(keys) > d else np.zeros(0, int)
+            pairs.append(np.stack([np.minimum(cls[i], cls[i + d]), np.maximum(cls[i], cls[i + d])], 1))
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "key": None, "length": None}))
+        long = size > LIST
+        wide = (keys[long].astype(np.int64) << 31) ^ fragment  # lists of different fragments stay apart
+        out.append(pd.DataFrame({"a": cls[long], "b": None, "key": wide, "length": lengths[long]}))
+    return pd.concat([x.astype("Int64") for x in out])
+
+
+def sets_of(documents: DataFrame, owners: DataFrame) -> DataFrame:
+    """(class, sigs) once of each class of ``owners`` (class, doc_id of one of its documents)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spots = Spots()
+        for p in parts:
+            sets = [spots.of(t or "") for t in p["text"]]
+            yield pd.DataFrame({"class": [set_class(x) for x in sets], "sigs": [x.view(np.int32) for x in sets]})
+
+    told = F.broadcast if owners.count() <= BROADCAST_CLASSES else lambda x: x
+    held = documents.select("doc_id", "text").join(told(owners.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = held.select("text").mapInPandas(run, "class long, sigs array<int>")
+    return found.join(told(owners.select("class")), "class", "left_semi").dropDuplicates(["class"])
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are at least ``LEAST`` like each other; lengths rule out pairs before sets are joined."""
+    n = sets.select("class", F.size("sigs").alias("n"))
+    pairs = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").filter(F.least("na", "nb") >= LEAST * F.greatest("na", "nb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("both", both)
+    return met.filter(100 * F.col("both") >= int(100 * LEAST) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+
+
+def near_classes(documents: DataFrame) -> DataFrame:
+    """(class, near_class) of the classes that hold several rows or link with others; see the module."""
+    noted = counted(documents)
+    often = noted.filter("kind = 0").groupBy("key").agg(F.sum("value").alias("n")).filter(F.col("n") >= OFTEN_IN_ALL)
+    frequent = np.array(sorted(r["key"] for r in often.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()), np.uint32)
+    members = noted.filter("kind = 1").groupBy(F.col("key").alias("class")).agg(F.min("value").alias("doc_id"), F.count("*").alias("n_rows"))
+    chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+    fragments = int(chars // (ENTRY_CHARS * FRAGMENT_ENTRIES)) + 1
+    lists = entries(documents, frequent, fragments).repartition(fragments, "fragment")
+    found = cut(lists.groupBy("fragment").applyInPandas(list_members, FOUND))
+
+    short = found.filter("b is not null").select("a", "b").distinct()
+    long = found.filter("b is null").select("key", "length", F.col("a").alias("class"))
+    # equal keys of different batches may repeat a class; a list of one class needs nothing
+    long = cut(long.distinct())
+    leaders = long.groupBy("key", "length").agg(F.min("class").alias("leader"))
+    led = long.join(leaders, ["key", "length"]).filter("class > leader").select(F.col("leader").alias("a"), F.col("class").alias("b"))
+    pairs = cut(short.unionByName(led).distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long.select("class")).distinct()
+    owners = cut(members.filter("doc_id is not null").select("class", "doc_id").join(needed, "class", "left_semi"))
+    sets = cut(sets_of(documents, owners))
+    links = cut(linked(pairs, sets))
+
+    parts = connected_components(links, "a", "b")
+    entry = long.join(parts.withColumnRenamed("node", "class"), "class", "left").select("key", "length", "class", F.coalesce("component", "class").alias("part"))
+    main = entry.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    entry = cut(entry.join(main.filter("parts > 1"), "key"))
+    other = entry.select("key", F.col("class").alias("y"), F.col("part").alias("of_y"), F.col("length"))
+    outer = entry.filter("part <> main").select("key", F.col("class").alias("x"), F.col("part").alias("of_x"), F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)).alias("length"))
+    more = outer.join(other, ["key", "length"]).filter("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    links = links.unionByName(linked(more, sets))
+
+    parts = connected_components(links, "a", "b").withColumnRenamed("node", "class")
+    named = members.join(parts, "class", "left").withColumn("part", F.coalesce("component", "class"))
+    first = named.filter("component is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
+    named = named.filter("component is not null or n_rows > 1").join(first, "part", "left")
+    return cut(named.select("class", F.coalesce("least", "doc_id").alias("near_class")))
+
+
+def fingerprint_classes(documents: DataFrame) -> DataFrame:
+    """``fingerprints`` with the ``near_class`` of each row instead of the hash of its set."""
+    classes = near_classes(documents)
+    told = F.broadcast if classes.count() <= BROADCAST_CLASSES else lambda x: x
+    rows = fingerprints(documents).join(told(classes), "class", "left")
+    return rows.withColumn("near_class", F.coalesce("near_class", "doc_id")).drop("class")

@@ -229,6 +229,44 @@ def test_ranges_split(spark, monkeypatch):
     test_fingerprints(spark)
 
 
+def near_by_brute_force(rows, spots):
+    """The smallest doc_id that each set reaches through sets of a Jaccard coefficient of 0.75 or more."""
+    sets = {}
+    for r in rows:
+        sets.setdefault(frozenset(spots.of(r["text"] or "").tolist()), []).append(r["doc_id"])
+    left, label = set(sets), {}
+    while left:
+        todo = [left.pop()]
+        group = list(todo)
+        while todo:
+            x = todo.pop()
+            near = [y for y in left if x and y and len(x & y) >= 0.75 * len(x | y)]
+            left -= set(near)
+            todo += near
+            group += near
+        ids = [i for x in group for i in sets[x] if i is not None]
+        label.update({x: min(ids, default=None) for x in group})
+    return label
+
+
+@pytest.mark.parametrize("longest", [8, 1])
+def test_near_classes(spark, monkeypatch, longest):
+    monkeypatch.setattr(spotsigs, "LIST", longest)
+    monkeypatch.setattr(spotsigs, "OFTEN_IN_ALL", 12 if longest == 1 else 32)
+    monkeypatch.setattr(spotsigs, "FRAGMENT_ENTRIES", 100)
+    if longest == 1:
+        monkeypatch.setattr(spotsigs, "BROADCAST_CLASSES", 0)
+    short = spark.createDataFrame([(5000 + i, f"the red {w} of a big {w} x{i % 3}") for i in range(40) for w in ("cat", "dog")], "doc_id long, text string")
+    docs = with_odd_cases(spark).unionByName(short).unionByName(spark.read.parquet(f"{TINY}/documents.parquet").selectExpr("doc_id + 9000 as doc_id", "text"))
+    rows, spots = docs.collect(), spotsigs.Spots()
+    label = near_by_brute_force(rows, spots)
+    want = sorted(((r["doc_id"], label[frozenset(spots.of(r["text"] or "").tolist())]) for r in rows), key=str)
+    got = spotsigs.fingerprint_classes(docs)
+    assert sorted(((r["doc_id"], r["near_class"]) for r in got.collect()), key=str) == want
+    assert len({b for _, b in want}) < len(want) - 60
+    assert "class" not in got.columns and spotsigs.fingerprint_classes(empty(spark)).count() == 0
+
+
 def test_pruned_jaccard():
     a, b = np.arange(10, dtype=np.uint32), np.arange(5, 40, dtype=np.uint32)
     assert spotsigs.likeness(a, b) == 5 / 40 and spotsigs.likeness(a, b, 0.5) == 0 and spotsigs.likeness(a[:0], a[:0]) == 1 and spotsigs.likeness(a, a[:0]) == 0
