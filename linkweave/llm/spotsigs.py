@@ -1,6 +1,6 @@
 """Document fingerprints: SpotSigs, with Jaccard likeness to the edited and to the next document.
 
-Words are runs of letters and digits, lower-cased. Each common word (``ANCHORS``) that is followed by ``CHAIN`` content
+Words are runs of letters, digits and any characters beyond ASCII, lower-cased. Each common word (``ANCHORS``) that is followed by ``CHAIN`` content
 words (not common ones) forms a spot: the anchor and that chain. A text's signature set is the set of hashes of its
 spots; a text with words but no spot has one signature of all its words, a text without words one of itself when it
 is not empty. The fingerprint is the sorted set, 32 bits each in base64: a pure function of the text.
@@ -16,7 +16,7 @@ links, itself included (texts without signature have equal sets; rows with a nul
    of at most ``LIST`` sets give their pairs; entries of longer lists, and of frequent signatures, go on as rows.
 3. Those long lists first compare each member with the leader of its length class. Once the components of all links so
    far are known, members outside a list's main component meet the members of other components; pairs within a component need no test.
-4. Pairs are compared exactly, pruned by their lengths before the sets are brought together.
+4. Pairs are pruned by their lengths and by bitmaps that bound the difference, and the others compared exactly.
 
 The join is exact up to collisions of the 64-bit hashes that tell spots and classes.
 
@@ -49,8 +49,10 @@ ANCHORS = frozenset(
     "el los las del que y por con para como una su al lo más pero sus le ya o este".split()
 )
 CHAIN, GAP = 2, 5
-WORD = re.compile(r"[^\W_]+")
-CACHE_WORDS = 300_000
+NO_WORD = re.compile(rb"[^0-9a-z\x80-\xff]")
+IN_WORD = np.array([NO_WORD.match(bytes([i])) is None for i in range(256)])
+#: Bytes that are cut into words together, and code points of texts whose spots are found together, about.
+PIECE, TOGETHER = 1 << 18, 1 << 20
 #: Documents in a range of doc_id, about.
 RANGE_DOCS = 1_000
 MAX_RANGES = 65_536
@@ -72,47 +74,105 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Spots:
-    """Signature sets of texts; keeps the hashes of words it has met, up to a bound."""
-
-    def __init__(self) -> None:
-        self.seen: dict[str, int] = {}
-
-    def of(self, text: str) -> np.ndarray:
-        """The sorted distinct 32-bit signatures of a text."""
-        return (self.wide(text) >> np.uint64(32)).astype(np.uint32)
-
-    def wide(self, text: str) -> np.ndarray:
-        """The same as 64-bit hashes, whose upper halves are the signatures."""
-        words = WORD.findall(text.lower())
-        seen = self.seen
-        if len(seen) > CACHE_WORDS:
-            seen.clear()
-        try:
-            codes = np.array([seen[w] for w in words], np.uint64)
-        except KeyError:
-            for w in words:
-                if w not in seen:  # the low bit marks anchors
-                    seen[w] = (zlib.crc32(w.encode()) << 1) | (w in ANCHORS)
-            codes = np.array([seen[w] for w in words], np.uint64)
-        anchor = (codes & np.uint64(1)).astype(bool)
+def weights(n: int) -> np.ndarray:
+    """Odd 64-bit multipliers for places 0 to n - 1."""
+    return _mixed(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+FEW = weights(64)
+
+
+def words_of(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash (a sum of bytes weighted by place, mixed) of each word, a bounded piece at a time."""
+    starts, codes, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(raw):
+        stop = NO_WORD.search(raw, at + PIECE)
+        end = stop.start() if stop else len(raw)
+        b = np.frombuffer(raw, np.uint8, end - at, at)
+        held = IN_WORD[b]
+        turns = np.flatnonzero(np.diff(held.view(np.int8), prepend=0, append=0))
+        if len(turns):
+            first, n = turns[::2], turns[1::2] - turns[::2]
+            before = np.cumsum(n) - n
+            longest = int(n.max())
+            by_place = (FEW if longest <= len(FEW) else weights(longest))[np.arange(int(n.sum())) - np.repeat(before, n)]
+            codes.append(_mixed(np.add.reduceat(by_place * (b[held].astype(np.uint64) + np.uint64(1)), before) + n.astype(np.uint64)))
+            starts.append(first + at)
+        at = end
+    return np.concatenate(starts), np.concatenate(codes)
+
+
+ANCHOR_CODES = np.sort(np.concatenate([words_of(w.encode())[1] for w in ANCHORS]))
+
+
+def together(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of a bounded size, or of one text."""
+    held, size = [], 0
+    for t in texts:
+        if held and size + len(t) > TOGETHER:
+            yield held
+            held, size = [], 0
+        held.append(t)
+        size += len(t)
+    if held:
+        yield held
+
+
+def wide_sets(texts: list[str]) -> list[np.ndarray]:
+    """Of each text the 64-bit hashes of its spots, sorted; their upper halves are the signatures, each of them once."""
+    return [x for run in together(texts) for x in _wide_sets(run)]
+
+
+def _wide_sets(texts: list[str]) -> list[np.ndarray]:
+    raw = [t.lower().encode("utf-8", "replace") for t in texts]
+    ends = np.cumsum([len(x) + 1 for x in raw])
+    starts, codes = words_of(b" ".join(raw))
+    owner = np.searchsorted(ends, starts, side="right")
+    word_ends = np.searchsorted(owner, np.arange(len(texts)), side="right")
+    word_starts = np.concatenate([[0], word_ends[:-1]])
+    place = np.arange(len(codes))
+    if len(codes):
+        anchor = ANCHOR_CODES[np.minimum(np.searchsorted(ANCHOR_CODES, codes), len(ANCHOR_CODES) - 1)] == codes
+        start = word_starts[owner]
+        last = np.maximum.accumulate(np.where(anchor, place, np.where(place == start, place - 1, -1)))
+        last = np.maximum(last, start - 1)
+        stand_in = ~anchor & ((place - last) % GAP == 1) & ((place - last > 1) | (last < start))
         content = np.flatnonzero(~anchor)
-        place = np.arange(len(codes))
-        last = np.maximum.accumulate(np.where(anchor, place, -1)) if len(codes) else place
-        stand_in = ~anchor & ((place - last) % GAP == 1) & ((place - last > 1) | (last < 0))
         at = np.flatnonzero(anchor | stand_in)
         nth = np.searchsorted(content, at)
         good = nth + CHAIN <= len(content)
         at, nth = at[good], nth[good]
+        good = owner[content[nth + CHAIN - 1]] == owner[at]
+        at, nth = at[good], nth[good]
         h = _mixed(np.where(anchor[at], codes[at], np.uint64(0)))
         for i in range(CHAIN):
             h = _mixed(h + codes[content[nth + i]])
-        if not len(h):
-            whole = " ".join(words) or text
-            h = np.array([zlib.crc32(whole.encode("utf-8", "replace")) << 32] if whole else [], np.uint64)
-        h = np.unique(h)
+        by = np.lexsort((h, owner[at]))
+        h, of = h[by], owner[at][by]
         upper = h >> np.uint64(32)
-        return h[np.flatnonzero(np.diff(upper, prepend=~upper[:1]))]
+        new = np.concatenate([[True], (upper[1:] != upper[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
+        h, of = h[new], of[new]
+        cuts = np.searchsorted(of, np.arange(len(texts) + 1))
+    else:
+        h, cuts = np.zeros(0, np.uint64), np.zeros(len(texts) + 1, int)
+    out = []
+    for i, text in enumerate(texts):
+        found = h[cuts[i] : cuts[i + 1]]
+        if not len(found) and text:
+            own = codes[word_starts[i] : word_ends[i]]
+            own = own if len(own) else np.array([zlib.crc32(raw[i])], np.uint64)
+            found = _mixed(np.array([np.sum(own * weights(len(own)))], np.uint64))
+        out.append(found)
+    return out
+
+
+def upper(wide: np.ndarray) -> np.ndarray:
+    return (wide >> np.uint64(32)).astype(np.uint32)
+
+
+def signatures(texts: list[str]) -> list[np.ndarray]:
+    """Of each text its sorted distinct 32-bit signatures."""
+    return [upper(x) for x in wide_sets(texts)]
 
 
 def fingerprint(sigs: np.ndarray) -> str:
@@ -198,35 +258,37 @@ def set_class(sigs: np.ndarray) -> int:
 def fingerprints(documents: DataFrame) -> DataFrame:
     """Per row: see SCHEMA. ``near_next`` compares with the next document by descending doc_id, the last with the first."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spots = Spots()
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        held, first = None, None  # (range, doc_id, text, signatures) of the row before, and of the range's first row
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
-        def compared(row: tuple, following: tuple) -> tuple:
-            _, doc_id, text, sigs = row
-            new = edited(text, following[2])
-            other = spots.of(new)
-            digest = hashlib.sha256(new.encode("utf-8", "replace")).hexdigest()
-            return doc_id, len(text), digest, fingerprint(sigs), fingerprint(other), likeness(sigs, other), likeness(sigs, following[3]), length_class(len(sigs)), set_class(sigs)
+    def compared(todo: list[tuple[tuple, tuple]]) -> pd.DataFrame:
+        out, new = [], [edited(row[2], following[2]) for row, following in todo]
+        for ((_, doc_id, text, sigs), following), changed, other in zip(todo, new, signatures(new)):
+            digest = hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest()
+            out.append((doc_id, len(text), digest, fingerprint(sigs), fingerprint(other), likeness(sigs, other), likeness(sigs, following[3]), length_class(len(sigs)), set_class(sigs)))
+        return pd.DataFrame(out, columns=names)
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, first = None, None  # (range, doc_id, text, signatures) of the row before, and of the range's first row
         done = False  # the range's own rows are all compared
         for p in parts:
-            out = []
-            for doc_id, text, r, tail in zip(p["doc_id"], p["text"], p["range"].tolist(), p["tail"].tolist()):
-                if held is not None and held[0] == r and done:
-                    continue
-                text = text or ""
-                row = (r, doc_id, text, spots.of(text))
-                if held is not None and not done:
-                    out.append(compared(held, row if held[0] == r else first))
-                if held is None or held[0] != r:
-                    first = row
-                held, done = row, tail
-            if out:
-                yield pd.DataFrame(out, columns=names)
+            ids, places, tails, nth = p["doc_id"].tolist(), p["range"].tolist(), p["tail"].tolist(), 0
+            for texts in together([t or "" for t in p["text"]]):
+                todo = []
+                for text, sigs in zip(texts, signatures(texts)):
+                    doc_id, r, tail = ids[nth], places[nth], tails[nth]
+                    nth += 1
+                    if held is not None and held[0] == r and done:
+                        continue
+                    row = (r, doc_id, text, sigs)
+                    if held is not None and not done:
+                        todo.append((held, row if held[0] == r else first))
+                    if held is None or held[0] != r:
+                        first = row
+                    held, done = row, tail
+                if todo:
+                    yield compared(todo)
         if held is not None and not done:
-            yield pd.DataFrame([compared(held, first)], columns=names)
+            yield compared([(held, first)])
 
     rows = dealt(documents).withColumn("doc_id", exact_id("doc_id")).mapInPandas(run, SCHEMA.replace("doc_id long", "doc_id string"))
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -236,9 +298,8 @@ def counted(documents: DataFrame) -> DataFrame:
     """Rows (kind, key, value): 0, signature, count in a batch when it is high; 1, class, doc_id (null too)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spots = Spots()
         for p in parts:
-            sets = [spots.of(t or "") for t in p["text"]]
+            sets = signatures([t or "" for t in p["text"]])
             yield pd.DataFrame({"kind": 1, "key": [set_class(x) for x in sets], "value": p["doc_id"].to_numpy()})
             sig, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
             often = n >= OFTEN_IN_BATCH
@@ -251,7 +312,7 @@ def counted(documents: DataFrame) -> DataFrame:
 def prefix(wide: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first signatures of a set in the global order (frequent ones last): every set at least ``LEAST`` like it
     holds one of them among its own first ones. Also tells which of them are frequent."""
-    sigs = (wide >> np.uint64(32)).astype(np.uint32)
+    sigs = upper(wide)
     at = np.minimum(np.searchsorted(frequent, sigs), max(len(frequent) - 1, 0))
     late = frequent[at] == sigs if len(frequent) else np.zeros(len(sigs), bool)
     first = np.argsort(late, kind="stable")[: len(wide) - math.ceil(LEAST * len(wide) - 1e-9) + 1]
@@ -281,13 +342,12 @@ def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataF
         return pd.concat([rows, bodies]) if len(rows) else bodies
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spots, held, total = Spots(), {}, 0
+        held, total = {}, 0
         for p in parts:
-            for text in p["text"]:
-                wide = spots.wide(text or "")
+            for wide in wide_sets([t or "" for t in p["text"]]):
                 if not len(wide):
                     continue
-                cls = set_class((wide >> np.uint64(32)).astype(np.uint32))
+                cls = set_class(upper(wide))
                 if cls not in held:
                     held[cls] = (*prefix(wide, frequent), cls, length_class(len(wide)))
                     total += len(held[cls][0])
@@ -328,28 +388,54 @@ def list_members(g: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([x.astype("Int64") for x in out])
 
 
-def sets_of(documents: DataFrame, owners: DataFrame) -> DataFrame:
-    """(class, sigs) once of each class of ``owners`` (class, doc_id of one of its documents)."""
+def sketch(sigs: np.ndarray) -> np.ndarray:
+    """A parity bitmap as 64-bit words, one bit for a signature or more, whose size is a power of two: sets can't differ
+    in fewer places than their bitmaps do. Folding a bitmap gives the one of half its size."""
+    bits = 64
+    while bits < len(sigs):
+        bits *= 2
+    at = _mixed(sigs.astype(np.uint64)) & np.uint64(bits - 1)
+    odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def sets_of(documents: DataFrame, owners: DataFrame, sketched: bool) -> DataFrame:
+    """(class, n, held) once of each class of ``owners`` (class, doc_id of one of its documents): the signatures or
+    the sketch of the set."""
+    kind = "long" if sketched else "int"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spots = Spots()
         for p in parts:
-            sets = [spots.of(t or "") for t in p["text"]]
-            yield pd.DataFrame({"class": [set_class(x) for x in sets], "sigs": [x.view(np.int32) for x in sets]})
+            sets = signatures([t or "" for t in p["text"]])
+            held = [sketch(x) if sketched else x.view(np.int32) for x in sets]
+            yield pd.DataFrame({"class": [set_class(x) for x in sets], "n": [len(x) for x in sets], "held": held})
 
     told = F.broadcast if owners.count() <= BROADCAST_CLASSES else lambda x: x
-    held = documents.select("doc_id", "text").join(told(owners.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = held.select("text").mapInPandas(run, "class long, sigs array<int>")
-    return found.join(told(owners.select("class")), "class", "left_semi").dropDuplicates(["class"])
+    rows = documents.select("doc_id", "text").join(told(owners.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = rows.select("text").mapInPandas(run, f"class long, n int, held array<{kind}>")
+    return cut(found.join(told(owners.select("class")), "class", "left_semi").dropDuplicates(["class"]))
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose lengths and sketches allow a link. Sets alike to J differ in at most (1 - J) / (1 + J)
+    of the sum of their lengths."""
+    folded = lambda x, y: F.when(F.size(x) <= F.size(y), F.col(x)).otherwise(
+        F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda i, j: i.bitwiseXOR(j))
+    )
+    met = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
+    met = met.filter(F.least("na", "nb") >= LEAST * F.greatest("na", "nb"))
+    apart = F.aggregate(F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda x, y: x + y)
+    return met.filter(apart * (1 + LEAST) <= (1 - LEAST) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are at least ``LEAST`` like each other; lengths rule out pairs before sets are joined."""
-    n = sets.select("class", F.size("sigs").alias("n"))
-    pairs = pairs.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b").filter(F.least("na", "nb") >= LEAST * F.greatest("na", "nb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("both", both)
-    return met.filter(100 * F.col("both") >= int(100 * LEAST) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+def linked(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, owners: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are at least ``LEAST`` like each other; sets are brought together only where length
+    and sketch allow it."""
+    pairs = cut(plausible(pairs, sketches))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    sets = sets_of(documents, cut(owners.join(needed, "class", "left_semi")), False)
+    met = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    return cut(met.filter(100 * F.col("both") >= int(100 * LEAST) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
 
 
 def near_classes(documents: DataFrame) -> DataFrame:
@@ -372,8 +458,8 @@ def near_classes(documents: DataFrame) -> DataFrame:
     pairs = cut(short.unionByName(led).distinct())
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long.select("class")).distinct()
     owners = cut(members.filter("doc_id is not null").select("class", "doc_id").join(needed, "class", "left_semi"))
-    sets = cut(sets_of(documents, owners))
-    links = cut(linked(pairs, sets))
+    sketches = sets_of(documents, owners, True)
+    links = linked(pairs, sketches, documents, owners)
 
     parts = connected_components(links, "a", "b")
     entry = long.join(parts.withColumnRenamed("node", "class"), "class", "left").select("key", "length", "class", F.coalesce("component", "class").alias("part"))
@@ -382,7 +468,7 @@ def near_classes(documents: DataFrame) -> DataFrame:
     other = entry.select("key", F.col("class").alias("y"), F.col("part").alias("of_y"), F.col("length"))
     outer = entry.filter("part <> main").select("key", F.col("class").alias("x"), F.col("part").alias("of_x"), F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)).alias("length"))
     more = outer.join(other, ["key", "length"]).filter("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(linked(more, sets))
+    links = links.unionByName(linked(more, sketches, documents, owners))
 
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "class")
     named = members.join(parts, "class", "left").withColumn("part", F.coalesce("component", "class"))

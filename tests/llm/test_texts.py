@@ -210,13 +210,12 @@ def test_fingerprints(spark):
     seen = {}
     for r in got:
         seen.setdefault(r["doc_id"], []).append(r)
-    spots = spotsigs.Spots()
     for a, b in zip(order, [*order[1:], order[0]]):
         t, u = a["text"] or "", b["text"] or ""
         new = spotsigs.edited(t, u)
         n = len(t) // 3
         assert new == t[: len(t) - n] + u[:n]
-        x, y, z = spots.of(t), spots.of(new), spots.of(u)
+        x, y, z = spotsigs.signatures([t, new, u])
         want = (len(t), hashlib.sha256(new.encode()).hexdigest(), spotsigs.fingerprint(x), spotsigs.fingerprint(y), spotsigs.likeness(x, y), spotsigs.likeness(x, z))
         assert want in [(r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in seen[a["doc_id"]]]
     assert spotsigs.fingerprints(empty(spark)).count() == 0
@@ -229,11 +228,43 @@ def test_ranges_split(spark, monkeypatch):
     test_fingerprints(spark)
 
 
-def near_by_brute_force(rows, spots):
+def spots_by_hand(text):
+    """Spots of a text as tuples of words, by a plain loop."""
+    words = [w for w in "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split(" ") if w]
+    out, last = set(), None
+    for i, w in enumerate(words):
+        common = w in spotsigs.ANCHORS
+        since = i + 1 if last is None else i - last
+        last = i if common else last
+        if common or (since % spotsigs.GAP == 1 and (since > 1 or last is None)):
+            chain = [x for x in words[i + (1 if common else 0) :] if x not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+            if len(chain) == spotsigs.CHAIN:
+                out.add((w if common else "", *chain))
+    return out or ({tuple(words) or text} if text else set())
+
+
+def test_spots(spark, monkeypatch):
+    texts = [r["text"] or "" for r in with_odd_cases(spark).collect()] + ["the", "a b c", "x_y the__Cat sat on it", "é" * 300, "w " * 70 + "z" * 90]
+    for piece, together in ((1 << 18, 1 << 20), (7, 300)):
+        monkeypatch.setattr(spotsigs, "PIECE", piece)
+        monkeypatch.setattr(spotsigs, "TOGETHER", together)
+        got = spotsigs.wide_sets(texts)
+        want = [spots_by_hand(t) for t in texts]
+        assert [len(x) for x in got] == [len(x) for x in want]
+        known = {}
+        for x, y in zip(got, want):
+            if len(y) == 1:
+                assert known.setdefault(next(iter(y)), x[0]) == x[0]
+        for i in range(0, len(texts), 3):
+            for j in range(i, min(i + 40, len(texts))):
+                assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
+def near_by_brute_force(rows):
     """The smallest doc_id that each set reaches through sets of a Jaccard coefficient of 0.75 or more."""
     sets = {}
     for r in rows:
-        sets.setdefault(frozenset(spots.of(r["text"] or "").tolist()), []).append(r["doc_id"])
+        sets.setdefault(frozenset(spotsigs.signatures([r["text"] or ""])[0].tolist()), []).append(r["doc_id"])
     left, label = set(sets), {}
     while left:
         todo = [left.pop()]
@@ -258,9 +289,9 @@ def test_near_classes(spark, monkeypatch, longest):
         monkeypatch.setattr(spotsigs, "BROADCAST_CLASSES", 0)
     short = spark.createDataFrame([(5000 + i, f"the red {w} of a big {w} x{i % 3}") for i in range(40) for w in ("cat", "dog")], "doc_id long, text string")
     docs = with_odd_cases(spark).unionByName(short).unionByName(spark.read.parquet(f"{TINY}/documents.parquet").selectExpr("doc_id + 9000 as doc_id", "text"))
-    rows, spots = docs.collect(), spotsigs.Spots()
-    label = near_by_brute_force(rows, spots)
-    want = sorted(((r["doc_id"], label[frozenset(spots.of(r["text"] or "").tolist())]) for r in rows), key=str)
+    rows = docs.collect()
+    label = near_by_brute_force(rows)
+    want = sorted(((r["doc_id"], label[frozenset(spotsigs.signatures([r["text"] or ""])[0].tolist())]) for r in rows), key=str)
     got = spotsigs.fingerprint_classes(docs)
     assert sorted(((r["doc_id"], r["near_class"]) for r in got.collect()), key=str) == want
     assert len({b for _, b in want}) < len(want) - 60
