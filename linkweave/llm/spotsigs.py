@@ -12,11 +12,13 @@ links, itself included (texts without signature have equal sets; rows with a nul
 1. One pass counts signatures, so that the most frequent (a bounded list; only their place in the order depends on it)
    come last in the global order, and notes the class of each document.
 2. A set sends the rarest signatures of its order, as many as any set that links must share one of, to inverted lists,
-   which are partitioned by set length: only sets of the same or of neighbouring length classes are compared. Lists
-   of at most ``LIST`` sets give their pairs; entries of longer lists, and of frequent signatures, go on as rows.
+   which are partitioned by set length. An entry brings the length of its set and a 64-bit bitmap of it, so that lists of at most
+   ``LIST`` sets give only those pairs that lengths and bitmaps allow. Where these are more than ``PAIRS`` an entry, and
+   in longer lists and those of frequent signatures, the entries go on as rows.
 3. Those long lists first compare each member with the leader of its length class. Once the components of all links so
-   far are known, members outside a list's main component meet the members of other components; pairs within a component need no test.
-4. Pairs are pruned by their lengths and by bitmaps that bound the difference, and the others compared exactly.
+   far are known, members outside a list's main component meet the members of other components of the same or of
+   neighbouring length classes; pairs within a component need no test. Larger bitmaps are part of these joins' conditions.
+4. The pairs left are compared exactly.
 
 The join is exact up to collisions of the 64-bit hashes that tell spots and classes.
 
@@ -36,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from linkweave.llm.common import cut, exact_id
 from linkweave.operators.components import connected_components
@@ -56,8 +58,11 @@ PIECE, TOGETHER = 1 << 18, 1 << 20
 #: Documents in a range of doc_id, about.
 RANGE_DOCS = 1_000
 MAX_RANGES = 65_536
-#: Least Jaccard coefficient of a link, and the longest inverted list of which all pairs are taken at once.
-LEAST, LIST = 0.75, 8
+#: Least Jaccard coefficient of a link; the longest inverted list whose pairs are looked at in one place, and the most of them
+#: an entry that it may give.
+LEAST, LIST, PAIRS = 0.75, 32, 2
+#: Bits of a set's bitmap for each signature, about, and at most.
+SKETCH_BITS, MOST_BITS = 4, 4_096
 #: Frequent signatures: at most so many, each so often in one batch of documents and in all.
 FREQUENT, OFTEN_IN_BATCH, OFTEN_IN_ALL = 100_000, 4, 32
 #: Entries of inverted lists in one fragment and code points for an entry, about; entries of a batch.
@@ -250,6 +255,11 @@ def length_class(n: int, least: float = LEAST) -> int:
     return int(math.log(n) / -math.log(least)) if n else -1
 
 
+def length_classes(n: np.ndarray) -> np.ndarray:
+    """``length_class`` of sets that are not empty."""
+    return (np.log(n) / -math.log(LEAST)).astype(np.int64)
+
+
 def set_class(sigs: np.ndarray) -> int:
     """A 64-bit hash of a set, the same for equal sets."""
     return int.from_bytes(hashlib.blake2b(sigs.astype("<u4").tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -324,20 +334,23 @@ FOUND = "a long, b long, key long, length int"
 
 
 def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataFrame:
-    """Inverted lists as ENTRY: a body packs the keys, classes and length classes of a batch in one fragment; entries of
-    frequent signatures are rows of their own, in any fragment."""
+    """Inverted lists as ENTRY: a body packs the keys, classes, lengths and 64-bit bitmaps of a batch in one fragment;
+    entries of frequent signatures are rows of their own, in any fragment."""
 
-    def packed(held: list[tuple[np.ndarray, np.ndarray, int, int]]) -> pd.DataFrame:
-        sizes = [len(x[0]) for x in held]
+    def packed(held: list[tuple[np.ndarray, np.ndarray, int, int, int]]) -> pd.DataFrame:
+        nth = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
         keys, late = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        cls, lengths = np.repeat(np.array([x[2] for x in held], np.int64), sizes), np.repeat(np.array([x[3] for x in held], np.int32), sizes)
-        rows = pd.DataFrame({"fragment": (cls[late] % fragments).astype(np.int32), "body": None, "key": keys[late].view(np.int64), "class": cls[late], "length": lengths[late]})
-        keys, cls, lengths = keys[~late], cls[~late], lengths[~late].astype(np.uint8)
+        cls, n = np.array([x[2] for x in held], np.int64), np.array([x[3] for x in held], np.uint32)
+        bitmap = np.array([x[4] for x in held], np.int64)
+        of = cls[nth[late]]
+        rows = pd.DataFrame({"fragment": (of % fragments).astype(np.int32), "body": None, "key": keys[late].view(np.int64), "class": of, "length": length_classes(n)[nth[late]]})
+        keys, nth = keys[~late], nth[~late]
         where = (_mixed(keys) % np.uint64(fragments)).astype(np.int32)
         by = np.lexsort((keys & np.uint64(0xFFFFFFFF), where))
-        keys, cls, lengths, where = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)[by], cls[by], lengths[by], where[by]
+        keys, nth, where = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)[by], nth[by], where[by]
         cuts = np.flatnonzero(np.diff(where, prepend=-1))
-        bodies = [keys[i:j].tobytes() + cls[i:j].tobytes() + lengths[i:j].tobytes() for i, j in zip(cuts, [*cuts[1:], len(keys)])]
+        columns = [keys, cls[nth], n[nth], bitmap[nth]]
+        bodies = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(cuts, [*cuts[1:], len(keys)])]
         bodies = pd.DataFrame({"fragment": where[cuts], "body": bodies, "key": 0, "class": 0, "length": 0})
         return pd.concat([rows, bodies]) if len(rows) else bodies
 
@@ -349,7 +362,7 @@ def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataF
                     continue
                 cls = set_class(upper(wide))
                 if cls not in held:
-                    held[cls] = (*prefix(wide, frequent), cls, length_class(len(wide)))
+                    held[cls] = (*prefix(wide, frequent), cls, len(wide), int(sketch(upper(wide), 64)[0]))
                     total += len(held[cls][0])
                 if total >= BATCH_ENTRIES:
                     yield packed(list(held.values()))
@@ -361,38 +374,47 @@ def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataF
 
 
 def list_members(g: pd.DataFrame) -> pd.DataFrame:
-    """Of one fragment: pairs (a, b) of short lists, and the entries (key, a, length; b null) of long ones."""
+    """Of one fragment: pairs (a, b) of short lists that may link, and the entries (key, a, length; b null) of others."""
     bodies = [x for x in g["body"] if x is not None]
     passed = g[g["body"].isnull()]
     fragment, out = int(g["fragment"].iloc[0]), [pd.DataFrame({"a": passed["class"], "b": None, "key": passed["key"], "length": passed["length"]})]
     if bodies:
-        sizes = [len(x) // 13 for x in bodies]
-        keys = np.concatenate([np.frombuffer(x, np.uint32, n) for x, n in zip(bodies, sizes)])
-        cls = np.concatenate([np.frombuffer(x, np.int64, n, 4 * n) for x, n in zip(bodies, sizes)])
-        lengths = np.concatenate([np.frombuffer(x, np.uint8, n, 12 * n) for x, n in zip(bodies, sizes)]).astype(np.int16)
+        sizes = [len(x) // 24 for x in bodies]
+        column = lambda kind, at: np.concatenate([np.frombuffer(x, kind, n, at * n) for x, n in zip(bodies, sizes)])
+        keys, cls, lengths, bitmap = column(np.uint32, 0), column(np.int64, 4), column(np.uint32, 12).astype(np.int64), column(np.uint64, 16)
         by = np.lexsort((cls, lengths, keys))
-        keys, cls, lengths = keys[by], cls[by], lengths[by]
+        keys, cls, lengths, bitmap = keys[by], cls[by], lengths[by], bitmap[by]
         new = (np.diff(keys, prepend=~keys[:1]) != 0) | (np.diff(cls, prepend=~cls[:1]) != 0)
-        keys, cls, lengths = keys[new], cls[new], lengths[new]
+        keys, cls, lengths, bitmap = keys[new], cls[new], lengths[new], bitmap[new]
         _, nth, n = np.unique(keys, return_inverse=True, return_counts=True)
-        size = n[nth]
-        pairs = []
+        at = np.flatnonzero((n[nth] <= LIST) & (n[nth] > 1))
+        first, second = [np.zeros(0, int)], [np.zeros(0, int)]
         for d in range(1, LIST):
-            i = np.flatnonzero((keys[:-d] == keys[d:]) & (size[:-d] <= LIST) & (lengths[d:] - lengths[:-d] <= 1)) if len(keys) > d else np.zeros(0, int)
-            pairs.append(np.stack([np.minimum(cls[i], cls[i + d]), np.maximum(cls[i], cls[i + d])], 1))
-        pairs = np.unique(np.concatenate(pairs), axis=0)
+            at = at[at + d < len(keys)]
+            at = at[(keys[at] == keys[at + d]) & (lengths[at] >= LEAST * lengths[at + d])]  # lists ascend by length
+            apart = np.bitwise_count(bitmap[at] ^ bitmap[at + d])
+            near = at[apart * (1 + LEAST) <= (1 - LEAST) * (lengths[at] + lengths[at + d]) + 1e-6]
+            first.append(near)
+            second.append(near + d)
+        first, second = np.concatenate(first), np.concatenate(second)
+        given = np.bincount(nth[first], minlength=len(n))
+        dense = (n > LIST) | (given > PAIRS * n)
+        told = ~dense[nth[first]]
+        x, y = cls[first[told]], cls[second[told]]
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
         out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "key": None, "length": None}))
-        long = size > LIST
+        long = n[nth] > LIST
+        long[first[~told]] = long[second[~told]] = True
         wide = (keys[long].astype(np.int64) << 31) ^ fragment  # lists of different fragments stay apart
-        out.append(pd.DataFrame({"a": cls[long], "b": None, "key": wide, "length": lengths[long]}))
+        out.append(pd.DataFrame({"a": cls[long], "b": None, "key": wide, "length": length_classes(lengths[long])}))
     return pd.concat([x.astype("Int64") for x in out])
 
 
-def sketch(sigs: np.ndarray) -> np.ndarray:
-    """A parity bitmap as 64-bit words, one bit for a signature or more, whose size is a power of two: sets can't differ
-    in fewer places than their bitmaps do. Folding a bitmap gives the one of half its size."""
+def sketch(sigs: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """A parity bitmap as 64-bit words, whose size is a power of two: sets can't differ in fewer places than their
+    bitmaps do. Folding a bitmap gives the one of half its size."""
     bits = 64
-    while bits < len(sigs):
+    while bits < min(SKETCH_BITS * len(sigs), most):
         bits *= 2
     at = _mixed(sigs.astype(np.uint64)) & np.uint64(bits - 1)
     odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
@@ -416,23 +438,20 @@ def sets_of(documents: DataFrame, owners: DataFrame, sketched: bool) -> DataFram
     return cut(found.join(told(owners.select("class")), "class", "left_semi").dropDuplicates(["class"]))
 
 
-def plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose lengths and sketches allow a link. Sets alike to J differ in at most (1 - J) / (1 + J)
-    of the sum of their lengths."""
-    folded = lambda x, y: F.when(F.size(x) <= F.size(y), F.col(x)).otherwise(
-        F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda i, j: i.bitwiseXOR(j))
+def may_link(na: str, sa: str, nb: str, sb: str) -> Column:
+    """Whether lengths and sketches allow a link. Sets alike to J differ in at most (1 - J) / (1 + J) of the sum of
+    their lengths."""
+    folded = lambda x, y: F.when(F.size(x) <= F.size(y), F.col(x)).when(
+        F.size(x) == 2 * F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda i, j: i.bitwiseXOR(j))
     )
-    met = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
-    met = met.filter(F.least("na", "nb") >= LEAST * F.greatest("na", "nb"))
-    apart = F.aggregate(F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda x, y: x + y)
-    return met.filter(apart * (1 + LEAST) <= (1 - LEAST) * (F.col("na") + F.col("nb")) + 1e-6).select("a", "b")
+    apart = F.aggregate(F.zip_with(folded(sa, sb), folded(sb, sa), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda x, y: x + y)
+    return (F.least(na, nb) >= LEAST * F.greatest(na, nb)) & (apart * (1 + LEAST) <= (1 - LEAST) * (F.col(na) + F.col(nb)) + 1e-6)
 
 
-def linked(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are at least ``LEAST`` like each other; sets are brought together only where length
-    and sketch allow it."""
-    pairs = cut(plausible(pairs, sketches))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+def linked(pairs: DataFrame, documents: DataFrame, owners: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are at least ``LEAST`` like each other."""
+    pairs = cut(pairs.distinct())
+    needed = pairs.select("a").distinct().unionByName(pairs.select(F.col("b").alias("a")).distinct()).select(F.col("a").alias("class")).distinct()
     sets = sets_of(documents, cut(owners.join(needed, "class", "left_semi")), False)
     met = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return cut(met.filter(100 * F.col("both") >= int(100 * LEAST) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
@@ -453,22 +472,26 @@ def near_classes(documents: DataFrame) -> DataFrame:
     long = found.filter("b is null").select("key", "length", F.col("a").alias("class"))
     # equal keys of different batches may repeat a class; a list of one class needs nothing
     long = cut(long.distinct())
-    leaders = long.groupBy("key", "length").agg(F.min("class").alias("leader"))
-    led = long.join(leaders, ["key", "length"]).filter("class > leader").select(F.col("leader").alias("a"), F.col("class").alias("b"))
-    pairs = cut(short.unionByName(led).distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long.select("class")).distinct()
+    needed = short.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long.select("class")).distinct()
     owners = cut(members.filter("doc_id is not null").select("class", "doc_id").join(needed, "class", "left_semi"))
     sketches = sets_of(documents, owners, True)
-    links = linked(pairs, sketches, documents, owners)
+    sides = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
+    short = short.join(sides[0], "a").join(sides[1], "b").filter(may_link("na", "sa", "nb", "sb")).select("a", "b")
+    long = cut(long.join(sketches, "class"))
+    leaders = long.groupBy("key", "length").agg(F.min(F.struct("class", "n", "held")).alias("l"))
+    leaders = leaders.select("key", "length", F.col("l.class").alias("a"), F.col("l.n").alias("na"), F.col("l.held").alias("sa"))
+    led = leaders.join(long.toDF("b", "key", "length", "nb", "sb"), ["key", "length"]).filter(F.col("a") < F.col("b")).filter(may_link("na", "sa", "nb", "sb"))
+    links = linked(short.unionByName(led.select("a", "b")), documents, owners)
 
     parts = connected_components(links, "a", "b")
-    entry = long.join(parts.withColumnRenamed("node", "class"), "class", "left").select("key", "length", "class", F.coalesce("component", "class").alias("part"))
-    main = entry.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count("*").alias("parts"))
+    entry = long.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
+    main = entry.groupBy("key", "part").agg(F.count("*").alias("n_part")).groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("main"), F.count("*").alias("parts"))
     entry = cut(entry.join(main.filter("parts > 1"), "key"))
-    other = entry.select("key", F.col("class").alias("y"), F.col("part").alias("of_y"), F.col("length"))
-    outer = entry.filter("part <> main").select("key", F.col("class").alias("x"), F.col("part").alias("of_x"), F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)).alias("length"))
-    more = outer.join(other, ["key", "length"]).filter("of_x <> of_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(linked(more, sketches, documents, owners))
+    other = entry.select("key", "length", F.col("class").alias("y"), F.col("part").alias("of_y"), F.col("n").alias("ny"), F.col("held").alias("sy"))
+    lengths = F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)).alias("length")
+    outer = entry.filter("part <> main").select("key", lengths, F.col("class").alias("x"), F.col("part").alias("of_x"), F.col("n").alias("nx"), F.col("held").alias("sx"))
+    more = outer.join(other, ["key", "length"]).filter("of_x <> of_y").filter(may_link("nx", "sx", "ny", "sy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = links.unionByName(linked(more, documents, owners))
 
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "class")
     named = members.join(parts, "class", "left").withColumn("part", F.coalesce("component", "class"))

@@ -280,10 +280,10 @@ def near_by_brute_force(rows):
     return label
 
 
-@pytest.mark.parametrize("longest", [8, 1])
+@pytest.mark.parametrize("longest", [32, 1])
 def test_near_classes(spark, monkeypatch, longest):
     monkeypatch.setattr(spotsigs, "LIST", longest)
-    monkeypatch.setattr(spotsigs, "OFTEN_IN_ALL", 12 if longest == 1 else 32)
+    monkeypatch.setattr(spotsigs, "OFTEN_IN_ALL", 32 if longest == 32 else 12)
     monkeypatch.setattr(spotsigs, "FRAGMENT_ENTRIES", 100)
     if longest == 1:
         monkeypatch.setattr(spotsigs, "BROADCAST_CLASSES", 0)
