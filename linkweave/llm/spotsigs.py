@@ -17,8 +17,8 @@ links, itself included (texts without signature have equal sets; rows with a nul
    in longer lists and those of frequent signatures, the entries go on as rows.
 3. Those long lists first compare each member with the leader of its length class. Once the components of all links so
    far are known, members outside a list's main component meet the members of other components of the same or of
-   neighbouring length classes; pairs within a component need no test. Larger bitmaps are part of these joins' conditions.
-4. The pairs left are compared exactly.
+   neighbouring length classes; pairs within a component need no test. Lengths and bitmaps are part of these joins' conditions.
+4. The pairs left are pruned by larger bitmaps, and the others compared exactly.
 
 The join is exact up to collisions of the 64-bit hashes that tell spots and classes.
 
@@ -329,8 +329,8 @@ def prefix(wide: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return wide[first], late[first]
 
 
-ENTRY = "fragment int, body binary, key long, class long, length int"
-FOUND = "a long, b long, key long, length int"
+ENTRY = "fragment int, body binary, key long, class long, length int, n long, bitmap long"
+FOUND = "a long, b long, key long, length int, n long, bitmap long"
 
 
 def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataFrame:
@@ -343,7 +343,7 @@ def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataF
         cls, n = np.array([x[2] for x in held], np.int64), np.array([x[3] for x in held], np.uint32)
         bitmap = np.array([x[4] for x in held], np.int64)
         of = cls[nth[late]]
-        rows = pd.DataFrame({"fragment": (of % fragments).astype(np.int32), "body": None, "key": keys[late].view(np.int64), "class": of, "length": length_classes(n)[nth[late]]})
+        rows = pd.DataFrame({"fragment": (of % fragments).astype(np.int32), "body": None, "key": keys[late].view(np.int64), "class": of, "length": length_classes(n)[nth[late]], "n": n[nth[late]].astype(np.int64), "bitmap": bitmap[nth[late]]})
         keys, nth = keys[~late], nth[~late]
         where = (_mixed(keys) % np.uint64(fragments)).astype(np.int32)
         by = np.lexsort((keys & np.uint64(0xFFFFFFFF), where))
@@ -351,7 +351,7 @@ def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataF
         cuts = np.flatnonzero(np.diff(where, prepend=-1))
         columns = [keys, cls[nth], n[nth], bitmap[nth]]
         bodies = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(cuts, [*cuts[1:], len(keys)])]
-        bodies = pd.DataFrame({"fragment": where[cuts], "body": bodies, "key": 0, "class": 0, "length": 0})
+        bodies = pd.DataFrame({"fragment": where[cuts], "body": bodies, "key": 0, "class": 0, "length": 0, "n": 0, "bitmap": 0})
         return pd.concat([rows, bodies]) if len(rows) else bodies
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -377,7 +377,7 @@ def list_members(g: pd.DataFrame) -> pd.DataFrame:
     """Of one fragment: pairs (a, b) of short lists that may link, and the entries (key, a, length; b null) of others."""
     bodies = [x for x in g["body"] if x is not None]
     passed = g[g["body"].isnull()]
-    fragment, out = int(g["fragment"].iloc[0]), [pd.DataFrame({"a": passed["class"], "b": None, "key": passed["key"], "length": passed["length"]})]
+    fragment, out = int(g["fragment"].iloc[0]), [passed[["key", "length", "n", "bitmap"]].assign(a=passed["class"], b=None)]
     if bodies:
         sizes = [len(x) // 24 for x in bodies]
         column = lambda kind, at: np.concatenate([np.frombuffer(x, kind, n, at * n) for x, n in zip(bodies, sizes)])
@@ -402,12 +402,12 @@ def list_members(g: pd.DataFrame) -> pd.DataFrame:
         told = ~dense[nth[first]]
         x, y = cls[first[told]], cls[second[told]]
         pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "key": None, "length": None}))
+        out.append(pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "key": None, "length": None, "n": None, "bitmap": None}))
         long = n[nth] > LIST
         long[first[~told]] = long[second[~told]] = True
         wide = (keys[long].astype(np.int64) << 31) ^ fragment  # lists of different fragments stay apart
-        out.append(pd.DataFrame({"a": cls[long], "b": None, "key": wide, "length": length_classes(lengths[long])}))
-    return pd.concat([x.astype("Int64") for x in out])
+        out.append(pd.DataFrame({"a": cls[long], "b": None, "key": wide, "length": length_classes(lengths[long]), "n": lengths[long], "bitmap": bitmap[long].view(np.int64)}))
+    return pd.concat([x[["a", "b", "key", "length", "n", "bitmap"]].astype("Int64") for x in out])
 
 
 def sketch(sigs: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -438,20 +438,35 @@ def sets_of(documents: DataFrame, owners: DataFrame, sketched: bool) -> DataFram
     return cut(found.join(told(owners.select("class")), "class", "left_semi").dropDuplicates(["class"]))
 
 
-def may_link(na: str, sa: str, nb: str, sb: str) -> Column:
-    """Whether lengths and sketches allow a link. Sets alike to J differ in at most (1 - J) / (1 + J) of the sum of
+def near_enough(na: str, nb: str, apart: Column) -> Column:
+    """Whether lengths and bitmaps allow a link. Sets alike to J differ in at most (1 - J) / (1 + J) of the sum of
     their lengths."""
+    return (F.least(na, nb) >= LEAST * F.greatest(na, nb)) & (apart * (1 + LEAST) <= (1 - LEAST) * (F.col(na) + F.col(nb)) + 1e-6)
+
+
+def bits_apart(x: str, y: str) -> Column:
+    return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+
+
+def plausible(pairs: DataFrame, documents: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) whose sketches allow a link, and the owners (class, doc_id) of the classes in them."""
+    pairs = cut(pairs.distinct())
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    owners = cut(members.filter("doc_id is not null").select("class", "doc_id").join(needed, "class", "left_semi"))
+    sketches = sets_of(documents, owners, True)
     folded = lambda x, y: F.when(F.size(x) <= F.size(y), F.col(x)).when(
         F.size(x) == 2 * F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda i, j: i.bitwiseXOR(j))
     )
-    apart = F.aggregate(F.zip_with(folded(sa, sb), folded(sb, sa), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda x, y: x + y)
-    return (F.least(na, nb) >= LEAST * F.greatest(na, nb)) & (apart * (1 + LEAST) <= (1 - LEAST) * (F.col(na) + F.col(nb)) + 1e-6)
+    apart = F.aggregate(F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda x, y: x + y)
+    met = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
+    return cut(met.filter(near_enough("na", "nb", apart)).select("a", "b")), owners
 
 
-def linked(pairs: DataFrame, documents: DataFrame, owners: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are at least ``LEAST`` like each other."""
-    pairs = cut(pairs.distinct())
-    needed = pairs.select("a").distinct().unionByName(pairs.select(F.col("b").alias("a")).distinct()).select(F.col("a").alias("class")).distinct()
+def linked(pairs: DataFrame, documents: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are at least ``LEAST`` like each other; sets are brought together only where sketches
+    allow it."""
+    pairs, owners = plausible(pairs, documents, members)
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     sets = sets_of(documents, cut(owners.join(needed, "class", "left_semi")), False)
     met = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return cut(met.filter(100 * F.col("both") >= int(100 * LEAST) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
@@ -469,29 +484,24 @@ def near_classes(documents: DataFrame) -> DataFrame:
     found = cut(lists.groupBy("fragment").applyInPandas(list_members, FOUND))
 
     short = found.filter("b is not null").select("a", "b").distinct()
-    long = found.filter("b is null").select("key", "length", F.col("a").alias("class"))
+    long = found.filter("b is null").select("key", "length", F.col("a").alias("class"), "n", "bitmap")
     # equal keys of different batches may repeat a class; a list of one class needs nothing
     long = cut(long.distinct())
-    needed = short.select(F.explode(F.array("a", "b")).alias("class")).unionByName(long.select("class")).distinct()
-    owners = cut(members.filter("doc_id is not null").select("class", "doc_id").join(needed, "class", "left_semi"))
-    sketches = sets_of(documents, owners, True)
-    sides = sketches.toDF("a", "na", "sa"), sketches.toDF("b", "nb", "sb")
-    short = short.join(sides[0], "a").join(sides[1], "b").filter(may_link("na", "sa", "nb", "sb")).select("a", "b")
-    long = cut(long.join(sketches, "class"))
-    leaders = long.groupBy("key", "length").agg(F.min(F.struct("class", "n", "held")).alias("l"))
-    leaders = leaders.select("key", "length", F.col("l.class").alias("a"), F.col("l.n").alias("na"), F.col("l.held").alias("sa"))
-    led = leaders.join(long.toDF("b", "key", "length", "nb", "sb"), ["key", "length"]).filter(F.col("a") < F.col("b")).filter(may_link("na", "sa", "nb", "sb"))
-    links = linked(short.unionByName(led.select("a", "b")), documents, owners)
+    leaders = long.groupBy("key", "length").agg(F.min(F.struct("class", "n", "bitmap")).alias("l"))
+    leaders = leaders.select("key", "length", F.col("l.class").alias("a"), F.col("l.n").alias("na"), F.col("l.bitmap").alias("sa"))
+    led = leaders.join(long.toDF("key", "length", "b", "nb", "sb"), ["key", "length"]).filter(F.col("a") < F.col("b"))
+    led = led.filter(near_enough("na", "nb", bits_apart("sa", "sb")))
+    links = linked(short.unionByName(led.select("a", "b")), documents, members)
 
     parts = connected_components(links, "a", "b")
     entry = long.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
     main = entry.groupBy("key", "part").agg(F.count("*").alias("n_part")).groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("main"), F.count("*").alias("parts"))
     entry = cut(entry.join(main.filter("parts > 1"), "key"))
-    other = entry.select("key", "length", F.col("class").alias("y"), F.col("part").alias("of_y"), F.col("n").alias("ny"), F.col("held").alias("sy"))
+    other = entry.select("key", "length", F.col("class").alias("y"), F.col("part").alias("of_y"), F.col("n").alias("ny"), F.col("bitmap").alias("sy"))
     lengths = F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)).alias("length")
-    outer = entry.filter("part <> main").select("key", lengths, F.col("class").alias("x"), F.col("part").alias("of_x"), F.col("n").alias("nx"), F.col("held").alias("sx"))
-    more = outer.join(other, ["key", "length"]).filter("of_x <> of_y").filter(may_link("nx", "sx", "ny", "sy")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    links = links.unionByName(linked(more, documents, owners))
+    outer = entry.filter("part <> main").select("key", lengths, F.col("class").alias("x"), F.col("part").alias("of_x"), F.col("n").alias("nx"), F.col("bitmap").alias("sx"))
+    more = outer.join(other, ["key", "length"]).filter("of_x <> of_y").filter(near_enough("nx", "ny", bits_apart("sx", "sy")))
+    links = links.unionByName(linked(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), documents, members))
 
     parts = connected_components(links, "a", "b").withColumnRenamed("node", "class")
     named = members.join(parts, "class", "left").withColumn("part", F.coalesce("component", "class"))
