@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from linkweave import model as M
 from linkweave.queries.linkage import edges
 from linkweave.registry import query
-from linkweave.sources import alignments as A
+from linkweave.sources import alignments as A, converters as C
 
 
 def tabbed(df, *columns):
@@ -89,3 +89,56 @@ def contact_normalised(spark, sf):
     depth = lineitem(spark, sf).groupBy(F.col("l_partkey").alias("node")).agg(F.count(F.when(F.col("l_linenumber") > 1, 1)).alias("depth"))
     found = A.normalised_contacts(edges(spark, sf), M.nodes(spark, sf).join(depth, "node"))
     return found.select("u", "v", M.r6("weight").alias("weight"))
+
+
+SQL_IDS = f"{M.SQL_EDGE}, ids AS (SELECT node, row_number() OVER (ORDER BY node) AS id FROM (SELECT u AS node FROM edge UNION SELECT v FROM edge))"
+
+
+def edge_nodes(found):
+    return found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node")))
+
+
+@query("metis_node_map", f"WITH {SQL_IDS} SELECT node, id FROM ids")
+def metis_node_map(spark, sf):
+    return C.node_map(edge_nodes(edges(spark, sf)))
+
+
+@query(
+    "metis_graph_lines",
+    f"""WITH {SQL_IDS}, arcs AS (SELECT a.id AS i, b.id AS j, CAST(weight AS BIGINT) AS w FROM edge JOIN ids a ON u = a.node JOIN ids b ON v = b.node)
+    SELECT i AS n, string_agg(j || ' ' || w, ' ' ORDER BY j) AS line FROM (SELECT * FROM arcs UNION ALL SELECT j, i, w FROM arcs) GROUP BY 1
+    UNION ALL SELECT 0, (SELECT count(*) FROM ids) || ' ' || (SELECT count(*) FROM edge) || ' 1'""",
+)
+def metis_graph_lines(spark, sf):
+    found = edges(spark, sf)
+    return C.metis_lines(found, C.node_map(edge_nodes(found)))
+
+
+@query("inverse_edge_weights", f"WITH {M.SQL_EDGE} SELECT u, v, {M.sql6('1 / weight')} AS weight FROM edge")
+def inverse_edge_weights(spark, sf):
+    return C.inverse_weights(edges(spark, sf)).select("u", "v", M.r6("weight").alias("weight"))
+
+
+@query("cluster_attributes", "SELECT p_partkey AS node, p_brand AS cluster, count(*) OVER (PARTITION BY p_brand) AS cluster_size FROM part")
+def cluster_attributes(spark, sf):
+    return C.node_attributes(M.hard_clusters(spark, sf).withColumnRenamed("obj", "node"))
+
+
+@query("repeated_labels", "SELECT p_name AS label, count(*) AS n FROM part GROUP BY 1 HAVING n > 1")
+def repeated_labels(spark, sf):
+    return C.repeated_labels(M.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")))
+
+
+@query("cluster_column_lines", "SELECT CAST(p_size AS VARCHAR) AS cluster, CAST(p_partkey AS VARCHAR) AS node FROM part")
+def cluster_column_lines(spark, sf):
+    return C.column_clusters(M.table(spark, sf, "part").selectExpr("p_partkey as n", "case when p_partkey % 2 = 0 then cast(p_size as string) else concat(p_partkey, '\t', p_size) end as line"))
+
+
+@query(
+    "metis_cluster_lists",
+    "SELECT DISTINCT CASE WHEN p_size <= 5 THEN -p_partkey ELSE unnest([CAST(p_size AS BIGINT), p_size % 7]) END AS cluster, p_partkey AS node FROM part",
+)
+def metis_cluster_lists(spark, sf):
+    part = M.table(spark, sf, "part")
+    lines = part.selectExpr("p_partkey as n", "case when p_size <= 5 then '' else concat(p_size, ' ', p_size % 7) end as line")
+    return C.metis_clusters(lines, part.selectExpr("p_partkey as node", "p_partkey as id"))
