@@ -1,6 +1,7 @@
 """Readers of alignment, variant and sequence lines on odd lines."""
 
-from linkweave.sources import alignments as A
+from linkweave.sources import alignments as A, converters as C
+from linkweave.sources.matrices import metis
 
 
 def lines(spark, *text):
@@ -23,3 +24,20 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "x.fa").write_text(">a one\nAC\nGT\n>b\n>c\nA C\r\nG\n")
     records = spark.read.text(str(tmp_path), lineSep=">")
     assert sorted(tuple(r) for r in A.fasta_lengths(records).collect()) == [("a", 4), ("b", 0), ("c", 3)]
+
+
+def test_metis_round_trip(spark):
+    edges = spark.createDataFrame([("a", "c", 2.0), ("c", "d", 5.0)], "u string, v string, weight double")
+    ids = C.node_map(spark.createDataFrame([(x,) for x in "dcbaa"], "node string"))
+    assert sorted(tuple(r) for r in ids.collect()) == [("a", 1), ("b", 2), ("c", 3), ("d", 4)]
+    written = C.metis_lines(edges, ids)
+    assert sorted(tuple(r) for r in written.collect()) == [(0, "4 2 1"), (1, "3 2"), (2, ""), (3, "1 2 4 5"), (4, "3 5")]
+    assert sorted(tuple(r) for r in metis(written).collect()) == [(1, 3, 2.0), (3, 1, 2.0), (3, 4, 5.0), (4, 3, 5.0)]
+    assert C.metis_lines(edges.limit(0), ids.limit(0)).collect() == [(0, "0 0 1")]
+
+
+def test_odd_values(spark):
+    weights = C.inverse_weights(spark.createDataFrame([(1, 2, 0.0), (1, 3, 4.0)], "u long, v long, weight double"))
+    assert sorted((r["v"], r["weight"]) for r in weights.collect()) == [(2, None), (3, 0.25)]
+    seen = spark.createDataFrame([("A", "A", "G"), ("G", "A", "G"), ("T", "A", "G"), (None, "A", "G")], "base string, ref string, alt string")
+    assert sorted(r["base"] for r in A.known_alleles(seen).collect()) == ["A", "G"]
