@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import language_id, media, mixing, ngram_join, packing, quality_knn, secret_scan, spotsigs, suffix_dedup, url_filter
+from linkweave.llm import language_id, media, mixing, ngram_join, packing, quality_knn, secret_scan, spotsigs, suffix_dedup, url_filter, vector_codes
 from linkweave.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_knn": op2_quality_knn,
@@ -65,9 +69,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_source": op8_media_source,
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
