@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import language_id, media, mixing, ngram_join, packing, quality_knn, secret_scan, spotsigs, suffix_dedup, url_filter, vector_codes
+from linkweave.llm import language_id, media, mixing, ngram_join, packing, prefix_trie, quality_knn, secret_scan, spotsigs, suffix_dedup, url_filter, vector_codes
 from linkweave.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_knn": op2_quality_knn,
@@ -70,10 +74,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
     "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
