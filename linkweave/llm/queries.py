@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkweave.llm import language_id, media, mixing, ngram_join, packing, prefix_trie, quality_knn, secret_scan, spotsigs, suffix_dedup, url_filter, vector_codes
+from linkweave.llm import best_fit_packing, language_id, media, mixing, ngram_join, packing, prefix_trie, quality_knn, secret_scan, spotsigs, suffix_dedup, url_filter, vector_codes
 from linkweave.llm.common import table
 
 
@@ -54,6 +54,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).drop("n_candidates")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_source": op8_media_source,
     "op9_ngram_join": op9_ngram_join,
     "op10_url_filter": op10_url_filter,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_vector_codes": op12_vector_codes,
     "op13_prefix_trie": op13_prefix_trie,
 }
