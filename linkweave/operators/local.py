@@ -6,7 +6,6 @@ larger ones are refused rather than cut: they need one of the distributed cluste
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict, deque
 from collections.abc import Callable
 
@@ -34,94 +33,6 @@ def by_component(cells: DataFrame, work: Callable[[dict[int, dict[int, float]]],
     return e.join(c, "col").groupBy("component").applyInPandas(one, schema)
 
 
-def star_cover(adj: dict[int, dict[int, float]]) -> pd.DataFrame:
-    """Overlapping stars: nodes by falling relevance become hubs while they cover something new; then, from hubs of most
-    neighbours on, hubs that share more satellites than they own are given up, and their own satellites go to the hub that
-    absorbed them. Ties are broken by the smaller node."""
-    degree = {v: len(n) for v, n in adj.items()}
-    mean = {v: sum(n.values()) / len(n) for v, n in adj.items()}
-    relevance = {v: 0.5 * (sum(degree[u] <= degree[v] for u in n) + sum(mean[v] >= mean[u] for u in n)) / len(n) for v, n in adj.items()}
-    stars: dict[int, set[int]] = {}
-    covered: set[int] = set()
-    for v in sorted(adj, key=lambda x: (-relevance[x], x)):
-        if v not in covered or not set(adj[v]) <= covered:
-            stars[v] = set(adj[v])
-            covered |= stars[v] | {v}
-    owners: dict[int, set[int]] = defaultdict(set)
-    for h, sat in stars.items():
-        for s in sat:
-            owners[s].add(h)
-    settled: set[int] = set()
-    for h in sorted(stars, key=lambda x: (-degree[x], x)):
-        if h not in stars:
-            continue
-        for u in sorted(stars[h] & stars.keys()):
-            if u in settled or u == h:
-                continue
-            own = {s for s in stars[u] if len(owners[s]) == 1}
-            if len(stars[u]) - len(own) <= len(own):
-                settled.add(u)
-                continue
-            for s in stars.pop(u):
-                owners[s].discard(u)
-            for s in own:
-                stars[h].add(s)
-                owners[s].add(h)
-    rows = [(h, v) for h, sat in sorted(stars.items()) for v in sorted(sat | {h})]
-    return pd.DataFrame(rows, columns=["cluster", "node"])
-
-
-def louvain(adj: dict[int, dict[int, float]]) -> pd.DataFrame:
-    """A partition by local moves of best modularity gain (nodes in order, ties to the smaller community) and contraction, until
-    no move gains. A community is named by its smallest node."""
-    graph = {v: dict(n) for v, n in adj.items()}
-    loops = dict.fromkeys(graph, 0.0)
-    members = {v: [v] for v in graph}
-    total = sum(sum(n.values()) for n in graph.values())
-    while True:
-        weight = {v: sum(n.values()) + loops[v] for v, n in graph.items()}
-        home = {v: v for v in graph}
-        mass = dict(weight)
-        moved = any_move = True
-        any_move = False
-        while moved:
-            moved = False
-            for v in sorted(graph):
-                near: dict[int, float] = defaultdict(float)
-                for u, w in graph[v].items():
-                    near[home[u]] += w
-                old = home[v]
-                mass[old] -= weight[v]
-                gain = lambda c: near.get(c, 0.0) - weight[v] * mass[c] / total  # noqa: E731, B023
-                best = max(sorted({*near, old}), key=lambda c: (gain(c), c == old, -c))  # noqa: B023
-                if gain(best) <= gain(old) + 1e-12:
-                    best = old
-                mass[best] += weight[v]
-                if best != old:
-                    home[v], moved, any_move = best, True, True
-        if not any_move:
-            break
-        names: dict[int, int] = {}
-        for v in sorted(graph):
-            names.setdefault(home[v], v)
-        new: dict[int, dict[int, float]] = {c: defaultdict(float) for c in names.values()}
-        new_loops = dict.fromkeys(new, 0.0)
-        new_members: dict[int, list[int]] = defaultdict(list)
-        for v, n in graph.items():
-            c = names[home[v]]
-            new_members[c] += members[v]
-            new_loops[c] += loops[v]
-            for u, w in n.items():
-                d = names[home[u]]
-                if c == d:
-                    new_loops[c] += w
-                else:
-                    new[c][d] += w
-        graph, loops, members = {c: dict(n) for c, n in new.items()}, new_loops, new_members
-    rows = sorted((min(vs), v) for vs in members.values() for v in vs)
-    return pd.DataFrame(rows, columns=["cluster", "node"])
-
-
 def max_flow(adj: dict[int, dict[int, float]], source: int, sink: int) -> float:
     """The largest flow between two nodes whose arcs are capacities, by level graphs and blocking paths."""
     cap = {v: dict(n) for v, n in adj.items()}
@@ -162,25 +73,3 @@ def pair_flows(adj: dict[int, dict[int, float]]) -> pd.DataFrame:
     nodes = sorted(adj)
     rows = [(u, v, max_flow(adj, u, v)) for i, u in enumerate(nodes) for v in nodes[i + 1 :]]
     return pd.DataFrame(rows, columns=["u", "v", "flow"])
-
-
-def spanning_order(adj: dict[int, dict[int, float]]) -> pd.DataFrame:
-    """(node, place): a walk over the spanning tree of heaviest edges, from its smallest node, nearest (heaviest) branch first."""
-    start = min(adj)
-    tree: dict[int, list[tuple[float, int]]] = defaultdict(list)
-    seen, heap = {start}, [(-w, start, u) for u, w in adj[start].items()]
-    heapq.heapify(heap)
-    while heap:
-        w, v, u = heapq.heappop(heap)
-        if u not in seen:
-            seen.add(u)
-            tree[v].append((w, u))
-            for x, c in adj[u].items():
-                if x not in seen:
-                    heapq.heappush(heap, (-c, u, x))
-    order, stack = [], [start]
-    while stack:
-        v = stack.pop()
-        order.append(v)
-        stack += [u for _, u in sorted(tree[v], reverse=True)]
-    return pd.DataFrame({"node": order, "place": range(len(order))})

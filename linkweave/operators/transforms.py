@@ -194,9 +194,12 @@ def product(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def step(cells: DataFrame, k: int) -> DataFrame:
-    """The matrix squared k times."""
+    """The matrix squared k times, by blocked products."""
+    from linkweave.operators import blocks
+
+    cells = cut(cells)
     for _ in range(k):
-        cells = cut(product(cells, cells))
+        cells = cut(blocks.product(cells, cells))
     return cells
 
 

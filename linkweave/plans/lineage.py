@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names; a local one is made only where it is unset."""
+    """``df`` checkpointed in the folder that ``spark.checkpoint.dir`` names; a local one is made only where it is unset.
+
+    A checkpointed frame keeps the size estimate of the plan that made it. A join's estimate is the product of its sides', so in a loop the
+    estimates' digits grow exponentially, and after a dozen rounds planning takes longer than the work. The rows are therefore
+    handed out as a new frame, whose size is unknown; adaptive execution sees their real size.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(held.toJavaRDD(), held.schema()), spark)

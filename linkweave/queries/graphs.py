@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkweave import model as M
-from linkweave.operators import cover, linkage as L, markov as K, paths as P, similarity as S, transforms as T, variants as V
+from linkweave.operators import communities, cover, forest, linkage as L, markov as K, paths as P, similarity as S, stars, transforms as T, variants as V
 from linkweave.queries.linkage import edges, graph_query, heavy
 from linkweave.registry import ORACLE, query
 
@@ -20,6 +20,9 @@ def six(df, *names):
 
 s6 = M.sql6
 SQL_FULL = f"{M.SQL_EDGE}, cell AS (SELECT u AS col, v AS row, weight AS val FROM edge UNION ALL SELECT v, u, weight FROM edge)"
+#: Each node's smallest label, told along edges until nothing changes.
+SQL_WHOLE = f"""WITH RECURSIVE {SQL_FULL}, seed AS MATERIALIZED (SELECT DISTINCT 1 AS t, col AS node FROM cell), lab(node, comp) USING KEY (node) AS (SELECT node, node FROM seed UNION
+ SELECT c.row, min(l.comp) FROM lab l JOIN cell c ON c.col = l.node JOIN recurring.lab r ON r.node = c.row WHERE l.comp < r.comp GROUP BY 1)"""
 SQL_REACH = f"WITH RECURSIVE {M.SQL_CELL}, reach(node, root) AS (SELECT DISTINCT col, col FROM cell UNION SELECT c.row, r.root FROM reach r JOIN cell c ON c.col = r.node)"
 
 
@@ -34,6 +37,9 @@ def component_sizes(spark, sf, graph=heavy):
     return c.groupBy("size").agg(F.count("*").alias("components"))
 
 
+ORACLE["connected_components_all"] = f"{SQL_WHOLE} SELECT p_partkey AS node, coalesce(comp, p_partkey) AS component FROM part LEFT JOIN lab ON node = p_partkey"
+ORACLE["component_sizes_all"] = f"{SQL_WHOLE}, n AS (SELECT comp, count(*) AS size FROM lab GROUP BY 1) SELECT size, count(*) AS components FROM n GROUP BY 1"
+
 SQL_BFS = f"WITH RECURSIVE {M.SQL_CELL}, b(source, node, dist) AS (SELECT node, node, CAST(0 AS BIGINT) FROM (SELECT DISTINCT col AS node FROM cell ORDER BY 1 LIMIT 40) UNION SELECT b.source, c.row, b.dist + 1 FROM b JOIN cell c ON c.col = b.node WHERE b.dist < 12), d AS (SELECT source, node, min(dist) AS dist FROM b GROUP BY 1, 2)"
 
 
@@ -96,10 +102,25 @@ def markov_clusters(spark, sf):
     return K.markov_clusters(cells(spark, sf, edges), M.nodes(spark, sf))
 
 
+def rounds_of(spark, flow):
+    return spark.createDataFrame(flow.rounds, "round long, chaos double, cells long, least_kept double, mean_kept double")
+
+
+@query("markov_rounds")
+def markov_rounds(spark, sf):
+    """What each round of Markov clustering keeps of its columns."""
+    return rounds_of(spark, K.markov_flow(cells(spark, sf, edges)))
+
+
 @query("regularised_clusters")
 def regularised_clusters(spark, sf):
     c = cells(spark, sf, edges)
-    return K.attractor_of(K.regularised_flow(c, L.ends(edges(spark, sf))))
+    return K.attractor_of(K.regularised_flow(c, L.ends(edges(spark, sf))).cells)
+
+
+@query("clustered_cells")
+def clustered_cells(spark, sf):
+    return six(K.clustered_cells(L.arcs(M.placements(spark, sf)), both_ways=True), "val")
 
 
 SQL_FLOW = f"{M.SQL_CELL}, g0 AS (SELECT * FROM cell UNION ALL SELECT DISTINCT col, col, CAST(1 AS DOUBLE) FROM cell), g AS (SELECT col, row, val / sum(val) OVER (PARTITION BY col) AS val FROM g0)"
@@ -237,16 +258,12 @@ def culled_intervals(spark, sf):
 
 @query("star_cover")
 def star_cover(spark, sf):
-    from linkweave.operators import local
-
-    return local.by_component(cells(spark, sf, edges), local.star_cover, "cluster long, node long")
+    return stars.star_cover(cells(spark, sf, edges))
 
 
 @query("louvain_communities")
 def louvain_communities(spark, sf):
-    from linkweave.operators import local
-
-    return local.by_component(T.mirrored(edges(spark, sf)), local.louvain, "cluster long, node long")
+    return communities.communities(cells(spark, sf, edges))
 
 
 @query("max_flows")
@@ -256,11 +273,32 @@ def max_flows(spark, sf):
     return local.by_component(cells(spark, sf), local.pair_flows, "u long, v long, flow double")
 
 
+@query("spanning_forest")
+def spanning_forest(spark, sf):
+    return forest.spanning_forest(edges(spark, sf))
+
+
 @query("spanning_order")
 def spanning_order(spark, sf):
-    from linkweave.operators import local
+    return forest.spanning_order(edges(spark, sf))
+
+
+#: Keyed recursion: each node's smallest label at each threshold, told along edges until nothing changes.
+SQL_LABELS = """lab(t, node, comp) USING KEY (t, node) AS (SELECT t, node, node FROM seed UNION SELECT l.t, c.row, min(l.comp) FROM lab l JOIN cell c ON c.col = l.node AND c.val >= l.t
+ JOIN recurring.lab r ON r.t = l.t AND r.node = c.row WHERE l.comp < r.comp GROUP BY 1, 2)"""
+THRESHOLDS = [1, 2, 3, 4, 5]
+SQL_SEED = f"WITH RECURSIVE {SQL_FULL}, k(t) AS (SELECT unnest({{0}})), seed AS MATERIALIZED (SELECT t, p_partkey AS node FROM part, k), {SQL_LABELS}"
+
 
-    return local.by_component(cells(spark, sf, edges), local.spanning_order, "node long, place long")
+@query("threshold_sweep", f"""{SQL_SEED.format(THRESHOLDS)}, size AS (SELECT t, comp, count(*) AS s FROM lab GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM part),
+ c AS (SELECT t, 100 * max(s) / any_value(n) AS largest, 100 * coalesce(sum(s) FILTER (s <= 3), 0) / any_value(n) AS minor, 100 * coalesce(sum(s) FILTER (s = 1), 0) / any_value(n) AS single, sum(s * s) / any_value(n) AS cce FROM size, n GROUP BY t),
+ w AS (SELECT t, count(weight) AS edges, avg(weight) AS ew_mean, quantile_cont(weight, 0.5) AS ew_med, quantile_cont(weight, 0.75) - quantile_cont(weight, 0.25) AS ew_iqr FROM k LEFT JOIN edge ON weight >= t GROUP BY t),
+ d0 AS (SELECT t, node, count(val) AS d FROM seed LEFT JOIN cell ON col = node AND val >= t GROUP BY 1, 2),
+ d AS (SELECT t, avg(d) AS nd_mean, quantile_cont(d, 0.5) AS nd_med, quantile_cont(d, 0.75) - quantile_cont(d, 0.25) AS nd_iqr FROM d0 GROUP BY t)
+ SELECT CAST(t AS DOUBLE) AS cutoff, edges, {", ".join(f"{s6(x)} AS {x.split('.')[-1]}" for x in ("largest", "minor", "single", "cce", "ew_mean", "ew_med", "ew_iqr", "nd_mean", "nd_med", "nd_iqr"))}, {s6("100 - largest - minor")} AS rest FROM c JOIN w USING (t) JOIN d USING (t)""")
+def threshold_sweep(spark, sf):
+    sweep = forest.threshold_sweep(edges(spark, sf), M.nodes(spark, sf), THRESHOLDS)
+    return six(sweep, *[c for c in sweep.columns if c not in ("cutoff", "edges")])
 
 
 @query("noisy_graph")
