@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from linkweave.plans.lineage import cut
+
 
 def uniform(seed: int, *keys: Column) -> Column:
     """A number of [0, 1) from a seed and keys."""
@@ -47,3 +49,41 @@ def planted_partition(spark, n: int, classes: int, p_in: float, p_out: float, se
     pairs = a.withColumn("v", F.explode(F.sequence(F.col("u") + 1, F.lit(n)))).filter(F.col("v") < n)
     p = F.when(F.col("u") % classes == F.col("v") % classes, p_in).otherwise(p_out)
     return pairs.filter(uniform(seed, F.col("u"), F.col("v")) < p).withColumn("weight", F.lit(1.0))
+
+
+def shuffled(edges: DataFrame, rounds: int, seed: int) -> DataFrame:
+    """edge(u, v, weight) after rounds of swaps that keep every node's degree: (a, b), (c, d) become (a, d), (c, b) with their weights.
+
+    In a round edges meet in pairs by hash, each in one pair at most. A swap that would make a loop, an edge that was there before the round or one
+    that another swap of the round makes too is left out, so the graph stays simple.
+    """
+    e = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "weight"))
+    half = max(e.count() // 2, 1)
+    for i in range(rounds):
+        draw = F.xxhash64(F.lit(seed), F.lit(i), "u", "v")
+        h = e.select("u", "v", "weight", F.pmod(draw, F.lit(half)).alias("b"), F.struct(draw.alias("h"), "u", "v", "weight", F.pmod(F.shiftright(draw, 32), F.lit(2)).alias("turn")).alias("x"))
+        pair = h.groupBy("b").agg(F.min("x").alias("x"), F.max("x").alias("y")).filter("x.h <> y.h")  # the first and last of a bucket
+        a, b = F.col("x.u"), F.col("x.v")
+        turned = F.col("y.turn") == 1
+        c, d = F.when(turned, F.col("y.v")).otherwise(F.col("y.u")), F.when(turned, F.col("y.u")).otherwise(F.col("y.v"))
+        end = lambda p, q, w: F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v"), F.col(w).alias("weight"))
+        new = cut(pair.select("b", "x", "y", F.explode(F.array(end(a, d, "x.weight"), end(c, b, "y.weight"))).alias("n")).select("b", "x", "y", "n.*"))
+        there = e.select("u", "v", F.lit(True).alias("old"))
+        twice = new.groupBy("u", "v").agg(F.count("*").alias("k"))
+        bad = new.join(there, ["u", "v"], "left").join(twice, ["u", "v"]).filter("u = v or old or k > 1").select("b").distinct()
+        good = cut(new.join(bad, "b", "left_anti"))
+        gone = good.select(F.explode(F.array("x", "y")).alias("o")).select("o.u", "o.v").distinct()
+        e = cut(e.join(gone, ["u", "v"], "left_anti").unionByName(good.select("u", "v", "weight")))
+    return e
+
+
+def preferential_attachment(spark, n: int, m: int, seed: int) -> DataFrame:
+    """edge(u, v, weight): nodes come one by one, each with m edges to the ends of earlier edges drawn evenly, so to nodes by their degree.
+
+    An edge's end is found alone: it copies the end at a drawn earlier place, which is either a node or another copy, until it meets
+    a node; the draws are hashes, so no edge waits for another. Loops and repetitions go.
+    """
+    ends = spark.range(n * m).withColumn("place", 2 * F.col("id") + 1)
+    follow = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.col("place"), lambda at, _: F.when(at % 2 == 1, F.pmod(F.xxhash64(F.lit(seed), at), at)).otherwise(at))
+    arcs = ends.select(F.floor(F.col("id") / m).alias("u"), F.floor(F.floor(follow / 2) / m).alias("v")).filter("u <> v")
+    return arcs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().withColumn("weight", F.lit(1.0))

@@ -5,7 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder path under the folder that ``spark.checkpoint.dir`` names; a local one is made only where it is unset."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,8 +24,6 @@ def cut(df: DataFrame) -> DataFrame:
     handed out as a new frame, whose size is unknown; adaptive execution sees their real size.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    shared_folder(spark, "")  # sets the folder where it is unset
     held = df.checkpoint(eager=True)._jdf
     return DataFrame(spark._jsparkSession.createDataFrame(held.toJavaRDD(), held.schema()), spark)

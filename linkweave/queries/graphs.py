@@ -308,6 +308,13 @@ def noisy_graph(spark, sf):
     return noise_edges(M.nodes(spark, sf), edges(spark, sf), 0.2, 7)
 
 
+@query("shuffled_graph")
+def shuffled_graph(spark, sf):
+    from linkweave.operators.generators import shuffled
+
+    return shuffled(edges(spark, sf), 3, 7)
+
+
 @query("mutated_truth")
 def mutated_truth(spark, sf):
     from linkweave.operators.generators import mutated

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkweave import model as M
+from linkweave.operators import transforms as T
+from linkweave.plans.lineage import shared_folder
 from linkweave.queries.linkage import edges
 from linkweave.registry import query
-from linkweave.sources import alignments as A, converters as C
+from linkweave.sources import alignments as A, converters as C, native
 
 
 def tabbed(df, *columns):
@@ -142,3 +144,49 @@ def metis_cluster_lists(spark, sf):
     part = M.table(spark, sf, "part")
     lines = part.selectExpr("p_partkey as n", "case when p_size <= 5 then '' else concat(p_size, ' ', p_size % 7) end as line")
     return C.metis_clusters(lines, part.selectExpr("p_partkey as node", "p_partkey as id"))
+
+
+SQL_CELLS = f"WITH {M.SQL_EDGE}, cell AS (SELECT u AS col, v AS row, weight AS val FROM edge UNION ALL SELECT v, u, weight FROM edge)"
+
+
+def native_file(spark, sf):
+    """The linkage graph, written as a native matrix into the shared folder."""
+    path = shared_folder(spark, "matrix")
+    native.write_matrix(T.mirrored(edges(spark, sf)), path, M.nodes(spark, sf))
+    return path
+
+
+@query("native_matrix", f"{SQL_CELLS} SELECT col, row, val FROM cell")
+def native_matrix(spark, sf):
+    return native.read_matrix(spark, native_file(spark, sf))
+
+
+@query("native_submatrix", f"{SQL_CELLS} SELECT col, row, val FROM cell WHERE col IN (SELECT p_partkey FROM part WHERE p_size > 40) AND row IN (SELECT p_partkey FROM part WHERE p_size < 20)")
+def native_submatrix(spark, sf):
+    size = M.nodes(spark, sf)
+    return native.read_matrix(spark, native_file(spark, sf), size.filter("length > 40"), size.filter("length < 20"))
+
+
+@query("native_skeleton", "SELECT side, p_partkey AS node FROM part, (VALUES ('cols'), ('rows')) s(side)")
+def native_skeleton(spark, sf):
+    return native.read_domains(spark, native_file(spark, sf))
+
+
+@query("edge_file", f"WITH {M.SQL_EDGE} SELECT CAST(u AS VARCHAR) AS \"SOURCE\", CAST(v AS VARCHAR) AS \"TARGET\", weight AS \"RAWWEIGHT\", 'UNDIRECTED' AS \"TYPE\" FROM edge")
+def edge_file(spark, sf):
+    path = shared_folder(spark, "edges")
+    native.write_table(native.edge_table(edges(spark, sf)), path)
+    return native.read_edges(spark, path)
+
+
+@query("node_file", "SELECT CAST(p_partkey AS VARCHAR) AS \"ID\", p_size AS \"LENGTH\" FROM part")
+def node_file(spark, sf):
+    path = shared_folder(spark, "nodes")
+    native.write_table(native.node_table(M.nodes(spark, sf)), path)
+    return native.read_nodes(spark, path)
+
+
+@query("dumped_pairs", f"{SQL_CELLS} SELECT col, row, a.p_brand || '/' || col || chr(9) || b.p_brand || '/' || row || chr(9) || CAST(CAST(val AS BIGINT) AS VARCHAR) AS line FROM cell JOIN part a ON a.p_partkey = col JOIN part b ON b.p_partkey = row WHERE col < row")
+def dumped_pairs(spark, sf):
+    tab = M.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("label"))
+    return native.dump_lines(T.mirrored(edges(spark, sf)), "upper", tab=tab)
