@@ -118,6 +118,18 @@ def regularised_clusters(spark, sf):
     return K.attractor_of(K.regularised_flow(c, L.ends(edges(spark, sf))).cells)
 
 
+@query("multilevel_clusters")
+def multilevel_clusters(spark, sf):
+    """Coarsened by matchings, then a few rounds on each level."""
+    return K.multilevel_clusters(cells(spark, sf, edges), L.ends(edges(spark, sf)), per_level=2, rounds=4, max_levels=3)
+
+
+@query("soft_clusters")
+def soft_clusters(spark, sf):
+    """Clusters of two runs of twelve rounds, pruned by density and overlap."""
+    return K.soft_clusters(cells(spark, sf, edges), L.ends(edges(spark, sf)), times=2, rounds=12, density=0.01)
+
+
 @query("clustered_cells")
 def clustered_cells(spark, sf):
     return six(K.clustered_cells(L.arcs(M.placements(spark, sf)), both_ways=True), "val")
