@@ -138,6 +138,12 @@ ORDINARY = [
 ]
 
 
+def test_filters_on_secrets_evaluate_the_search_once(spark):
+    found = secret_scan.scan_secrets(spark.read.parquet(f"{TINY}/documents.parquet"))
+    searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(")
+    assert searches(found.filter("n_markov > 0 and n_hex = 0")) == searches(found)
+
+
 def test_precision_and_recall(spark):
     rng = random_.Random(3)
     kinds = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
