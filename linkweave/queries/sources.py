@@ -190,3 +190,26 @@ def node_file(spark, sf):
 def dumped_pairs(spark, sf):
     tab = M.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("label"))
     return native.dump_lines(T.mirrored(edges(spark, sf)), "upper", tab=tab)
+
+
+@query(
+    "backbone_extents",
+    """WITH f AS (SELECT l_orderkey AS a, l_orderkey + CAST(l_quantity AS BIGINT) AS b, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey ELSE 0 END AS c, CASE WHEN l_linenumber % 2 = 0 THEN l_partkey + 7 ELSE 0 END AS d,
+    CASE WHEN l_linenumber % 3 = 0 THEN -l_suppkey ELSE l_suppkey END AS e, CASE WHEN l_linenumber % 3 = 0 THEN -l_suppkey - l_linenumber ELSE l_suppkey + l_linenumber END AS g FROM lineitem),
+    n AS (SELECT *, CAST(a > 0 AS INT) + CAST(c > 0 AS INT) + CAST(e > 0 AS INT) AS n_way FROM f), x AS (SELECT 0 AS genome, a AS l, b AS r, n_way FROM n UNION ALL SELECT 1, c, d, n_way FROM n UNION ALL SELECT 2, e, g, n_way FROM n)
+    SELECT CAST(genome AS BIGINT) AS genome, CAST(n_way AS BIGINT) AS n_way, CAST(sum(abs(r - l)) AS BIGINT) AS extent FROM x WHERE l > 0 GROUP BY genome, n_way""",
+)
+def backbone_extents(spark, sf):
+    even, third = "l_linenumber % 2 = 0", "l_linenumber % 3 = 0"
+    lines = tabbed(
+        lineitem(spark, sf), "l_orderkey", "l_orderkey + cast(l_quantity as bigint)", f"if({even}, l_partkey, 0)", f"if({even}, l_partkey + 7, 0)",
+        f"if({third}, -l_suppkey, l_suppkey)", f"if({third}, -l_suppkey - l_linenumber, l_suppkey + l_linenumber)",
+    )
+    header = spark.createDataFrame([("seq0_leftend\tseq0_rightend\tseq1_leftend\tseq1_rightend\tseq2_leftend\tseq2_rightend",)], "line string")
+    return A.backbone(lines.unionByName(header), 3).groupBy("genome", "n_way").agg(F.sum("extent").alias("extent"))
+
+
+@query("coverage_table", "SELECT CAST(p_partkey AS VARCHAR) AS name, CAST(p_size AS DOUBLE) AS depth, p_size / CAST(100 AS DOUBLE) AS gc FROM part")
+def coverage_table(spark, sf):
+    lines = tabbed(M.table(spark, sf, "part"), "concat(p_partkey, ' ', p_brand)", "p_size", "0", "0", "0", "0", "0", "0", "cast(p_size / 100 as double)")
+    return A.coverage_table(lines.unionByName(spark.createDataFrame([("#ID\tAvg_fold",)], "line string")))

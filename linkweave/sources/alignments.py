@@ -77,6 +77,30 @@ def community(df: DataFrame) -> DataFrame:
     return rows.select(f[0].alias("sequence"), f[1].alias("cell"), f[2].try_cast("double").alias("abundance"))
 
 
+def backbone(df: DataFrame, genomes: int, reverse: bool = False) -> DataFrame:
+    """(genome, left, right, n_way, extent) of the segments of backbone lines: tab-separated pairs of ends per genome, 0 where it has no part.
+
+    ``n_way`` is how many genomes share the line, ``extent`` how far the ends are apart. Negative ends are reversed parts, which count only with
+    ``reverse``. Header and blank lines are left out; another number of fields is an error.
+    """
+    f = F.split(F.trim("line"), "\t")
+    rows = df.filter((F.trim("line") != "") & ~F.col("line").startswith("seq"))
+    checked = F.when(F.size(f) == 2 * genomes, f.cast("array<long>")).otherwise(F.raise_error(F.concat(F.lit("fields of the line: "), F.size(f))).cast("array<long>"))
+    part = lambda i: F.struct(F.lit(i).cast("long").alias("genome"), F.get("f", F.lit(2 * i)).alias("left"), F.get("f", F.lit(2 * i + 1)).alias("right"))
+    there = lambda p: (p["left"] != 0) & (p["right"] != 0) if reverse else (p["left"] > 0) & (p["right"] > 0)
+    parts = rows.select(checked.alias("f")).select(F.filter(F.array(*map(part, range(genomes))), there).alias("p"))
+    out = parts.select(F.size("p").cast("long").alias("n_way"), F.explode("p").alias("p"))
+    return out.select("p.genome", "p.left", "p.right", "n_way", F.abs(F.col("p.right") - F.col("p.left")).alias("extent"))
+
+
+def coverage_table(df: DataFrame) -> DataFrame:
+    """(name, depth, gc) of tab-separated coverage lines: the first word of the first field, the second and the ninth one. ``#ID`` lines and lines
+    with fewer fields are left out; what is no number is null."""
+    f = F.split(F.trim("line"), "\t")
+    rows = df.filter(~F.col("line").startswith("#ID") & (F.size(f) >= 9))
+    return rows.select(F.split(f[0], " ")[0].alias("name"), f[1].try_cast("double").alias("depth"), f[8].try_cast("double").alias("gc"))
+
+
 def normalised_contacts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges (u, v, weight) by nodes (node, length, depth): nodes without depth go with their edges, weights are divided
     by the root of both ends' length (a share of the greatest) times depth (a share of the median)."""

@@ -1,5 +1,7 @@
 """Readers of alignment, variant and sequence lines on odd lines."""
 
+import pytest
+
 from linkweave.sources import alignments as A, converters as C
 from linkweave.sources.matrices import metis
 
@@ -41,3 +43,14 @@ def test_odd_values(spark):
     assert sorted((r["v"], r["weight"]) for r in weights.collect()) == [(2, None), (3, 0.25)]
     seen = spark.createDataFrame([("A", "A", "G"), ("G", "A", "G"), ("T", "A", "G"), (None, "A", "G")], "base string, ref string, alt string")
     assert sorted(r["base"] for r in A.known_alleles(seen).collect()) == ["A", "G"]
+
+
+def test_backbone_and_coverage(spark):
+    text = lines(spark, "seq0_leftend\tseq0_rightend\tseq1_leftend\tseq1_rightend", "1\t10\t-5\t-9", "0\t0\t4\t8", "", "3\t5\t7\t7")
+    assert sorted(tuple(r) for r in A.backbone(text, 2).collect()) == [(0, 1, 10, 1, 9), (0, 3, 5, 2, 2), (1, 4, 8, 1, 4), (1, 7, 7, 2, 0)]
+    assert sorted(tuple(r) for r in A.backbone(text, 2, reverse=True).collect())[2:3] == [(1, -5, -9, 2, 4)]
+    with pytest.raises(Exception, match="fields of the line: 4"):
+        A.backbone(text, 3).collect()
+    assert A.backbone(lines(spark), 2).count() == 0
+    cover = lines(spark, "#ID\tAvg", "c1 some words\t2.5\t0\t0\t0\t0\t0\t0\t0.4", "c2\tx\t0\t0\t0\t0\t0\t0\t1", "c3\t1", "")
+    assert [tuple(r) for r in A.coverage_table(cover).collect()] == [("c1", 2.5, 0.4), ("c2", None, 1.0)]
