@@ -74,6 +74,16 @@ BEFORE = 8
 class Likeness:
     percent: int = 75
     width: int = 5
+    sent_percent: int = SENT
+    gram_text: int = GRAM_TEXT
+
+    def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Of each text its sorted distinct 64-bit hashes."""
+        return shingles.sets(texts, self.width)
+
+    def name(self, h: np.ndarray) -> bytes:
+        """A set's class, of the same length for all sets."""
+        return digest(h)
 
     def probe(self, n: np.ndarray) -> np.ndarray:
         return n - -(-self.percent * n // 100) + 1
@@ -83,12 +93,12 @@ class Likeness:
 
     def sent(self, n: int) -> int:
         """How many n-grams of a set of n take part in the count of shared ones: never fewer than its long prefix."""
-        return max(-(-SENT * n // 100), n - -(-self.percent * n // 100) + 1)
+        return max(-(-self.sent_percent * n // 100), n - -(-self.percent * n // 100) + 1)
 
     def least_shared(self, n: int) -> int:
         """So many of those are shared if the set links. A link has percent/100 * max(n, m) common n-grams or more, and the
-        sets of n and m leave out (100 - SENT)/100 * max(n, m) at most."""
-        return max(1, (self.percent + SENT - 100) * n // 100)
+        sets of n and m leave out (100 - sent_percent)/100 * max(n, m) at most."""
+        return max(1, (self.percent + self.sent_percent - 100) * n // 100)
 
     def linked(self, common: str, a: str, b: str) -> str:
         return f"{100 + self.percent} * {common} >= {self.percent} * ({a} + {b})"
@@ -123,7 +133,7 @@ def differing(a: bytes, b: bytes) -> int:
 
 def all_sets(texts: pd.Series, like: Likeness) -> Iterator[np.ndarray]:
     for at in range(0, len(texts), ROWS):
-        yield from shingles.sets(list(texts.iloc[at : at + ROWS]), like.width)
+        yield from like.sets(list(texts.iloc[at : at + ROWS]))
 
 
 def shapes(like: Likeness):
@@ -167,7 +177,7 @@ def messages(documents: DataFrame, fragments: int, like: Likeness) -> DataFrame:
         classes, sizes, held, total = {}, [], [], 0
         for p in parts:
             for h in all_sets(p["text"], like):
-                if not len(h) or (c := digest(h)) in classes:
+                if not len(h) or (c := like.name(h)) in classes:
                     continue
                 classes[c] = len(sizes)
                 sizes.append(len(h))
@@ -206,7 +216,7 @@ def shared_codes(held: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes]]:
 def linkable(documents: DataFrame, like: Likeness) -> DataFrame:
     """(class): the sets that share enough of their first n-grams with other sets to have a link."""
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    fragments = max(12, size * SENT // 100 // GRAM_TEXT // SHARED_PER_FRAGMENT)
+    fragments = max(12, size * like.sent_percent // 100 // like.gram_text // SHARED_PER_FRAGMENT)
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
@@ -226,8 +236,10 @@ def linkable(documents: DataFrame, like: Likeness) -> DataFrame:
             yield pd.DataFrame([(b, None, raw) for b, raw in shared_codes(held)], columns=["batch", "classes", "body"])
 
     def enough(classes: bytes, needed: bytes, hits: list[bytes]) -> pd.DataFrame:
-        left = np.frombuffer(needed, "<i4") - np.bincount(np.frombuffer(b"".join(hits), "<u2"), minlength=len(classes) // 16)
-        return pd.DataFrame({"class": [classes[16 * i : 16 * i + 16] for i in np.flatnonzero(left <= 0).tolist()]})
+        left = np.frombuffer(needed, "<i4")
+        width = len(classes) // len(left)
+        left = left - np.bincount(np.frombuffer(b"".join(hits), "<u2"), minlength=len(left))
+        return pd.DataFrame({"class": [classes[width * i : width * i + width] for i in np.flatnonzero(left <= 0).tolist()]})
 
     def total(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, whole, hits = None, None, []

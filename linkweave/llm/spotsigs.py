@@ -11,14 +11,20 @@ links, itself included (texts without signature have equal sets; rows with a nul
 
 1. One pass counts signatures, so that the most frequent (a bounded list; only their place in the order depends on it)
    come last in the global order, and notes the class of each document.
-2. A set sends the rarest signatures of its order, as many as any set that links must share one of, to inverted lists,
+2. Sets that can't link with any other are left out, by ``ngram_join.linkable``: fragments of the hash order count how many of
+   a set's signatures any other set holds too. Texts of one vocabulary share some signatures with ever more others as the corpus
+   grows; pairs of them are never made. The sets that stay are written once, with their bitmaps.
+3. Of these a set sends the rarest signatures of its order, as many as any set that links must share one of, to inverted lists,
    which are partitioned by set length. An entry brings the length of its set and a 64-bit bitmap of it, so that lists of at most
    ``LIST`` sets give only those pairs that lengths and bitmaps allow. Where these are more than ``PAIRS`` an entry, and
    in longer lists and those of frequent signatures, the entries go on as rows.
-3. Those long lists first compare each member with the leader of its length class. Once the components of all links so
+4. Those long lists first compare each member with few others of its own and the next length class: the leader (the set with the
+   largest share of its signatures in long lists) and ``PROBES`` members drawn anew for each list, so that a set of a large
+   group meets different ones in each of its lists. Once the components of all links so
    far are known, members outside a list's main component meet the members of other components of the same or of
-   neighbouring length classes; pairs within a component need no test. Lengths and bitmaps are part of these joins' conditions.
-4. The pairs left are pruned by larger bitmaps, and the others compared exactly.
+   neighbouring length classes, in the first list that they share; pairs within a component need no test. Lengths and bitmaps of
+   ``WORDS`` longs are part of this join's condition. The components are then joined by what was found.
+5. The pairs left are pruned by larger bitmaps, and the others compared exactly.
 
 The join is exact up to collisions of the 64-bit hashes that tell spots and classes.
 
@@ -35,11 +41,13 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from linkweave.llm import ngram_join
 from linkweave.llm.common import cut, exact_id
 from linkweave.operators.components import connected_components
 
@@ -65,8 +73,13 @@ LEAST, LIST, PAIRS = 0.75, 32, 2
 SKETCH_BITS, MOST_BITS = 4, 4_096
 #: Frequent signatures: at most so many, each so often in one batch of documents and in all.
 FREQUENT, OFTEN_IN_BATCH, OFTEN_IN_ALL = 100_000, 4, 32
-#: Entries of inverted lists in one fragment and code points for an entry, about; entries of a batch.
-FRAGMENT_ENTRIES, ENTRY_CHARS, BATCH_ENTRIES = 250_000, 80, 1_000_000
+#: Entries of inverted lists in one fragment, about, and fragments at least; entries of a batch.
+FRAGMENT_ENTRIES, LEAST_FRAGMENTS, BATCH_ENTRIES = 250_000, 12, 1_000_000
+#: Percent of each set that the count of shared signatures sees, and bytes of text for a signature, about.
+SENT, SIGNATURE_TEXT = 60, 20
+#: Members of a long list that all its entries are first compared with, besides the leader; longs of the bitmaps under which the
+#: last comparison joins, and entries of a set before one that tell whether two sets have met already.
+PROBES, WORDS, BEFORE = 2, 16, 8
 #: Classes that are told by broadcast up to this many, else by shuffle join.
 BROADCAST_CLASSES = 400_000
 
@@ -329,11 +342,54 @@ def prefix(wide: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return wide[first], late[first]
 
 
+@dataclass(frozen=True)
+class Spots(ngram_join.Likeness):
+    """Signature sets as ``ngram_join.linkable`` counts them; the name of a set is its class, highest byte first."""
+
+    percent: int = int(100 * LEAST)
+    sent_percent: int = SENT
+    gram_text: int = SIGNATURE_TEXT
+
+    def sets(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        return iter(wide_sets([t or "" for t in texts]))
+
+    def name(self, h: np.ndarray) -> bytes:
+        return set_class(upper(h)).to_bytes(8, "big", signed=True)
+
+
+def linkable_owners(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """(class, doc_id of one of its documents) of the sets that share enough signatures with others to have a link."""
+    like = Spots()
+    named = members.filter("doc_id is not null").select(F.unhex(F.lpad(F.hex("class"), 16, "0")).alias("name"), "class", "doc_id")
+    return cut(named.join(ngram_join.linkable(documents, like).withColumnRenamed("class", "name"), "name", "left_semi").select("class", "doc_id"))
+
+
+SET = "class long, n int, held array<int>, low array<int>, sketch array<long>, bitmap array<long>"
+
+
+def sets_of(documents: DataFrame, owners: DataFrame) -> DataFrame:
+    """SET rows, once of each class of ``owners`` (class, doc_id of one of its documents): the signatures, the lower halves of
+    their hashes, the sketch and a bitmap of ``WORDS`` longs."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            wide = wide_sets([t or "" for t in p["text"]])
+            sigs = [upper(x) for x in wide]
+            low = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for x in wide]
+            yield pd.DataFrame({"class": [set_class(x) for x in sigs], "n": [len(x) for x in sigs], "held": [x.view(np.int32) for x in sigs], "low": low, "sketch": [sketch(x) for x in sigs], "bitmap": [parity(x, 64 * WORDS) for x in sigs]})
+
+    told = F.broadcast if owners.count() <= BROADCAST_CLASSES else lambda x: x
+    rows = documents.select("doc_id", "text").join(told(owners.select("doc_id").distinct()), "doc_id", "left_semi")
+    found = cut(rows.select("text").mapInPandas(run, SET).join(told(owners.select("class")), "class", "left_semi"))
+    # only a doc_id that repeats with its text repeats a class
+    return found if found.count() == found.select("class").distinct().count() else cut(found.dropDuplicates(["class"]))
+
+
 ENTRY = "fragment int, body binary, key long, class long, length int, n long, bitmap long"
 FOUND = "a long, b long, key long, length int, n long, bitmap long"
 
 
-def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataFrame:
+def entries(sets: DataFrame, frequent: np.ndarray, fragments: int) -> DataFrame:
     """Inverted lists as ENTRY: a body packs the keys, classes, lengths and 64-bit bitmaps of a batch in one fragment;
     entries of frequent signatures are rows of their own, in any fragment."""
 
@@ -355,22 +411,19 @@ def entries(documents: DataFrame, frequent: np.ndarray, fragments: int) -> DataF
         return pd.concat([rows, bodies]) if len(rows) else bodies
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, total = {}, 0
+        held, total = [], 0
         for p in parts:
-            for wide in wide_sets([t or "" for t in p["text"]]):
-                if not len(wide):
-                    continue
-                cls = set_class(upper(wide))
-                if cls not in held:
-                    held[cls] = (*prefix(wide, frequent), cls, len(wide), int(sketch(upper(wide), 64)[0]))
-                    total += len(held[cls][0])
+            for cls, sigs, low, bitmap in zip(p["class"].tolist(), p["held"], p["low"], p["bitmap"]):
+                wide = (np.asarray(sigs, np.int32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | np.asarray(low, np.int32).view(np.uint32)
+                held.append((*prefix(wide, frequent), cls, len(wide), int(np.bitwise_xor.reduce(np.asarray(bitmap, np.int64)))))
+                total += len(held[-1][0])
                 if total >= BATCH_ENTRIES:
-                    yield packed(list(held.values()))
-                    held, total = {}, 0
+                    yield packed(held)
+                    held, total = [], 0
         if held:
-            yield packed(list(held.values()))
+            yield packed(held)
 
-    return documents.select("text").mapInPandas(run, ENTRY)
+    return sets.filter("n > 0").select("class", "held", "low", "bitmap").mapInPandas(run, ENTRY)
 
 
 def list_members(g: pd.DataFrame) -> pd.DataFrame:
@@ -416,28 +469,16 @@ def sketch(sigs: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
     bits = 64
     while bits < min(SKETCH_BITS * len(sigs), most):
         bits *= 2
+    return parity(sigs, bits)
+
+
+def parity(sigs: np.ndarray, bits: int) -> np.ndarray:
+    """Whether an odd number of signatures fall on each place."""
     at = _mixed(sigs.astype(np.uint64)) & np.uint64(bits - 1)
     odd = (np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
-def sets_of(documents: DataFrame, owners: DataFrame, sketched: bool) -> DataFrame:
-    """(class, n, held) once of each class of ``owners`` (class, doc_id of one of its documents): the signatures or
-    the sketch of the set."""
-    kind = "long" if sketched else "int"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            sets = signatures([t or "" for t in p["text"]])
-            held = [sketch(x) if sketched else x.view(np.int32) for x in sets]
-            yield pd.DataFrame({"class": [set_class(x) for x in sets], "n": [len(x) for x in sets], "held": held})
-
-    told = F.broadcast if owners.count() <= BROADCAST_CLASSES else lambda x: x
-    rows = documents.select("doc_id", "text").join(told(owners.select("doc_id").distinct()), "doc_id", "left_semi")
-    found = rows.select("text").mapInPandas(run, f"class long, n int, held array<{kind}>")
-    return cut(found.join(told(owners.select("class")), "class", "left_semi").dropDuplicates(["class"]))
-
-
 def near_enough(na: str, nb: str, apart: Column) -> Column:
     """Whether lengths and bitmaps allow a link. Sets alike to J differ in at most (1 - J) / (1 + J) of the sum of
     their lengths."""
@@ -448,63 +489,85 @@ def bits_apart(x: str, y: str) -> Column:
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
 
 
-def plausible(pairs: DataFrame, documents: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pairs (a, b) whose sketches allow a link, and the owners (class, doc_id) of the classes in them."""
-    pairs = cut(pairs.distinct())
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    owners = cut(members.filter("doc_id is not null").select("class", "doc_id").join(needed, "class", "left_semi"))
-    sketches = sets_of(documents, owners, True)
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+    sketches = sets.select("class", "n", "sketch")
     folded = lambda x, y: F.when(F.size(x) <= F.size(y), F.col(x)).when(
         F.size(x) == 2 * F.size(y), F.zip_with(F.slice(x, 1, F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), lambda i, j: i.bitwiseXOR(j))
     )
     apart = F.aggregate(F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda i, j: F.bit_count(i.bitwiseXOR(j))), F.lit(0), lambda x, y: x + y)
-    met = pairs.join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
-    return cut(met.filter(near_enough("na", "nb", apart)).select("a", "b")), owners
+    met = pairs.distinct().join(sketches.toDF("a", "na", "sa"), "a").join(sketches.toDF("b", "nb", "sb"), "b")
+    return cut(met.filter(near_enough("na", "nb", apart)).select("a", "b"))
 
 
-def linked(pairs: DataFrame, documents: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are at least ``LEAST`` like each other; sets are brought together only where sketches
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are at least ``LEAST`` like each other; signatures are brought together only where sketches
     allow it."""
-    pairs, owners = plausible(pairs, documents, members)
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    sets = sets_of(documents, cut(owners.join(needed, "class", "left_semi")), False)
-    met = pairs.join(sets.toDF("a", "na", "sa"), "a").join(sets.toDF("b", "nb", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+    pairs = plausible(pairs, sets)
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+    told = F.broadcast if needed.count() <= BROADCAST_CLASSES else lambda x: x
+    held = sets.select("class", "n", "held").join(told(needed), "class", "left_semi")
+    met = pairs.join(held.toDF("a", "na", "sa"), "a").join(held.toDF("b", "nb", "sb"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
     return cut(met.filter(100 * F.col("both") >= int(100 * LEAST) * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
 
 
+def led(long: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each entry of a long list (key, length, class, n, bitmap) with its leader and its probes, and with those of
+    the next length class, as far as lengths and bitmaps allow a link."""
+    central = long.groupBy("class").agg((F.count("*") / F.max("n")).alias("share"))
+    held = F.struct("class", "n", "bitmap")
+    drawn = [F.min_by(held, F.xxhash64("class", "key", F.lit(i))) for i in range(PROBES)]
+    leaders = long.join(central, "class").groupBy("key", "length").agg(F.array_distinct(F.array(F.max_by(held, F.struct("share", "class")), *drawn)).alias("l"))
+    leaders = leaders.select("key", F.explode(F.array("length", F.col("length") - 1)).alias("length"), "l")
+    met = long.toDF("key", "length", "x", "nx", "sx").join(leaders, ["key", "length"]).select("x", "nx", "sx", F.explode("l").alias("l"))
+    met = met.select("x", "nx", "sx", F.col("l.class").alias("y"), F.col("l.n").alias("ny"), F.col("l.bitmap").alias("sy"))
+    met = met.filter("x <> y").filter(near_enough("nx", "ny", bits_apart("sx", "sy")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def across(long: DataFrame, parts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of long lists in different components: each entry outside its list's main component with those
+    of all others, in the first list that two sets share (as far as BEFORE entries tell)."""
+    entry = long.select("key", "length", "class", "n").join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
+    main = entry.groupBy("key", "part").agg(F.count("*").alias("n_part")).groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("main"), F.count("*").alias("parts"))
+    entry = cut(entry.join(main.filter("parts > 1"), "key"))
+    earlier = W.partitionBy("class").orderBy("key").rowsBetween(-BEFORE, -1)
+    entry = entry.withColumn("before", F.collect_list("key").over(earlier)).join(sets.select("class", *[F.col("bitmap")[i].alias(f"w{i}") for i in range(WORDS)]), "class")
+    named = lambda x: [F.col("class").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "part", "before", *[f"w{i}" for i in range(WORDS)])]]
+    other = entry.select("key", "length", *named("y"))
+    lengths = F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)).alias("length")
+    outer = entry.filter("part <> main").select("key", lengths, "main", *named("x"))
+    apart = F.expr(" + ".join(f"bit_count(w{i}_x ^ w{i}_y)" for i in range(WORDS)))
+    # of two entries outside the main component one is enough
+    fits = F.expr("part_x <> part_y and (part_y = main or x < y)") & near_enough("n_x", "n_y", apart) & ~F.arrays_overlap("before_x", "before_y")
+    return outer.join(other, ["key", "length"]).filter(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_classes(documents: DataFrame) -> DataFrame:
     """(class, near_class) of the classes that hold several rows or link with others; see the module."""
     noted = counted(documents)
     often = noted.filter("kind = 0").groupBy("key").agg(F.sum("value").alias("n")).filter(F.col("n") >= OFTEN_IN_ALL)
     frequent = np.array(sorted(r["key"] for r in often.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()), np.uint32)
     members = noted.filter("kind = 1").groupBy(F.col("key").alias("class")).agg(F.min("value").alias("doc_id"), F.count("*").alias("n_rows"))
-    chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
-    fragments = int(chars // (ENTRY_CHARS * FRAGMENT_ENTRIES)) + 1
-    lists = entries(documents, frequent, fragments).repartition(fragments, "fragment")
+    sets = sets_of(documents, linkable_owners(documents, members))
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    fragments = max(LEAST_FRAGMENTS, int(total * (1 - LEAST)) // FRAGMENT_ENTRIES + 1)
+    lists = entries(sets, frequent, fragments).repartition(fragments, "fragment")
     found = cut(lists.groupBy("fragment").applyInPandas(list_members, FOUND))
 
-    short = found.filter("b is not null").select("a", "b").distinct()
+    short = found.filter("b is not null").select("a", "b")
     long = found.filter("b is null").select("key", "length", F.col("a").alias("class"), "n", "bitmap")
-    # equal keys of different batches may repeat a class; a list of one class needs nothing
-    long = cut(long.distinct())
-    leaders = long.groupBy("key", "length").agg(F.min(F.struct("class", "n", "bitmap")).alias("l"))
-    leaders = leaders.select("key", "length", F.col("l.class").alias("a"), F.col("l.n").alias("na"), F.col("l.bitmap").alias("sa"))
-    led = leaders.join(long.toDF("key", "length", "b", "nb", "sb"), ["key", "length"]).filter(F.col("a") < F.col("b"))
-    led = led.filter(near_enough("na", "nb", bits_apart("sa", "sb")))
-    links = linked(short.unionByName(led.select("a", "b")), documents, members)
-
+    links = linked(short.unionByName(led(long)), sets)
     parts = connected_components(links, "a", "b")
-    entry = long.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class")).drop("component")
-    main = entry.groupBy("key", "part").agg(F.count("*").alias("n_part")).groupBy("key").agg(F.max_by("part", F.struct("n_part", "part")).alias("main"), F.count("*").alias("parts"))
-    entry = cut(entry.join(main.filter("parts > 1"), "key"))
-    other = entry.select("key", "length", F.col("class").alias("y"), F.col("part").alias("of_y"), F.col("n").alias("ny"), F.col("bitmap").alias("sy"))
-    lengths = F.explode(F.array(F.col("length") - 1, "length", F.col("length") + 1)).alias("length")
-    outer = entry.filter("part <> main").select("key", lengths, F.col("class").alias("x"), F.col("part").alias("of_x"), F.col("n").alias("nx"), F.col("bitmap").alias("sx"))
-    more = outer.join(other, ["key", "length"]).filter("of_x <> of_y").filter(near_enough("nx", "ny", bits_apart("sx", "sy")))
-    links = links.unionByName(linked(more.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), documents, members))
-
-    parts = connected_components(links, "a", "b").withColumnRenamed("node", "class")
-    named = members.join(parts, "class", "left").withColumn("part", F.coalesce("component", "class"))
+    links = linked(across(long, parts, sets), sets)
+    if not links.isEmpty():
+        alone = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti")
+        parts = cut(parts.unionByName(alone.withColumn("component", F.col("node"))))
+        arcs = links.join(parts.toDF("a", "of_a"), "a").join(parts.toDF("b", "of_b"), "b")
+        wider = connected_components(arcs, "of_a", "of_b").toDF("component", "wider")
+        parts = parts.join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+
+    named = members.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("part", F.coalesce("component", "class"))
     first = named.filter("component is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
     named = named.filter("component is not null or n_rows > 1").join(first, "part", "left")
     return cut(named.select("class", F.coalesce("least", "doc_id").alias("near_class")))

@@ -298,6 +298,33 @@ def test_near_classes(spark, monkeypatch, longest):
     assert "class" not in got.columns and spotsigs.fingerprint_classes(empty(spark)).count() == 0
 
 
+def test_near_classes_make_few_pairs(spark, monkeypatch):
+    """A large group whose members are about as like as a link needs, and texts of one vocabulary that share some signatures."""
+    rng, copies, others = random.Random(5), 600, 300
+    base = [f"the b{i} c{i}" for i in range(60)]
+    texts = []
+    for d in range(copies):
+        new = set(rng.sample(range(60), rng.randint(1, 8)))
+        texts.append(" ".join(f"the d{d} e{i}" if i in new else u for i, u in enumerate(base)))
+    texts += [" ".join(f"the v{rng.randrange(300)} v{rng.randrange(300)}" for _ in range(150)) for _ in range(others)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    class_of = [spotsigs.set_class(x) for x in spotsigs.signatures(texts)]
+    made, linked = set(), spotsigs.linked
+
+    def noted(pairs, *rest):
+        made.update((r["a"], r["b"]) for r in pairs.distinct().collect())
+        return linked(pairs, *rest)
+
+    monkeypatch.setattr(spotsigs, "linked", noted)
+    got = {r["class"]: r["near_class"] for r in spotsigs.near_classes(docs).collect()}
+    label = near_by_brute_force(docs.collect())
+    want = [label[frozenset(x.tolist())] for x in spotsigs.signatures(texts)]
+    assert [got.get(c, i) for i, c in enumerate(class_of)] == want and want.count(0) > 500
+    unlike = set(class_of[copies:])
+    assert sum(a in unlike or b in unlike for a, b in made) == 0
+    assert len(made) < 60 * copies
+
+
 def test_pruned_jaccard():
     a, b = np.arange(10, dtype=np.uint32), np.arange(5, 40, dtype=np.uint32)
     assert spotsigs.likeness(a, b) == 5 / 40 and spotsigs.likeness(a, b, 0.5) == 0 and spotsigs.likeness(a[:0], a[:0]) == 1 and spotsigs.likeness(a, a[:0]) == 0
