@@ -85,3 +85,24 @@ def test_dumps(spark):
     assert lines("upper") == ["0\t1\t2"] and lines("loweri", sep=" ") == ["1 0 0.5", "1 1 3"] and lines("noloop", values=False) == ["0\t1", "1\t0"]
     tab = spark.createDataFrame([(0, "a")], "id long, label string")
     assert lines("upperi", tab=tab) == ["?\t?\t3", "a\t?\t2"]
+
+
+@pytest.mark.parametrize("listed", [False, True])
+def test_files_hold_whole_vectors(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(N, "SPAN", 2)  # many lines a vector
+    c = graph(spark, [(a, b, w / 4) for a, b, w in random_edges(60, 0.5, 4)])
+    nodes = nodes_of(spark, [*range(60), 100]) if listed else None
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        [spark.conf.set(k, v) for k, v in conf.items()]
+        N.write_matrix(c, f"{tmp_path}/m", nodes)
+    finally:
+        [spark.conf.set(k, v) for k, v in before.items()]
+    files = sorted((tmp_path / "m").glob("part-*"))
+    assert len(files) > 8
+    for f in files[1:-1]:
+        assert f.read_text().rstrip().endswith("$")
+    assert cells(N.read_matrix(spark, f"{tmp_path}/m")) == cells(c)
+    ids = {r["node"] for r in N.read_domains(spark, f"{tmp_path}/m").filter("side = 'cols'").collect()}
+    assert ids == ({*range(60), 100} if listed else set(range(60)))
