@@ -1,18 +1,22 @@
 """Pairwise similarity of table rows and of sets.
 
-Rows are vectors (id, v array<double>). Pairs are formed block against block: rows are dealt to blocks by id, each pair of blocks
-meets once, and numpy multiplies them; what passes the cutoff comes back. Sets are (id, item) tables that meet by item.
+Rows are vectors (id, v array<double>). Pairs are formed chunk against chunk: each pair of chunks meets once, and numpy multiplies them;
+what passes the cutoff comes back. Sets are (id, item) tables that meet by item.
 """
 
 from __future__ import annotations
 
-
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from linkweave.plans.lineage import cut
+
 BLOCK_ROWS = 2_048
+#: Items of a set that goes through a join with all of them.
+LISTED = 32
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -37,32 +41,47 @@ def ranks(rows: DataFrame) -> DataFrame:
     return s.select("id", F.transform("v", lambda x: place(x).cast("double")).alias("v"))
 
 
+def chunks(rows: DataFrame, normalise: bool) -> DataFrame:
+    """(ids, v, chunk): rows in chunks of up to ``BLOCK_ROWS`` as bytes, numbered by partition and place; written once."""
+    if normalise:
+        size = F.sqrt(dot("v", "v"))
+        rows = rows.withColumn("size", size).select("id", F.when(F.col("size") > 0, F.transform("v", lambda x: x / F.col("size"))).otherwise(F.col("v")).alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, BLOCK_ROWS):
+                part = batch.slice(low, BLOCK_ROWS)
+                v = part.column("v").flatten()
+                yield pa.RecordBatch.from_pydict({"ids": [np.asarray(part.column("id"), np.int64).tobytes()], "v": [np.asarray(v, np.float64).tobytes()]})
+
+    made = rows.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(pack, "ids binary, v binary")
+    return cut(made.withColumn("chunk", F.monotonically_increasing_id()))
+
+
 def products(rows: DataFrame, least: float, normalise: bool = True) -> DataFrame:
     """(a, b, s), a < b: inner products of rows (scaled to length 1 unless told) with |s| >= least.
 
-    Each row goes to all block pairs of its block, as many as there are blocks; a pair of blocks is worked on in one task.
+    Chunks of rows are written once and each pair of chunks is read from there by the task that multiplies it: nothing is shuffled, so disk grows
+    with the rows and only time with their pairs.
     """
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    own = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    dealt = own.select("id", "v", "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select("id", "v", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(part["p"].iat[0]), int(part["q"].iat[0])
-        left, right = part[part["block"] == p], part[part["block"] == q]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "s": []}).astype({"a": "int64", "b": "int64"})
-        x, y = (np.stack(d["v"].to_numpy()).astype(np.float64) for d in (left, right))
-        if normalise:
-            x, y = (m / np.where((k := np.linalg.norm(m, axis=1, keepdims=True)) > 0, k, 1) for m in (x, y))
-        s = x @ y.T
-        i, j = np.nonzero(np.abs(s) >= least)
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if p == q else np.ones(len(a), bool)
-        a, b, s = a[keep], b[keep], s[i, j][keep]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "s": s})
-
-    return dealt.groupBy("p", "q").applyInPandas(meet, "a long, b long, s double")
+    own = chunks(rows, normalise)
+    other = own.select(F.col("ids").alias("ids2"), F.col("v").alias("v2"), F.col("chunk").alias("chunk2"))
+    pairs = own.hint("shuffle_replicate_nl").join(other, F.col("chunk") <= F.col("chunk2"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, v, p, ids2, v2, q = (batch.column(c)[i].as_py() for c in ("ids", "v", "chunk", "ids2", "v2", "chunk2"))
+                one, two = np.frombuffer(ids, np.int64), np.frombuffer(ids2, np.int64)
+                x, y = np.frombuffer(v).reshape(len(one), -1), np.frombuffer(v2).reshape(len(two), -1)
+                s = x @ y.T
+                j, k = np.nonzero(np.abs(s) >= least)
+                a, b, s = one[j], two[k], s[j, k]
+                keep = a < b if p == q else np.ones(len(a), bool)
+                a, b, s = a[keep], b[keep], s[keep]
+                yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "s": s})
+
+    return pairs.mapInArrow(meet, "a long, b long, s double")
 
 
 def cosine(rows: DataFrame, least: float) -> DataFrame:
@@ -90,12 +109,24 @@ def skewed_cosine(rows: DataFrame, least: float) -> DataFrame:
 
 
 def set_pairs(items: DataFrame) -> DataFrame:
-    """(a, b, common, na, nb), a < b: pairs of sets (id, item) that share an item."""
-    s = items.select("id", "item").distinct()
-    n = s.groupBy("id").agg(F.count("*").alias("n"))
-    one, two = s.select(F.col("id").alias("a"), "item"), s.select(F.col("id").alias("b"), "item")
-    pairs = one.join(two, "item").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    return pairs.join(n.withColumnsRenamed({"id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"id": "b", "n": "nb"}), "b")
+    """(a, b, common, na, nb), a < b: pairs of sets (id, item) that share an item.
+
+    Sets of up to ``LISTED`` items take their items along, so a pair is counted where it meets and told at the first item it shares: it is
+    shuffled no more. Pairs with a larger set are counted by their rows.
+    """
+    lists = items.groupBy("id").agg(F.sort_array(F.collect_set("item")).alias("own"), F.max(F.col("item").isNull().cast("long")).alias("n")).withColumn("n", F.col("n") + F.size("own"))
+    s = lists.select("id", "own", "n", F.explode("own").alias("item"))
+    small = F.size("own") <= LISTED
+    one, two = (s.filter(small).select(F.col("id").alias(x), F.col("own").alias(f"o{x}"), F.col("n").alias(f"n{x}"), "item") for x in "ab")
+    met = one.join(two, "item").filter("a < b").withColumn("both", F.array_intersect("oa", "ob")).filter(F.col("both")[0] == F.col("item"))
+    near = met.select("a", "b", F.size("both").cast("long").alias("common"), "na", "nb")
+    if s.filter(~small).isEmpty():
+        return near
+    n = s.select("id", "item", "n", (~small).alias("large"))
+    large, other = n.filter("large").drop("large"), n.select(F.col("id").alias("id2"), "item", F.col("n").alias("n2"), F.col("large").alias("large2"))
+    met = large.join(other, "item").filter("id <> id2 and (not large2 or id < id2)")
+    far = met.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).agg(F.count("*").alias("common"), F.max(F.when(F.col("id") < F.col("id2"), F.col("n")).otherwise(F.col("n2"))).alias("na"), F.max(F.when(F.col("id") < F.col("id2"), F.col("n2")).otherwise(F.col("n"))).alias("nb"))
+    return near.unionByName(far)
 
 
 def set_scores(pairs: DataFrame, items: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkweave.operators import cover, generators, linkage, local, markov, metrics, paths, transforms as T
+from linkweave.operators import cover, generators, linkage, local, markov, metrics, paths, similarity, transforms as T
 from linkweave.operators.components import connected_components
 from linkweave.sources import matrices
 from tests.conftest import rows_of
@@ -247,3 +247,21 @@ def test_text_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         matrices.labelled(pairs, tab, "strict")
     assert {tuple(r) for r in matrices.merged(pairs.unionByName(pairs), "add").collect()} == {("a", "b", 2.0), ("a", "z", 2.0)}
+
+
+@pytest.mark.parametrize("listed", [32, 3, 0])
+def test_set_pairs_of_small_and_large_sets(spark, monkeypatch, listed):
+    monkeypatch.setattr(similarity, "LISTED", listed)
+    rng = random.Random(3)
+    sets = {i: set(rng.sample(range(12), rng.randint(1, 6))) for i in range(20)}
+    items = [(i, x) for i in sets for x in [*sets[i], *sets[i]]] + [(0, None)]
+    got = {(r["a"], r["b"]): (r["common"], r["na"], r["nb"]) for r in similarity.set_pairs(spark.createDataFrame(items, "id long, item long")).collect()}
+    size = {i: len(sets[i]) + (i == 0) for i in sets}
+    assert got == {(a, b): (len(sets[a] & sets[b]), size[a], size[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+
+
+def test_pairs_are_not_shuffled(spark):
+    items = spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "id long, item long")
+    assert similarity.set_pairs(items)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(a#") == 0
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, v array<double>")
+    assert "Exchange" not in similarity.cosine(rows, 0.5)._jdf.queryExecution().executedPlan().toString()
